@@ -18,13 +18,14 @@ def parse_time(text: Column | str) -> Column:
     Every value is read on its own, so formats may be mixed within a column.
     """
     s = F.trim(_col(text))
-    zoned = F.rlike(s, F.lit(r"[Tt ]\d.*(?:[Zz]|[+-]\d\d:?\d\d)$"))
-    full = (
-        F.when(F.length(s) <= 10, F.concat(s, F.lit(" 00:00:00Z")))
-        .when(zoned, s)
-        .otherwise(F.concat(s, F.lit("Z")))
+    signs = ("+", "-")
+    zoned = (F.length(s) > 16) & (
+        F.lower(F.right(s, F.lit(1))).eqNullSafe("z")
+        | F.substring(s, -6, 1).isin(*signs)
+        | F.substring(s, -5, 1).isin(*signs)
     )
-    return F.when(F.substring(s, 5, 1) == "-", full.try_cast("timestamp"))
+    zone = F.when(F.length(s) <= 10, F.lit(" 00:00:00Z")).when(zoned, F.lit("")).otherwise(F.lit("Z"))
+    return F.when(F.substring(s, 5, 1) == "-", F.concat(s, zone).try_cast("timestamp"))
 
 
 def updated_date(date: Column | str, at: Column | str) -> Column:

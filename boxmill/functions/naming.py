@@ -13,17 +13,16 @@ def _col(c: Column | str) -> Column:
 def base_name(path: Column | str) -> Column:
     """Last path component; trailing slashes and ``.`` components do not count."""
     p = _col(path)
-    last = F.regexp_extract(p, r"([^/]+)(?:/+\.?)*$", 1)
-    named = F.when(F.instr(p, "/") == 0, p).otherwise(last)
-    return F.when(named == ".", F.lit("")).otherwise(named)
+    last = F.regexp_extract(p, r"(?:^|/)((?!\.(?:/|$))[^/]+)(?:/+\.?)*$", 1)
+    # most names hold no slash and need no regular expression
+    return F.when(F.instr(p, "/") > 0, last).when(p == ".", F.lit("")).otherwise(p)
 
 
 def checked_name(path: Column | str) -> Column:
     """``base_name`` that fails the job on a missing or empty name."""
     p = _col(path)
-    name = base_name(p)
     message = F.concat(F.lit("image name is empty: "), F.coalesce(p, F.lit("NULL")))
-    return F.when(name.isNull() | (name == ""), F.raise_error(message).cast("string")).otherwise(name)
+    return F.coalesce(F.nullif(base_name(p), F.lit("")), F.raise_error(message).cast("string"))
 
 
 def absolute_path(path: Column | str) -> Column:

@@ -26,6 +26,9 @@ def _col(c: Column | str) -> Column:
 def sorted_slices(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """``df`` plus slice number and position inside the slice.
 
+    The range cut samples the input first, so ``df`` is evaluated twice: keep costly
+    expressions for after the numbering, or ``settle`` the input.
+
     Rows alike in all of ``order`` are told apart by an arbitrary running id, so
     many equal rows still spread over slices.
     """

@@ -21,7 +21,14 @@ from boxmill.operators.pick import first_per_key
 from boxmill.operators.selection import usable_shapes
 from boxmill.sources.image_sizes import read_image_sizes
 from boxmill.sources.listing import search_listing, stem_candidates
-from boxmill.sources.yolo_text import class_names, load_mapping_file, parse_lines, read_label_lines, split_folders
+from boxmill.sources.yolo_text import (
+    class_names,
+    label_lines,
+    line_numbers,
+    load_mapping_file,
+    read_label_lines,
+    split_folders,
+)
 
 # What converted rows carry in place of task fields.
 PROVENANCE = {
@@ -111,30 +118,35 @@ def _constants() -> list[Column]:
 def boxes_from_lines(
     images: DataFrame, lines: DataFrame, classes: DataFrame | None, on: list[str], order: list[str]
 ) -> DataFrame:
-    """Parsed lines joined with their images -> box rows of the dataset table.
+    """Label lines joined with their images -> box rows of the dataset table.
 
     ``images`` has ``on``, ``image_name, image_width, image_height, frame_id`` and
-    ``split``; ``order`` sorts the lines of one image.  Boxes are numbered from 1
-    over images and lines.
+    ``split``; ``lines`` has ``on``, ``line`` and ``order``, which sorts the lines
+    of one image.  Boxes are numbered from 1 over images and lines.
     """
-    joined = lines.drop("split", "image_name").join(images, on) if "split" not in on else lines.join(images, on)
+    narrow = lines.select(*dict.fromkeys([*on, *order, "line"]))
+    kept = ["image_name", "image_width", "image_height", "frame_id", "split", *order, "line"]
+    joined = narrow.join(images, on).select(*dict.fromkeys(kept))
+    # numbering reads its input twice, so the numbers are taken out of the text after it
+    numbered = line_numbers(number_rows(joined, ["frame_id", *order], "annotation_id", start=1))
     if classes is None:
-        named = joined.withColumn("name", F.lit(None).cast("string"))
+        named = numbered.withColumn("name", F.lit(None).cast("string"))
     else:
-        named = joined.join(classes.select("class_id", "name"), "class_id", "left")
+        named = numbered.join(classes.select("class_id", "name"), "class_id", "left")
     x0, y0, x1, y1 = to_pixels("xc", "yc", "w", "h", "image_width", "image_height")
     label = F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
-    boxes = named.select(
-        "image_name", "image_width", "image_height", "frame_id", "split", *order,
-        F.lit(S.BOX).alias("instance_shape"),
-        label.alias("instance_label"),
-        exact_round(x0).alias("bbox_x_tl"), exact_round(y0).alias("bbox_y_tl"),
-        exact_round(x1).alias("bbox_x_br"), exact_round(y1).alias("bbox_y_br"),
-        *_constants(),
-        F.lit(False).alias("occluded"), F.lit(0).alias("z_order"), F.lit(0.0).alias("rotation"),
-        "confidence",
+    return S.conform(
+        named.select(
+            "image_name", "image_width", "image_height", "frame_id", "split", "annotation_id",
+            F.lit(S.BOX).alias("instance_shape"),
+            label.alias("instance_label"),
+            exact_round(x0).alias("bbox_x_tl"), exact_round(y0).alias("bbox_y_tl"),
+            exact_round(x1).alias("bbox_x_br"), exact_round(y1).alias("bbox_y_br"),
+            *_constants(),
+            F.lit(False).alias("occluded"), F.lit(0).alias("z_order"), F.lit(0.0).alias("rotation"),
+            "confidence",
+        )
     )
-    return S.conform(number_rows(boxes, ["frame_id", *order], "annotation_id", start=1))
 
 
 def none_rows(images: DataFrame) -> DataFrame:
@@ -156,7 +168,7 @@ def number_images(images: DataFrame, order: list[Column | str]) -> DataFrame:
 def dataset_from_tables(
     images: DataFrame, lines: DataFrame, classes: DataFrame | None, order: list[str]
 ) -> DataFrame:
-    """Images and parsed lines keyed by (split, stem) -> dataset rows.
+    """Images and box lines keyed by (split, stem) -> dataset rows.
 
     Images are numbered by split and name; those without a line become none rows.
     """
@@ -198,7 +210,7 @@ def from_yolo_dataset(
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             continue
-        part = parse_lines(text, on_error).withColumn("split", F.lit(split))
+        part = label_lines(text, on_error).withColumn("split", F.lit(split))
         lines = part if lines is None else lines.unionByName(part)
     if images is None:
         return spark.createDataFrame([], S.ANNOTATION)
@@ -220,7 +232,7 @@ def predictions_from_tables(
     missing = placed.where(F.col("image_name").isNull()).select("file", "stem")
     numbered = number_images(
         placed.where(F.col("image_name").isNotNull()), [F.split("file", "/")]
-    ).withColumn("split", F.lit(None).cast("string")).drop("stem")
+    ).withColumn("split", F.lit(None).cast("string"))
     return boxes_from_lines(numbered, lines, classes, ["file"], order), missing
 
 
@@ -234,7 +246,7 @@ def from_yolo_predictions(
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction files -> (dataset rows, files without an image)."""
     folders = [folder, *(image_folders or [])]
-    lines = parse_lines(read_label_lines(spark, folder), on_error)
+    lines = label_lines(read_label_lines(spark, folder), on_error)
     listing = search_listing(spark, folders)
     chosen = first_found(stem_candidates(listing), ["dir_rank", "sub_rank", "ext_rank"], by="stem")
     measured = None

@@ -11,7 +11,8 @@ from boxmill.operators.ordered import number_within
 from boxmill.plans import yolo as Y
 from boxmill.registry import query
 from boxmill.sources.listing import stem_candidates
-from boxmill.sources.yolo_text import parse_lines
+from boxmill.session import settle
+from boxmill.sources.yolo_text import label_lines, parse_lines
 
 _ORDER = ["task_id", "frame_id"]
 
@@ -73,12 +74,13 @@ def yolo_roundtrip(t: Tables) -> DataFrame:
     lines = Y.yolo_lines(rows, classes, _ORDER).select(
         "split", "stem", F.col("task_id").alias("src_task"), F.col("frame_id").alias("src_frame"), "line"
     )
-    parsed = parse_lines(lines)
+    # written once, as the label files would be
+    written = label_lines(settle(lines))
     shape_rank = F.when(F.col("instance_shape") == "box", 0).otherwise(1)
     images = Y.first_sizes(rows.withColumn("rank", shape_rank), ["rank", *_ORDER])
     images = images.withColumn("stem", Y.stem("image_name"))
     names = classes.select("class_id", F.col("instance_label").alias("name"))
-    out = Y.dataset_from_tables(images, parsed, names, ["src_task", "src_frame", "line"])
+    out = Y.dataset_from_tables(images, written, names, ["src_task", "src_frame", "line"])
     return out.select(
         "image_name", "image_width", "image_height", "instance_shape", "instance_label",
         "bbox_x_tl", "bbox_y_tl", "bbox_x_br", "bbox_y_br", "task_id", "task_name", "frame_id", "split", "source",
@@ -123,7 +125,7 @@ def label_text_boxes(t: Tables) -> DataFrame:
 def prediction_boxes(t: Tables) -> DataFrame:
     """Prediction files -> boxes: files are numbered in path order, boxes throughout;
     only finished orders have an image."""
-    lines = parse_lines(t.text_lines.withColumn("file", F.concat(F.lit("/p/"), "stem", F.lit(".txt"))))
+    lines = label_lines(t.text_lines.withColumn("file", F.concat(F.lit("/p/"), "stem", F.lit(".txt"))))
     images = t.tasks.where(F.col("task_status") == "completed").select(
         F.concat(F.lit("f"), F.col("task_id").cast("string")).alias("stem")
     ).withColumn("image_name", F.concat("stem", F.lit(".png")))

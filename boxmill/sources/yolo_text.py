@@ -36,32 +36,40 @@ def read_label_lines(spark: SparkSession, path: str | list[str], recursive: bool
     )
 
 
-def parse_lines(lines: DataFrame, on_error: str = "fail", line: str = "line") -> DataFrame:
-    """Add ``class_id, xc, yc, w, h, confidence``; drop lines of under 5 fields.
+def _fields(line: str) -> Column:
+    # The blanks that separate fields.
+    return F.split(F.btrim(F.col(line), F.lit(" \t\r\n\f\x0b")), r"\s+")
+
+
+def label_lines(lines: DataFrame, on_error: str = "fail", line: str = "line") -> DataFrame:
+    """Lines that describe a box: at least 5 fields.
 
-    The class number is cut to a whole number.  A field that is no number fails
-    the job; ``on_error="skip"`` drops such lines and those whose class is not
-    written as a whole number.
+    ``on_error="skip"`` also drops lines whose first five fields are no numbers or
+    whose class is not written as a whole number.
     """
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
-    text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    parts = lines.withColumn("_f", F.split(text, r"\s+")).where(F.size("_f") >= 5)
+    fields = _fields(line)
+    keep = F.size(fields) >= 5
+    if on_error == "skip":
+        keep = keep & F.rlike(F.get(fields, F.lit(0)), F.lit(r"^[+-]?\d+$"))
+        keep = keep & F.forall(F.slice(fields, 1, 5), lambda x: x.try_cast("double").isNotNull())
+    return lines.where(keep)
+
+
+def line_numbers(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Add ``class_id, xc, yc, w, h, confidence``; a field that is no number fails
+    the job.  The class is cut to a whole number."""
+    split = lines.withColumn("_f", _fields(line))
 
     def number(i: int) -> Column:
         field = F.get("_f", F.lit(i))
-        value = field.try_cast("double")
-        if on_error == "skip":
-            return value
         message = F.concat(F.lit("not a number in label line: "), F.col(line))
-        return F.when(value.isNull() & field.isNotNull(), F.raise_error(message).cast("double")).otherwise(value)
+        wrong = F.when(field.isNotNull(), F.raise_error(message).cast("double"))
+        return F.coalesce(field.try_cast("double"), wrong)
 
-    if on_error == "skip":
-        whole = F.rlike(F.get("_f", F.lit(0)), F.lit(r"^[+-]?\d+$"))
-        numeric = F.forall(F.slice("_f", 1, 5), lambda x: x.try_cast("double").isNotNull())
-        parts = parts.where(whole & numeric)
-    return parts.select(
-        *[c for c in lines.columns],
+    return split.select(
+        *lines.columns,
         number(0).cast("int").alias("class_id"),
         number(1).alias("xc"), number(2).alias("yc"),
         number(3).alias("w"), number(4).alias("h"),
@@ -69,6 +77,11 @@ def parse_lines(lines: DataFrame, on_error: str = "fail", line: str = "line") ->
     )
 
 
+def parse_lines(lines: DataFrame, on_error: str = "fail", line: str = "line") -> DataFrame:
+    """Box lines with their numbers; other lines are dropped."""
+    return line_numbers(label_lines(lines, on_error, line), line)
+
+
 def load_mapping_file(path: str) -> dict:
     """YAML (when PyYAML is there) or JSON settings file, read on the driver."""
     with open(path, encoding="utf-8") as f:
