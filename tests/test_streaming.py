@@ -1,0 +1,108 @@
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from boxmill.streaming import camera as C
+from boxmill.streaming.sync import start_sync
+
+LAYOUT = "camera_no int, frame_id long, ts timestamp, incomplete boolean, write_dropped boolean"
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    base = spark.range(600).select(
+        (F.col("id") % 3).cast("int").alias("camera_no"),
+        F.floor(F.col("id") / 5).cast("long").alias("frame_id"),
+        F.timestamp_seconds(F.lit(1700000040) + F.col("id") * 1).alias("ts"),
+        (F.col("id") % 11 == 0).alias("incomplete"),
+        (F.col("id") % 13 == 0).alias("write_dropped"),
+    )
+    return base.cache()
+
+
+def replay(spark, events, tmp_path, files=6):
+    """The events as a stream of files in time order."""
+    folder = str(tmp_path / "in")
+    total = events.count()
+    ordered = events.orderBy("ts").collect()
+    for i in range(files):
+        part = ordered[i * total // files : (i + 1) * total // files]
+        spark.createDataFrame(part, LAYOUT).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run(df, name, mode, tmp_path):
+    query = (
+        df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / f"ck-{name}")).start()
+    )
+    query.awaitTermination(120)
+    assert query.exception() is None
+    return df.sparkSession.table(name)
+
+
+def test_stream_summary_equals_batch(spark, events, tmp_path):
+    stream = replay(spark, events, tmp_path)
+    got = run(C.camera_summary(stream.withWatermark("ts", "10 minutes")), "minutes", "complete", tmp_path)
+    assert rows(got) == rows(C.camera_summary(events))
+    first = C.camera_summary(events).where("camera_no = 1").orderBy("start").first()
+    assert first.frames + first.grab_errors == 20 and first.mean_fps == first.frames / 60
+
+
+def test_totals(events):
+    summary = C.camera_summary(events)
+    whole = C.all_camera_totals(summary).agg(F.sum("frames"), F.sum("errors")).first()
+    dropped = events.where("write_dropped and not incomplete").count()
+    assert tuple(whole) == (events.where("not incomplete").count(), events.where("incomplete").count() + dropped)
+    running = C.running_totals(summary).groupBy("camera_no").agg(F.max("total_frames"), F.sum("frames")).collect()
+    assert all(r[1] == r[2] for r in running)
+
+
+def test_back_to_back_repeats(spark):
+    data = [(0, 1, 10), (0, 1, 11), (1, 1, 12), (0, 2, 13), (0, 1, 14), (1, 1, 15), (0, 1, 16)]
+    frames = spark.createDataFrame(data, "camera_no int, frame_id long, at int").select(
+        "camera_no", "frame_id", F.timestamp_seconds("at").alias("ts"), F.lit(False).alias("incomplete"))
+    got = C.skip_repeats(frames)
+    assert rows(got, "camera_no", "frame_id", F.unix_seconds("ts")) == [(0, 1, 10), (0, 1, 14), (0, 2, 13), (1, 1, 12)]
+
+
+def test_stream_skips_repeats(spark, events, tmp_path):
+    stream = replay(spark, events, tmp_path)
+    got = run(C.skip_repeats_stream(stream), "once", "append", tmp_path)
+    distinct = events.where("not incomplete").select("camera_no", "frame_id").distinct()
+    assert rows(got, "camera_no", "frame_id") == rows(distinct)
+
+
+def test_stream_numbers_frames(spark, events, tmp_path):
+    stream = C.complete_frames(replay(spark, events, tmp_path))
+    got = run(C.sequence_frames_stream(stream), "numbered", "append", tmp_path)
+    columns = ["camera_no", "frame_id", "ts", "seq", "file_name"]
+    assert rows(got, *columns) == rows(C.sequence_frames(C.complete_frames(events)), *columns)
+
+
+def test_camera_numbers(spark):
+    devices = spark.createDataFrame([("10.0.0.9",), ("10.0.0.10",)], "ip string")
+    assert rows(C.camera_numbers(devices)) == [("10.0.0.10", 0), ("10.0.0.9", 1)]
+
+
+def test_incremental_sync(spark, tmp_path):
+    source, target = tmp_path / "src", tmp_path / "dst"
+    (source / "m").mkdir(parents=True)
+    target.mkdir()
+    (source / "a.jpg").write_text("a")
+    (source / "m/b.jpg").write_text("b")
+    (target / "old.jpg").write_text("old")
+    (target / "a.jpg").write_text("mine")
+
+    def sync():
+        query = start_sync(spark, str(source), str(target), str(tmp_path / "ck"), str(tmp_path / "report"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    sync()
+    assert (target / "m/b.jpg").read_text() == "b" and (target / "a.jpg").read_text() == "mine" and (target / "old.jpg").exists()
+    (source / "c.jpg").write_text("c")
+    sync()
+    assert (target / "c.jpg").read_text() == "c"
+    report = spark.read.parquet(str(tmp_path / "report"))
+    assert rows(report, "batch", "name", "status") == [(0, "a.jpg", "existing"), (0, "m/b.jpg", "copied"), (1, "c.jpg", "copied")]
