@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxmill import schema as S
 from boxmill.functions import folded
 from boxmill.operators.pick import first_per_key
+from boxmill.operators.skew import lookup_join
 
 
 def rectangles(shapes: DataFrame, type_column: str = "type") -> DataFrame:
@@ -133,7 +134,7 @@ def with_labels(rows: DataFrame, choices: list[str]) -> DataFrame:
 
 
 def without_images(rows: DataFrame, names: DataFrame) -> DataFrame:
-    return rows.join(names.select("image_name").distinct(), "image_name", "left_anti")
+    return lookup_join(rows, names.select("image_name").distinct(), ["image_name"], "left_anti")
 
 
 def images_without_split(rows: DataFrame) -> DataFrame:

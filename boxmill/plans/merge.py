@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxmill import schema as S
 from boxmill.functions import parse_time
+from boxmill.operators.skew import lookup_join
 
 OLD, NEW = "old", "new"
 
@@ -89,11 +90,12 @@ def merge_datasets(
     deletion list stays.
     """
     winners = image_winners(old, new, deleted, by_time, order).select(
-        "image_name", "winner", "old_split"
+        "image_name", "winner", "old_split", (F.col("old_rows") + F.col("new_rows")).alias("_rows")
     )
     rows = S.widen(old.withColumn("_side", F.lit(OLD)), new.withColumn("_side", F.lit(NEW)))
     # one pass over both versions against one row per image
-    kept = rows.join(winners, "image_name").where(F.col("_side") == F.col("winner"))
+    kept = lookup_join(rows, winners, ["image_name"], "inner", weight="_rows")
+    kept = kept.where(F.col("_side") == F.col("winner"))
     columns = [c for c in rows.columns if c != "_side"]
     if "split" in columns:
         split = F.coalesce(F.nullif(F.col("split"), F.lit("")), F.col("old_split"))

@@ -2,8 +2,9 @@
 
 Per image only a few numbers decide: the latest annotation event, the latest
 deletion event and the latest completed task.  They come from one aggregate, so
-an image that fills a large part of the table is combined before the shuffle;
-the join back has one row per image on its small side.
+an image that fills a large part of the table is combined before the shuffle.
+The aggregate also counts the rows of an image, and the join back onto the rows
+spreads the images that have very many.
 """
 
 from __future__ import annotations
@@ -14,17 +15,12 @@ from pyspark.sql import functions as F
 from boxmill import schema as S
 from boxmill.functions import parse_time
 from boxmill.operators.pick import first_per_key
+from boxmill.operators.skew import lookup_join
 
 DATASET, OBSOLETE, IN_PROGRESS = "dataset", "obsolete", "in_progress"
 
 
-def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
-    """``image_name, is_gone, current_task`` for every image seen anywhere.
-
-    The latest event decides; a deletion wins a tie of dates, and unreadable
-    dates come before all others.  ``current_task`` is the latest completed task
-    (highest id among equal dates).
-    """
+def _counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     done = F.col("task_status") == S.COMPLETED
     seen = annotations.select(
         "image_name",
@@ -45,6 +41,7 @@ def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
         F.max("seen_at").alias("seen_at"),
         F.max("gone_at").alias("gone_at"),
         F.max("deletion").alias("deletion"),
+        F.count_if(F.col("deletion") == 0).alias("n_rows"),
         latest_done.alias("done"),
     )
     later = F.coalesce(F.col("gone_at") >= F.col("seen_at"), F.col("seen_at").isNull())
@@ -52,12 +49,27 @@ def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
         "image_name",
         ((F.col("deletion") == 1) & later).alias("is_gone"),
         F.col("done.done_task").alias("current_task"),
+        "n_rows",
     )
 
 
+def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
+    """``image_name, is_gone, current_task`` for every image seen anywhere.
+
+    The latest event decides; a deletion wins a tie of dates, and unreadable
+    dates come before all others.  ``current_task`` is the latest completed task
+    (highest id among equal dates).
+    """
+    return _counted_state(annotations, deleted).drop("n_rows")
+
+
 def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
-    """``annotations`` with a ``part`` column."""
-    state = image_state(annotations, deleted)
+    """``annotations`` with a ``part`` column.
+
+    Both the decision and the rows read ``annotations``; ``settle`` them first when
+    they come out of costly joins.
+    """
+    state = _counted_state(annotations, deleted)
     part = (
         F.when(F.coalesce("is_gone", F.lit(False)), OBSOLETE)
         .when(F.coalesce(F.col("task_status") != S.COMPLETED, F.lit(True)), IN_PROGRESS)
@@ -65,7 +77,7 @@ def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFra
         .otherwise(OBSOLETE)
     )
     return (
-        annotations.join(state, "image_name", "left")
+        lookup_join(annotations, state, ["image_name"], weight="n_rows")
         .select(*annotations.columns, part.alias("part"))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxmill import schema as S
 from boxmill.operators.lookup import name_index
 from boxmill.operators.selection import complete_boxes
+from boxmill.operators.skew import lookup_join
 from boxmill.sources.documents import frames_table
 
 PUSHED, NO_FRAME, NO_LABEL = "pushed", "no_frame", "no_label"
@@ -31,7 +32,8 @@ def match_shapes(annotations: DataFrame, frames: DataFrame, labels: DataFrame) -
         F.max("label_id").alias("label_id")
     )
     rows = complete_boxes(annotations).drop("frame_id", "label_id")
-    found = rows.join(index, ["task_id", "image_name"], "left").join(by_name, "instance_label", "left")
+    placed = lookup_join(rows, index, ["task_id", "image_name"])
+    found = lookup_join(placed, by_name, ["instance_label"])
     status = (
         F.when(F.col("frame_id").isNull(), NO_FRAME)
         .when(F.col("label_id").isNull(), NO_LABEL)

@@ -10,6 +10,7 @@ from boxmill.functions import month_name, object_key
 from boxmill.operators.lookup import attach_by_name, first_found, name_index, newest_object
 from boxmill.operators.ordered import number_rows
 from boxmill.operators.pick import first_per_key
+from boxmill.operators.skew import lookup_join
 from boxmill.operators.selection import split_deleted, with_labels, without_images
 
 CACHED, DOWNLOAD, UPLOAD, EXISTING, FAILED, MISSING = (
@@ -175,20 +176,27 @@ def enrich_paths(
     themselves.  Rows without a local file keep their ``image_path``.
     """
     columns = rows.columns
+    # one row per image with all that is looked up, so the rows are joined once
+    tables = []
+    if prefix is not None and mapping is not None:
+        tables.append(mapping.select("image_name", "server_file"))
+    if files is not None:
+        ranked = files if "dir_rank" in files.columns else files.withColumn("dir_rank", F.lit(0))
+        tables.append(
+            first_found(ranked, ["dir_rank"]).select(
+                F.col("name").alias("image_name"), F.col("path").alias("_local")
+            )
+        )
     out = rows
+    if tables:
+        known = tables[0] if len(tables) == 1 else tables[0].join(tables[1], "image_name", "full")
+        out = lookup_join(rows, known, ["image_name"])
     if prefix is not None:
-        name = F.col("image_name")
-        if mapping is not None:
-            out = out.join(mapping.select("image_name", "server_file"), "image_name", "left")
-            name = F.coalesce("server_file", "image_name")
+        name = F.coalesce("server_file", "image_name") if mapping is not None else F.col("image_name")
         out = out.withColumn("s3_path", object_key(prefix, name))
     if files is not None:
-        ranked = files if "dir_rank" in files.columns else files.withColumn("dir_rank", F.lit(0))
-        found = first_found(ranked, ["dir_rank"]).select(
-            F.col("name").alias("image_name"), F.col("path").alias("_local")
-        )
         kept = F.col("image_path") if "image_path" in columns else F.lit(None).cast("string")
-        out = out.join(found, "image_name", "left").withColumn("image_path", F.coalesce("_local", kept))
+        out = out.withColumn("image_path", F.coalesce("_local", kept))
     added = [c for c in ("s3_path", "image_path") if c in out.columns and c not in columns]
     return out.select(*columns, *added)
 

@@ -19,6 +19,8 @@ from boxmill.operators.lookup import first_found
 from boxmill.operators.ordered import number_rows
 from boxmill.operators.pick import first_per_key
 from boxmill.operators.selection import usable_shapes
+from boxmill.operators.skew import lookup_join
+from boxmill.session import settle
 from boxmill.sources.image_sizes import read_image_sizes
 from boxmill.sources.listing import search_listing, stem_candidates
 from boxmill.sources.yolo_text import (
@@ -51,11 +53,10 @@ def class_index(rows: DataFrame) -> DataFrame:
 
 
 def first_sizes(boxes: DataFrame, order: list[str]) -> DataFrame:
-    """Image size per (split, image): the one of its first row."""
-    return first_per_key(
-        boxes.select("split", "image_name", "image_width", "image_height", *order),
-        ["split", "image_name"], order,
-    ).select("split", "image_name", "image_width", "image_height")
+    """Size of the first row and number of rows per (split, image)."""
+    first = F.min_by(F.struct("image_width", "image_height"), F.struct(*order)).alias("_first")
+    sizes = boxes.groupBy("split", "image_name").agg(first, F.count("*").alias("n_rows"))
+    return sizes.select("split", "image_name", "_first.*", "n_rows")
 
 
 def yolo_lines(
@@ -69,7 +70,9 @@ def yolo_lines(
     boxes = usable_shapes(rows).where(F.col("instance_shape") == S.BOX)
     if sizes == "first":
         fixed = first_sizes(boxes, order)
-        boxes = boxes.drop("image_width", "image_height").join(fixed, ["split", "image_name"])
+        boxes = lookup_join(
+            boxes.drop("image_width", "image_height"), fixed, ["split", "image_name"], "inner", weight="n_rows"
+        )
     joined = boxes.join(classes, "instance_label", "left")
     index = F.when(
         F.col("class_id").isNull(),
@@ -214,6 +217,9 @@ def from_yolo_dataset(
         lines = part if lines is None else lines.unionByName(part)
     if images is None:
         return spark.createDataFrame([], S.ANNOTATION)
+    # many small files: read each once, go on from two compact tables
+    images = settle(images)
+    lines = None if lines is None else settle(lines)
     if lines is None:
         return none_rows(number_images(images, [split_rank(), "image_name"]))
     return dataset_from_tables(images, lines, classes, ["block", "pos"])
@@ -246,7 +252,8 @@ def from_yolo_predictions(
 ) -> tuple[DataFrame, DataFrame]:
     """Prediction files -> (dataset rows, files without an image)."""
     folders = [folder, *(image_folders or [])]
-    lines = label_lines(read_label_lines(spark, folder), on_error)
+    # many small files: read each once, go on from two compact tables
+    lines = settle(label_lines(read_label_lines(spark, folder), on_error))
     listing = search_listing(spark, folders)
     chosen = first_found(stem_candidates(listing), ["dir_rank", "sub_rank", "ext_rank"], by="stem")
     measured = None
@@ -254,8 +261,10 @@ def from_yolo_predictions(
         part = read_image_sizes(spark, one, sizes).select("path", "image_width", "image_height")
         measured = part if measured is None else measured.unionByName(part)
     measured = first_per_key(measured, ["path"], ["image_width", "image_height"])
-    images = chosen.join(measured, "path").select(
-        "stem", base_name("path").alias("image_name"), "image_width", "image_height"
+    images = settle(
+        chosen.join(measured, "path").select(
+            "stem", base_name("path").alias("image_name"), "image_width", "image_height"
+        )
     )
     files = lines.select("file", "stem").distinct()
     classes = class_names(spark, names) if names is not None else None

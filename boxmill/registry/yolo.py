@@ -78,7 +78,7 @@ def yolo_roundtrip(t: Tables) -> DataFrame:
     written = label_lines(settle(lines))
     shape_rank = F.when(F.col("instance_shape") == "box", 0).otherwise(1)
     images = Y.first_sizes(rows.withColumn("rank", shape_rank), ["rank", *_ORDER])
-    images = images.withColumn("stem", Y.stem("image_name"))
+    images = images.drop("n_rows").withColumn("stem", Y.stem("image_name"))
     names = classes.select("class_id", F.col("instance_label").alias("name"))
     out = Y.dataset_from_tables(images, written, names, ["src_task", "src_frame", "line"])
     return out.select(

@@ -50,6 +50,9 @@ def snapshot_documents(
         shapes = shapes.join(slices, ["task_id", "chunk"]).withColumn(
             "slice", F.pmod(F.xxhash64(*plain), F.col("_slices")).cast("int")
         )
+        # without this the grouping below would keep the join's distribution, that is
+        # all slices of a chunk in one task
+        shapes = shapes.repartition(*key)
     else:
         shapes = shapes.withColumn("slice", F.lit(0))
     have = set(snapshot.shapes.columns)

@@ -9,6 +9,7 @@ from boxmill import schema as S
 from boxmill.functions import attributes_json
 from boxmill.plans.extract import Records
 from boxmill.plans.partition import DATASET, IN_PROGRESS, OBSOLETE, deleted_images, partition_annotations
+from boxmill.session import settle
 
 
 def as_text_table(rows: DataFrame) -> DataFrame:
@@ -45,11 +46,13 @@ def _with_extra(rows: DataFrame, extra: list[str]) -> DataFrame:
 def write_partitioned(records: Records, folder: str, fmt: str = "parquet") -> None:
     """``parts/part=dataset|obsolete|in_progress`` and ``deleted``.
 
-    The parts go out in one job, so the history is partitioned once.
+    The extracted rows are read three times here (state per image, rows, deleted
+    images), so they are written once first instead of being extracted again.
     """
-    parts = partition_annotations(records.annotations, records.deleted)
+    kept = Records(settle(records.annotations), records.deleted)
+    parts = partition_annotations(kept.annotations, kept.deleted)
     write_table(parts, f"{folder}/parts", fmt, partition_by=["part"])
-    write_table(deleted_images(records.annotations, records.deleted), f"{folder}/deleted", fmt)
+    write_table(deleted_images(kept.annotations, kept.deleted), f"{folder}/deleted", fmt)
 
 
 def write_parts_separately(parts: DataFrame, gone: DataFrame, folder: str, fmt: str = "csv") -> None:

@@ -6,16 +6,14 @@ write_dropped BOOLEAN``.
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from boxmill.functions import frame_file_name
 from boxmill.operators.ordered import number_rows, number_within, with_previous
+from boxmill.session import settle
 
 SUMMARY_SECONDS = 60
 
@@ -49,26 +47,39 @@ def sequence_frames(frames: DataFrame, order: list[str] | None = None) -> DataFr
     return numbered.withColumn("file_name", frame_file_name("camera_no", "seq", "ts"))
 
 
-def sequence_frames_stream(frames: DataFrame) -> DataFrame:
-    """Stream: the same with one counter per camera as state."""
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    numbered = frames.select("camera_no", "frame_id", "ts").groupBy("camera_no").applyInPandasWithState(
-        _count_on,
-        "camera_no int, frame_id long, ts timestamp, seq long",
-        "next long",
-        "append",
-        "NoTimeout",
-    )
-    return numbered.withColumn("file_name", frame_file_name("camera_no", "seq", "ts"))
+def start_sequencing(
+    frames: DataFrame, folder: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """Stream: the same numbers, going on from batch to batch.
 
-
-def _count_on(key, batches, state):
-    """Number the batch's rows of one camera by arrival time."""
-    start = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "frame_id"], kind="stable")
-    rows["seq"] = range(start, start + len(rows))
-    state.update((start + len(rows),))
-    yield rows[["camera_no", "frame_id", "ts", "seq"]]
+    Every micro-batch is numbered like a table, so a busy camera is spread over
+    tasks; only the count per camera is carried on.  Batches write below their
+    number (``frames/batch=N``, ``counts/batch=N``), so a repeated batch gives the
+    same files.
+    """
+    spark = frames.sparkSession
+    rows_at, counts_at = f"{folder}/frames", f"{folder}/counts"
+    counts_layout = "camera_no int, frames long, batch int"
+
+    def number(batch: DataFrame, n: int) -> None:
+        own = settle(batch.select("camera_no", "frame_id", "ts"))
+        own.groupBy("camera_no").agg(F.count("*").alias("frames")).write.mode("overwrite").parquet(
+            f"{counts_at}/batch={n}"
+        )
+        before = (
+            spark.read.schema(counts_layout).parquet(counts_at).where(F.col("batch") < n)
+            .groupBy("camera_no").agg(F.sum("frames").alias("_before"))
+        )
+        numbered = number_within(own, ["camera_no"], ["ts", "frame_id"], "seq", start=0)
+        placed = numbered.join(before, "camera_no", "left").withColumn(
+            "seq", F.col("seq") + F.coalesce("_before", F.lit(0))
+        ).drop("_before")
+        placed.withColumn("file_name", frame_file_name("camera_no", "seq", "ts")).write.mode(
+            "overwrite"
+        ).parquet(f"{rows_at}/batch={n}")
+
+    writer = frames.writeStream.foreachBatch(number).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def camera_summary(events: DataFrame, seconds: int = SUMMARY_SECONDS) -> DataFrame:
@@ -108,6 +119,26 @@ def all_camera_totals(summary: DataFrame, seconds: int = SUMMARY_SECONDS) -> Dat
     )
 
 
+def totals_stream(events: DataFrame, seconds: int = SUMMARY_SECONDS) -> DataFrame:
+    """Stream: totals over all cameras straight from the events, with one state per
+    interval instead of a second aggregate over the summary."""
+    return events.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(
+        F.count_if(~F.col("incomplete")).alias("frames"),
+        (F.count_if(~F.col("incomplete")) / F.lit(float(seconds))).alias("fps"),
+        F.count_if(F.col("incomplete") | F.col("write_dropped")).alias("errors"),
+    ).select(F.col("w.start").alias("start"), "frames", "fps", "errors")
+
+
+def running_totals_stream(events: DataFrame) -> DataFrame:
+    """Stream: frames and errors of every camera since the start (update or complete
+    mode); the state is one row per camera."""
+    return events.groupBy("camera_no").agg(
+        F.count_if(~F.col("incomplete")).alias("total_frames"),
+        F.count_if("incomplete").alias("total_grab_errors"),
+        F.count_if(~F.col("incomplete") & F.col("write_dropped")).alias("total_write_drops"),
+    )
+
+
 def camera_numbers(devices: DataFrame, address: str = "ip") -> DataFrame:
     """``camera_no`` from 0 in the order of the address text."""
     return number_rows(devices, [address], "camera_no", start=0)

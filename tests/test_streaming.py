@@ -75,11 +75,25 @@ def test_stream_skips_repeats(spark, events, tmp_path):
 
 def test_stream_numbers_frames(spark, events, tmp_path):
     stream = C.complete_frames(replay(spark, events, tmp_path))
-    got = run(C.sequence_frames_stream(stream), "numbered", "append", tmp_path)
+    for _ in range(2):  # the second run finds nothing new
+        query = C.start_sequencing(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        query.awaitTermination(240)
+        assert query.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out/frames"))
+    assert got.select("batch").distinct().count() == 6
     columns = ["camera_no", "frame_id", "ts", "seq", "file_name"]
     assert rows(got, *columns) == rows(C.sequence_frames(C.complete_frames(events)), *columns)
 
 
+def test_stream_totals(spark, events, tmp_path):
+    stream = replay(spark, events, tmp_path)
+    got = run(C.totals_stream(stream.withWatermark("ts", "10 minutes")), "totals", "complete", tmp_path)
+    assert rows(got) == rows(C.all_camera_totals(C.camera_summary(events)))
+    got = run(C.running_totals_stream(stream), "running", "complete", tmp_path)
+    last = C.running_totals(C.camera_summary(events)).groupBy("camera_no").agg(F.max("total_frames"))
+    assert rows(got, "camera_no", "total_frames") == rows(last)
+
+
 def test_camera_numbers(spark):
     devices = spark.createDataFrame([("10.0.0.9",), ("10.0.0.10",)], "ip string")
     assert rows(C.camera_numbers(devices)) == [("10.0.0.10", 0), ("10.0.0.9", 1)]
