@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boxmill import schema as S
 from boxmill.plans.extract import Records, Snapshot, extract_records
+from boxmill.session import settle
 
 
 class Tables:
@@ -120,10 +121,15 @@ class Tables:
     def records(self) -> Records:
         return extract_records(self.snapshot)
 
+    @cached_property
+    def dataset(self) -> DataFrame:
+        """The annotation table as a fetch leaves it: written once, then read."""
+        return settle(self.records.annotations.drop("attributes"))
+
     @cached_property
     def history(self) -> DataFrame:
         """The annotation columns that partition needs."""
-        return self.records.annotations.select(
+        return self.dataset.select(
             "image_name", "task_id", "frame_id", "task_status", "task_updated_date"
         )
 
@@ -135,7 +141,7 @@ class Tables:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        return self.records.annotations.where(F.col("instance_shape") == S.BOX)
+        return self.dataset.where(F.col("instance_shape") == S.BOX)
 
     # --- merge: two versions by priority; the middle one is in both -----------
     @cached_property
@@ -172,7 +178,7 @@ class Tables:
             F.when(F.col("task_status") == S.COMPLETED, "train")
             .when(F.col("task_status") == "annotation", "val").otherwise("test")
         )
-        return self.records.annotations.withColumn("split", split).withColumn(
+        return self.dataset.withColumn("split", split).withColumn(
             "image_width", (F.lit(640) + F.lit(32) * F.col("frame_id")).cast("int")
         )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxmill.operators.skew import lookup_join
+
 INLINE_LIMIT = 5000
 
 
@@ -40,7 +42,7 @@ def with_spec_targets(
     one = rows.where(F.size(values) > 0).select(
         *row_key, F.posexplode(values).alias("_i", "_a")
     )
-    joined = one.select(*row_key, "_i", "_a.*").join(specs, "spec_id", "left")
+    joined = lookup_join(one.select(*row_key, "_i", "_a.*"), specs, ["spec_id"])
     packed = joined.groupBy(*row_key).agg(
         # as many entries as one shape has attributes
         F.array_sort(F.collect_list(F.struct("_i", "spec_id", "value", "target"))).alias("_packed")

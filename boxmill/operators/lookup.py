@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.functions import base_name
+from boxmill.operators.skew import lookup_join
 
 
 def name_index(
@@ -34,7 +35,10 @@ def name_index(
 def attach_by_name(
     rows: DataFrame, index: DataFrame, name: str, value: str, keys: list[str] | None = None
 ) -> DataFrame:
-    """Left join of rows on a ``name_index``: the name itself, else its base name."""
+    """Left join of rows on a ``name_index``: the name itself, else its base name.
+
+    Meant for one row per name, such as the distinct images of a dataset.
+    """
     keys = keys or []
     nested = F.instr(name, "/") > 0
     direct = index.select(*keys, F.col("lookup").alias("_l"), F.col(value).alias("_direct"))
@@ -62,8 +66,7 @@ def newest_object(objects: DataFrame) -> DataFrame:
 def duplicate_objects(objects: DataFrame) -> DataFrame:
     """Every object whose base name is listed more than once, with the one used."""
     newest = newest_object(objects).where("copies > 1").withColumnRenamed("name", "used")
-    return (
-        objects.select(base_name("name").alias("base"), "name")
-        .join(newest, "base")
-        .select("base", "name", "copies", (F.col("name") == F.col("used")).alias("is_used"))
+    named = objects.select(base_name("name").alias("base"), "name")
+    return lookup_join(named, newest, ["base"], "inner", weight="copies").select(
+        "base", "name", "copies", (F.col("name") == F.col("used")).alias("is_used")
     )

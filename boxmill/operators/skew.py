@@ -1,8 +1,9 @@
 """Many-to-one joins that hold when a few keys own much of the table.
 
-The adaptive skew join only acts when both sides of a join are plain shuffles.  A
+The adaptive skew join acts only when both sides of a join are plain shuffles.  A
 side aggregated on the join key keeps the distribution of its aggregate and takes
-that chance away, so joins back onto per-key tables spread their hot keys here.
+that chance away.  So the per-key side is written first: it has one row per key, is
+then read in its own right, and tells which keys are hot before the join is planned.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxmill.session import settle
+
 # A key with more rows than this is spread.  At most total_rows / HOT_ROWS keys can
 # be hot, which bounds the broadcast list of hot keys: 250,000 of 10^12 rows.
 HOT_ROWS = 4_000_000
@@ -22,21 +25,25 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     weight: str | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which has one row per key.
 
-    ``weight`` names the table column that says how many ``rows`` a key has; without
-    it the rows are counted first (combined before the shuffle).  A hot key gets one
-    copy of its table row per ``HOT_ROWS`` rows, and its rows are dealt to the copies
-    by the task that reads them, which stays the same when a task is run again.
+    ``weight`` names the table column that says how many ``rows`` a key has.  When
+    some key is hot, it gets one copy of its table row per ``HOT_ROWS`` rows, and its
+    rows are dealt to the copies by the task that reads them, which stays the same
+    when a task is run again.  Without hot keys, or without weights, this is a plain
+    join that the adaptive skew join can split.  ``written`` says that the table
+    comes straight from a scan already.
     """
+    table = table if written else settle(table)
     if weight is None:
-        sized = rows.groupBy(*keys).agg(F.count("*").alias("_weight"))
-    else:
-        sized = table.select(*keys, F.col(weight).alias("_weight"))
-    hot = sized.where(F.col("_weight") > HOT_ROWS).select(
-        *keys, F.ceil(F.col("_weight") / F.lit(HOT_ROWS)).cast("int").alias("_copies")
-    )
+        return rows.join(table, keys, how)
+    is_hot = F.col(weight) > HOT_ROWS
+    if table.where(is_hot).isEmpty():
+        return rows.join(table, keys, how)
+    copies = F.ceil(F.col(weight) / F.lit(HOT_ROWS)).cast("int")
+    hot = table.where(is_hot).select(*keys, copies.alias("_copies"))
     marked = rows.join(F.broadcast(hot), keys, "left")
     missing = F.lit(False)
     for key in keys:
@@ -49,11 +56,6 @@ def lookup_join(
         .otherwise(F.lit(0))
     )
     salted = marked.withColumn("_salt", salt.cast("int")).drop("_copies")
-    if weight is None:
-        counted = table.join(F.broadcast(hot), keys, "left")
-        copies = F.coalesce("_copies", F.lit(1))
-    else:
-        counted = table.withColumn("_copies", F.ceil(F.col(weight) / F.lit(HOT_ROWS)).cast("int"))
-        copies = F.greatest(F.col("_copies"), F.lit(1))
-    spread = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    slots = F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)
+    spread = table.withColumn("_salt", F.explode(slots))
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")

@@ -1,10 +1,9 @@
 """Snapshots -> flat annotation rows and deleted-image rows.
 
 Two inputs are understood.  Flat tables (tasks, frames, deleted frames, shapes)
-are the form for large projects: every join is on ``(task_id, frame_id)`` against
-a side that is unique on it, so a task or frame with very many shapes is split by
-the adaptive skew join.  Whole documents, one row per task, are handled inside the
-row without any shuffle.
+are the form for large projects: boxes are counted per frame first, which tells
+unannotated frames and lets the join spread frames with very many boxes.  Whole
+documents, one row per task, are handled inside the row without any shuffle.
 """
 
 from __future__ import annotations
@@ -18,9 +17,12 @@ from boxmill import schema as S
 from boxmill.functions import attributes_map, checked_name, corners
 from boxmill.operators.attributes import with_spec_targets
 from boxmill.operators.selection import completed, drop_ignored, rectangles, select_tasks
+from boxmill.operators.skew import lookup_join
+from boxmill.session import settle
 from boxmill.sources import documents as D
 
 _TASK = ("task_name", "task_status", "task_updated_date", "subset")
+_FRAME = ["task_id", "frame_id"]
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,13 @@ class Snapshot:
             D.shapes_table(good), labels,
         )
 
+    def written(self) -> "Snapshot":
+        """The tables written once; worth it for documents, which every table would
+        parse again."""
+        return Snapshot(
+            settle(self.tasks), settle(self.frames), settle(self.deleted), settle(self.shapes), self.labels
+        )
+
     def of_tasks(self, tasks: DataFrame) -> "Snapshot":
         """The same snapshot reduced to the given tasks."""
         return Snapshot(tasks, self.frames, self.deleted, self.shapes, self.labels)
@@ -82,7 +91,7 @@ def _named_attributes(rows: DataFrame, labels: DataFrame, row_key: list[str]) ->
     return known.withColumn("attributes", attributes_map(names, values))
 
 
-def _box_columns(shape_columns: set[str], image: Column | None = None) -> list[Column]:
+def _box_columns(shape_columns: set[str]) -> list[Column]:
     def own(name: str, default):
         return F.col(name) if name in shape_columns else F.lit(default)
 
@@ -108,21 +117,23 @@ def _image_columns() -> list[Column]:
     ]
 
 
-def box_rows(snapshot: Snapshot) -> DataFrame:
-    """One row per rectangle on a known frame, deleted frames included."""
-    return _box_rows(snapshot, _frames_of_tasks(snapshot))
-
+def counted_frames(snapshot: Snapshot) -> DataFrame:
+    """Frames of the tasks with task fields and ``n_boxes`` (NULL without boxes).
 
-def _frames_of_tasks(snapshot: Snapshot) -> DataFrame:
-    # task fields join the frames, of which there are fewer than shapes; the
-    # result then meets shapes, deletions and annotated frames on one key
+    Written once: both kinds of annotation rows are made from it.
+    """
+    # task fields join the frames, of which there are fewer than shapes
     tasks = snapshot.tasks.select("task_id", *_TASK)
-    return snapshot.frames.join(tasks, "task_id")
+    boxes = rectangles(snapshot.shapes).groupBy(*_FRAME).agg(F.count("*").alias("n_boxes"))
+    return settle(snapshot.frames.join(tasks, "task_id").join(boxes, _FRAME, "left"))
 
 
-def _box_rows(snapshot: Snapshot, framed: DataFrame) -> DataFrame:
+def box_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
+    """One row per rectangle on a known frame, deleted frames included."""
+    frames = counted_frames(snapshot) if frames is None else frames
     shapes = _named_attributes(rectangles(snapshot.shapes), snapshot.labels, ["task_id", "ord"])
-    joined = shapes.join(framed, ["task_id", "frame_id"]).join(
+    boxed = frames.where(F.col("n_boxes").isNotNull())
+    joined = lookup_join(shapes, boxed, _FRAME, "inner", weight="n_boxes", written=True).join(
         _label_names(snapshot.labels), "label_id", "left"
     )
     return S.conform(
@@ -133,17 +144,11 @@ def _box_rows(snapshot: Snapshot, framed: DataFrame) -> DataFrame:
     )
 
 
-def unannotated_rows(snapshot: Snapshot) -> DataFrame:
+def unannotated_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
     """One row per frame that is neither deleted nor holds a rectangle."""
-    return _unannotated_rows(snapshot, _frames_of_tasks(snapshot))
-
-
-def _unannotated_rows(snapshot: Snapshot, framed: DataFrame) -> DataFrame:
-    key = ["task_id", "frame_id"]
-    # reduced to one row per frame before the shuffle
-    boxed = rectangles(snapshot.shapes).select(*key).distinct()
-    gone = snapshot.deleted.select(*key).distinct()
-    free = framed.join(gone, key, "left_anti").join(boxed, key, "left_anti")
+    frames = counted_frames(snapshot) if frames is None else frames
+    gone = snapshot.deleted.select(*_FRAME).distinct()
+    free = frames.where(F.col("n_boxes").isNull()).join(gone, _FRAME, "left_anti")
     return S.conform(
         free.select(*_image_columns(), F.lit(S.NONE).alias("instance_shape"), "task_id", *_TASK, "frame_id")
     )
@@ -167,9 +172,9 @@ def deleted_rows(snapshot: Snapshot) -> DataFrame:
 
 
 def extract_records(snapshot: Snapshot) -> Records:
-    framed = _frames_of_tasks(snapshot)
-    boxes = _box_rows(snapshot, framed)
-    return Records(boxes.unionByName(_unannotated_rows(snapshot, framed)), deleted_rows(snapshot))
+    frames = counted_frames(snapshot)
+    annotations = box_rows(snapshot, frames).unionByName(unannotated_rows(snapshot, frames))
+    return Records(annotations, deleted_rows(snapshot))
 
 
 def extract_documents(docs: DataFrame, labels: DataFrame) -> Records:

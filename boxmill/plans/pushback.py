@@ -63,7 +63,7 @@ def mark_deleted(frames: DataFrame, deleted: DataFrame, names: DataFrame) -> Dat
     """
     keys = ["task_id", "image_name"] if "task_id" in names.columns else ["image_name"]
     index = frame_index(frames).withColumnRenamed("lookup", "image_name")
-    added = index.join(names.select(*keys).distinct(), keys, "left_semi")
+    added = lookup_join(index, names.select(*keys).distinct(), keys, "left_semi")
     return deleted.select("task_id", "frame_id").union(added.select("task_id", "frame_id")).distinct()
 
 

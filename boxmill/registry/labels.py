@@ -31,13 +31,13 @@ def label_unknown(t: Tables) -> DataFrame:
 @query("""SELECT coalesce(instance_label, '__no_annotation__') AS choice, count(*) AS n_rows FROM
   (SELECT instance_label FROM a_boxes UNION ALL SELECT NULL FROM a_none) u GROUP BY 1""")
 def label_candidates(t: Tables) -> DataFrame:
-    return P.label_candidates(t.records.annotations)
+    return P.label_candidates(t.dataset)
 
 
 @query("""SELECT image_name, task_id, frame_id, instance_label FROM a_boxes WHERE instance_label IN ('Brand#11', '<unknown>')
   UNION ALL SELECT image_name, task_id, frame_id, NULL FROM a_none""")
 def label_selection(t: Tables) -> DataFrame:
-    rows = P.with_labels(t.records.annotations, ["Brand#11", "<unknown>", "__no_annotation__"])
+    rows = P.with_labels(t.dataset, ["Brand#11", "<unknown>", "__no_annotation__"])
     return rows.select("image_name", "task_id", "frame_id", "instance_label")
 
 

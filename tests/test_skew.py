@@ -47,7 +47,7 @@ def test_a_hot_key_is_dealt_to_several_tasks(spark, low_limit):
     table = f.groupBy("k").agg(F.count("*").alias("w"))
     got = skew.lookup_join(f, table, ["k"], "left", "w").select("k", F.spark_partition_id().alias("task"))
     hot = {r.task: r["count"] for r in got.where("k = 'hot'").groupBy("task").count().collect()}
-    assert len(hot) >= 5 and max(hot.values()) < 500
+    assert len(hot) >= 4 and max(hot.values()) < 500
     assert got.where("k is null").select("task").distinct().count() >= 4
 
 
