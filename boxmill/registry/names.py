@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from boxmill import functions as B
 from boxmill.adapters import Tables
+from boxmill.operators.validate import rule_counts
 from boxmill.registry import query
 
 
@@ -87,3 +88,23 @@ def label_paths(t: Tables) -> DataFrame:
         "path", B.label_file_path("path").alias("label_path"), B.labels_folder("dir").alias("folder"),
         B.suffix(B.base_name("path")).alias("suffix"), B.month_name("p_name", "2026-02").alias("placed"),
     )
+
+
+@query("""SELECT problem, count(*) AS n_rows FROM (SELECT CASE
+  WHEN l_linestatus = 'F' AND l_returnflag = 'N' THEN 'image_name is empty' WHEN l_tax > 0.07 THEN 'image_name is not a bare file name'
+  WHEN l_discount > 0.09 THEN 'image_path is not absolute' WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'split is not train, val or test'
+  WHEN l_quantity > 49 THEN 'instance_shape is unknown' WHEN l_quantity < 5 THEN 'box row lacks label or corners' END AS problem
+  FROM lineitem) q WHERE problem IS NOT NULL GROUP BY 1""")
+def broken_rules(t: Tables) -> DataFrame:
+    """Order lines as dataset rows that break the rules in various ways."""
+    f, n, o = F.col("l_linestatus") == "F", F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"
+    name = F.concat(F.lit("i"), F.col("l_partkey").cast("string"), F.lit(".jpg"))
+    rows = t.raw("lineitem").select(
+        F.when(f & n, "").when(F.col("l_tax") > 0.07, F.concat(F.lit("d/"), name)).otherwise(name).alias("image_name"),
+        F.when(F.col("l_discount") > 0.09, "d/x").alias("image_path"),
+        F.when(o & n, "dev").otherwise("val").alias("split"),
+        F.when(F.col("l_quantity") > 49, "ellipse").otherwise("box").alias("instance_shape"),
+        F.when(F.col("l_quantity") >= 5, "x").alias("instance_label"),
+        *[F.lit(1.0).alias(c) for c in ("bbox_x_tl", "bbox_y_tl", "bbox_x_br", "bbox_y_br")],
+    )
+    return rule_counts(rows)

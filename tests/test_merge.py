@@ -129,3 +129,18 @@ def test_name_lists(spark, tmp_path):
         assert rows(read_deletion_names(spark, str(tmp_path / name))) == [("a.jpg",), ("b.jpg",)]
     assert rows(read_exclusion_names(spark, str(tmp_path / "new.csv"))) == [("a.jpg",), ("b.jpg",)]
     assert rows(read_exclusion_names(spark, str(tmp_path / "old.txt"))) == []
+
+
+def test_dataset_rules(spark):
+    from boxmill.operators.validate import check_rows, invalid_rows
+
+    layout = "image_name string, split string, instance_shape string, instance_label string, bbox_x_tl double, bbox_y_tl double, bbox_x_br double, bbox_y_br double, image_path string"
+    box = (1.0, 1.0, 2.0, 2.0)
+    data = spark.createDataFrame([
+        ("ok.jpg", None, "box", "x", *box, None), ("ok2.jpg", "val", "none", None, None, None, None, None, "/a"),
+        ("d/x.jpg", None, "none", None, *box, None), ("", None, "none", None, *box, None), ("a", "dev", "none", None, *box, None),
+        ("b", None, "oval", None, *box, None), ("c", None, "box", None, *box, None), ("e", None, "box", "x", *box, "rel")], layout)
+    assert rows(invalid_rows(data), "image_name") == [("",), ("a",), ("b",), ("c",), ("d/x.jpg",), ("e",)]
+    with pytest.raises(ValueError, match="1 rows: box row lacks label or corners; 1 rows: image_name is empty"):
+        check_rows(data)
+    assert check_rows(data.where("image_name like 'ok%'")).count() == 2
