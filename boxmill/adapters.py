@@ -124,7 +124,13 @@ class Tables:
     @cached_property
     def dataset(self) -> DataFrame:
         """The annotation table as a fetch leaves it: written once, then read."""
-        return settle(self.records.annotations.drop("attributes"))
+        return settle(
+            self.records.annotations.select(
+                "image_name", "image_width", "image_height", "instance_shape", "instance_label",
+                "bbox_x_tl", "bbox_y_tl", "bbox_x_br", "bbox_y_br",
+                "task_id", "task_status", "task_updated_date", "frame_id", "subset",
+            )
+        )
 
     @cached_property
     def history(self) -> DataFrame:
