@@ -186,7 +186,7 @@ def from_yolo_dataset(
     spark: SparkSession, folder: str, sizes: str = "each", on_error: str = "fail"
 ) -> DataFrame:
     """Dataset folder with ``dataset.yaml`` -> dataset rows."""
-    settings = load_mapping_file(f"{folder.removeprefix('file:').rstrip('/')}/dataset.yaml")
+    settings = load_mapping_file(f"{folder.rstrip('/')}/dataset.yaml")
     if not settings.get("names"):
         raise ValueError(f"no class names in {folder}/dataset.yaml")
     classes = class_names(spark, {"names": settings["names"]})

@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxmill import filesystem
+from boxmill.filesystem import open_filesystem
 from boxmill.plans.yolo import present_splits, stem_collisions
 from boxmill.session import settle
 
@@ -26,14 +28,7 @@ _REPORT = "name string, src string, dst string, status string, error string"
 def _ship() -> None:
     # workers get this module's functions by value; the package need not be installed
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def open_filesystem(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-    return fs.LocalFileSystem(), path
+    cloudpickle.register_pickle_by_value(filesystem)
 
 
 def _stream(disk, path: str):
@@ -53,8 +48,7 @@ def write_label_files(lines: DataFrame, empty: DataFrame, folder: str, order: li
     one streamed file at a time.  ``empty`` images get an empty file.
     """
     _ship()
-    disk, root = open_filesystem(folder)
-    del disk
+    _, root = open_filesystem(folder)
     sort = ["split", "stem", *order]
     ranged = lines.select("split", "stem", *order, "line").repartitionByRange(*sort).sortWithinPartitions(*sort)
     emitted = settle(

@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxmill.filesystem import read_text
 from boxmill.functions import base_name, stem
 
 
@@ -84,8 +85,7 @@ def parse_lines(lines: DataFrame, on_error: str = "fail", line: str = "line") ->
 
 def load_mapping_file(path: str) -> dict:
     """YAML (when PyYAML is there) or JSON settings file, read on the driver."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    text = read_text(os.fspath(path))
     try:
         import yaml
     except ImportError:

@@ -64,3 +64,27 @@ def test_plans_with_hot_images(spark, low_limit, monkeypatch):
     spread = results()
     monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
     assert spread == results()
+
+
+def test_the_adaptive_skew_join_can_act(spark):
+    """Below the limit the join is left to Spark: the written table makes both sides
+    plain shuffles.  Thresholds are brought down to test size."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        f = facts(spark, 60000).withColumn("load", F.xxhash64("v"))
+        table = f.groupBy("k").agg(F.count("*").alias("w"), F.max("v").alias("m"))
+        joined = skew.lookup_join(f, table, ["k"], "left", "w")
+        assert sum(r.m is not None for r in joined.collect()) == f.where("k is not null").count()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
