@@ -118,7 +118,8 @@ def slug(name: Column | str) -> Column:
 
 
 def frame_file_name(camera: Column | str, seq: Column | str, ts: Column | str) -> Column:
-    """``cam3_000042_20240101T000007_179575.jpg`` (UTC time of arrival)."""
+    """``cam3_000042_20240101T000007_179575.jpg``; the arrival time is written in the
+    session's time zone, which ``build_session`` sets to UTC."""
     number = _col(seq).cast("string")
     # lpad would cut numbers beyond six digits
     padded = F.when(F.length(number) >= 6, number).otherwise(F.lpad(number, 6, "0"))

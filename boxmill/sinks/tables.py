@@ -26,9 +26,6 @@ def write_table(rows: DataFrame, path: str, fmt: str = "parquet", partition_by:
     if fmt == "csv":
         table = S.conform(rows.drop(*extra)) if not extra else _with_extra(rows, extra)
         table = table.withColumn("attributes", attributes_json("attributes"))
-        if not partition_by and table.isEmpty():
-            # one file with the header line
-            table = table.coalesce(1)
         writer = table.write.option("header", True).option("quote", '"').option("escape", '"')
     else:
         table = S.conform(rows) if not extra else _with_extra(rows, extra)
