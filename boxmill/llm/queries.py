@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import pfair, site_lines
+from boxmill.llm import minmax, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op7_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.drop_site_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op8_minmax(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minmax.near_duplicates(_table(spark, folder, "documents"))
+
+
 # slots of each source in a period of the mix
 MIX_WEIGHTS = {"src0": 240, **{f"src{i}": 40 for i in range(1, 20)}, pfair.OTHER: 10}
 
@@ -29,7 +34,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
