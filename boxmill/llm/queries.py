@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import minmax, pfair, site_lines
+from boxmill.llm import bpe, minmax, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text as ids and back, as digests."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op7_site_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that are boilerplate of their source."""
     docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -34,7 +42,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
