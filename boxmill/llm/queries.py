@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, minmax, pfair, site_lines
+from boxmill.llm import bpe, byte_cnn, minmax, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _remainder(parts: int) -> Column:
+    """crc32 of the document id as text, modulo ``parts``; a NULL id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def _judged(scores: DataFrame, held_out: Column) -> DataFrame:
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op4_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole text."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    texts, marks = byte_cnn.training_sample(docs, labels, "quality", _remainder(4) != 2)
+    return _judged(byte_cnn.score(docs, byte_cnn.train(texts, marks), carry=["doc_id"]), _remainder(4) == 2)
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole text as ids and back, as digests."""
     import public_tokenizers
@@ -42,7 +59,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op4_byte_cnn, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
