@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, minmax, pfair, site_lines
+from boxmill.llm import bpe, byte_cnn, minmax, nnpu, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op4_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(byte_cnn.score(docs, byte_cnn.train(texts, marks), carry=["doc_id"]), _remainder(4) == 2)
 
 
+def op5_nnpu(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    toxic, rest, prior = nnpu.training_sample(docs, labels, "toxic", _remainder(3) != 1)
+    return _judged(nnpu.score(docs, nnpu.train(toxic, rest, prior), carry=["doc_id"]), _remainder(3) == 1)
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every whole text as ids and back, as digests."""
     import public_tokenizers
@@ -59,7 +66,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op4_byte_cnn, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op4_byte_cnn, op5_nnpu, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
