@@ -129,7 +129,8 @@ def mix_sources(
     name, entry = _stream(docs[source], weights).alias("stream"), _key(docs[key]).alias("key")
     places, n_slots = _places(docs.select(name, entry), weights, block_rows)
     rows = docs.select(name, entry, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    placed = lookup_join(rows, places, ["stream", "key"], "inner", weight="rows", written=True)
+    # the same plan at every size: a table of places that happens to fit in memory is not broadcast
+    placed = lookup_join(rows, places.hint("merge"), ["stream", "key"], "inner", weight="rows", written=True)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = F.floor(F.col("slot") * F.lit(parts) / F.lit(max(n_slots, 1))).cast("int")
     ordered = placed.repartitionById(parts, part).sortWithinPartitions("slot", "at", "key")
