@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, minmax, nnpu, pfair, site_lines
+from boxmill.llm import bpe, byte_cnn, hilbert, minmax, nnpu, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return hilbert.nearest(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
 def _remainder(parts: int) -> Column:
     """crc32 of the document id as text, modulo ``parts``; a NULL id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -66,7 +71,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op4_byte_cnn, op5_nnpu, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
