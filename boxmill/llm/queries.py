@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, hilbert, minmax, nnpu, pfair, site_lines
+from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, minmax, nnpu, pfair, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures of all documents, and the verdicts of their hosts."""
+    return host_rules.judge(_table(spark, folder, "documents"))
+
+
 def op3_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return hilbert.nearest(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
@@ -71,7 +76,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
+_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op2_host_rules, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,4 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_site_lines": site_lines.drop_site_lines_sql("documents")}
+    return {
+        "op2_host_rules": host_rules.judge_sql("documents"),
+        "op7_site_lines": site_lines.drop_site_lines_sql("documents"),
+    }

@@ -94,13 +94,13 @@ def drop_site_lines_sql(docs: str, ratio: float = RATIO, min_pages: int = MIN_PA
     return f"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, coalesce('h' || source, 'n') AS host, text FROM {docs}),
 lines AS (SELECT page, host, unnest(string_split(text, chr(10))) AS line,
-    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at FROM pages),
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM pages),
 sizes AS (SELECT host, count(*) AS n_pages FROM pages GROUP BY host),
 common AS (SELECT host, {trimmed} AS line, count(DISTINCT page) AS n FROM lines
     WHERE {trimmed} <> '' GROUP BY 1, 2),
 boiler AS (SELECT host, line FROM common JOIN sizes USING (host) WHERE n >= {min_pages} AND n > {ratio!r}::DOUBLE * n_pages),
 kept AS (SELECT l.page, count(*) AS n_lines, count(*) FILTER (b.line IS NOT NULL) AS n_dropped,
-    coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (b.line IS NULL), '') AS text
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (b.line IS NULL), '') AS text
     FROM lines l LEFT JOIN boiler b ON b.host = l.host AND b.line = {trimmed.replace('line', 'l.line')} GROUP BY l.page)
 SELECT p.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped,
     CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text
