@@ -1,8 +1,10 @@
 """Near-duplicate documents by min-max hashing of word shingles.
 
-Of each of 48 random orders a document keeps both the smallest and the largest of its shingles, 96 values
-for 48 passes.  A band is the two values of two orders; documents that share one of the 24 bands are
-candidates.  Two documents at a similarity of 0.85 miss each other with a probability of 2e-8.
+Of each of 96 random orders a document keeps both the smallest and the largest of its shingles, 192 values
+for 96 passes.  A band is the two values of three orders; documents that share one of the 32 bands are
+candidates.  Two documents at a similarity of 0.85 miss each other with a probability of 3e-7.  One bit each of
+128 values goes along: candidates whose bits differ more than those of documents at the limit ever do (less
+than one such pair in 10^9) are not fetched for the comparison of their sets.
 
 Documents of the same shingle set are one class from the start, so copies never meet in a band.  In a band
 every document is compared with hubs, not with every other: links to a hub join the classes, and a band is
@@ -14,6 +16,7 @@ are confirmed on full shingle sets.
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,13 @@ from boxmill.llm.ship import ship
 from boxmill.operators.skew import lookup_join
 from boxmill.session import settle
 
-ORDERS = 48
-BANDS = 24
+ORDERS = 96
+BANDS = 32
+SKETCH_BITS = 128
 WIDTH = 5
 PERCENT = 85
 
-_SIGNED = "id long, n_shingles long, print binary, bands array<long>"
+_SIGNED = "id long, n_shingles long, print binary, bands array<long>, sketch array<long>"
 
 
 def signatures(codes: np.ndarray, cut: np.ndarray, orders: int = ORDERS) -> np.ndarray:
@@ -57,6 +61,22 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first ``SKETCH_BITS`` values, as two 64-bit numbers a row."""
+    bits = (values[:, :SKETCH_BITS] & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """Sketch bits in which two sets at the similarity ``percent`` may differ, but for one pair in 10^9."""
+    differ, left = (1 - percent / 100) / 2, 1.0
+    for d in range(SKETCH_BITS + 1):
+        left -= comb(SKETCH_BITS, d) * differ**d * (1 - differ) ** (SKETCH_BITS - d)
+        if left < 1e-9:
+            return d
+    return SKETCH_BITS
+
+
 def _sets(piece: pa.RecordBatch, width: int):
     """(distinct shingles of every row, sorted; their number) of a piece of a batch id, text."""
     data, start, end = bytetext.flat(piece.column(1))
@@ -71,10 +91,11 @@ def _sign(batches, width: int):
         for piece in bytetext.slices(batch, "text"):
             sets, n = _sets(piece, width)
             full = np.flatnonzero(n)
-            keys = np.zeros((0, BANDS), np.int64)
+            keys, bits = np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.int64)
             if len(full):
                 cut = np.concatenate(([0], np.cumsum(n[full])))[:-1]
-                keys = band_keys(signatures(np.concatenate(sets), cut))
+                values = signatures(np.concatenate(sets), cut)
+                keys, bits = band_keys(values), sketches(values)
             ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -83,8 +104,9 @@ def _sign(batches, width: int):
                     pa.array(n),
                     pa.array(prints, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(pa.array(ends // (BANDS // 2)), pa.array(bits.ravel())),
                 ],
-                ["id", "n_shingles", "print", "bands"],
+                ["id", "n_shingles", "print", "bands", "sketch"],
             )
 
 
@@ -99,7 +121,7 @@ def _full_sets(batches, width: int):
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """The rows of bands that still hold two classes (columns band, id, n, class)."""
+    """The rows of bands that still hold two classes (columns band, id, n, class, s1, s2)."""
     sizes = rows.groupBy("band").agg(
         F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_rows")
     )
@@ -119,13 +141,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _class_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links a, b between classes that start as single documents; ``rows`` are written."""
-    found, hubs_a_band, round_no = None, 1, 0
+    found, hubs_a_band, round_no, apart = None, 1, 0, most_differing(percent)
     while not rows.isEmpty():
         slot = F.pmod(F.xxhash64(F.col("id"), F.lit(round_no)), F.lit(hubs_a_band))
-        chosen = rows.groupBy("band", slot.alias("_slot")).agg(F.min(F.struct("id", "n", "class")).alias("hub"))
+        chosen = rows.groupBy("band", slot.alias("_slot")).agg(F.min(F.struct("id", "n", "class", "s1", "s2")).alias("hub"))
         hubs = settle(chosen.select("band", "hub"))
-        near = (F.col("hub.class") != F.col("class")) & (
-            F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * F.lit(percent)
+        differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub.{b}"))) for b in ("s1", "s2")]
+        near = (
+            (F.col("hub.class") != F.col("class"))
+            & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * F.lit(percent))
+            & (differ[0] + differ[1] <= apart)
         )
         met = rows.join(hubs, "band").where(near)
         swap = F.col("id") > F.col("hub.id")
@@ -145,9 +170,10 @@ def _class_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
             found = links if found is None else found.unionByName(links)
             classes = components(links).withColumnRenamed("id", "class")
             rest = rest.join(classes, "class", "left")
-            rest = rest.select("band", "id", "n", F.coalesce("component", "class").alias("class"))
+            rest = rest.select("band", "id", "n", "s1", "s2", F.coalesce("component", "class").alias("class"))
         rows = _crowded(rest)
-        hubs_a_band, round_no = min(4 * hubs_a_band, 256), round_no + 1
+        # a band of near copies is through after one hub; the others get more at a time
+        hubs_a_band, round_no = min(32 * hubs_a_band, 256), round_no + 1
     return found
 
 
@@ -171,7 +197,10 @@ def near_duplicates(
     sets = settle(named.groupBy("print").agg(F.min("id").alias("head"), F.count("*").alias("rows")))
     heads = lookup_join(named, sets, ["print"], "inner", weight="rows", written=True).where("id = head")
     spread = settle(
-        heads.dropDuplicates(["print"]).select(F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"))
+        heads.dropDuplicates(["print"]).select(
+            F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"),
+            F.col("sketch")[0].alias("s1"), F.col("sketch")[1].alias("s2"),
+        )
     )
     rows = _crowded(spread.withColumn("class", F.col("id")))
     wanted = rows.select("id").distinct()
