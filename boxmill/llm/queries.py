@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, minmax, nnpu, pfair, site_lines
+from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, minmax, nnpu, pfair, site_lines, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op8_minmax(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.archive_pages(spark, _table(spark, folder, "pages"))
+
+
 # slots of each source in a period of the mix
 MIX_WEIGHTS = {"src0": 240, **{f"src{i}": 40 for i in range(1, 20)}, pfair.OTHER: 10}
 
@@ -76,7 +81,7 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op10_pfair, op8_minmax, op6_bpe, op2_host_rules, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
+_QUERIES = [op9_warc, op10_pfair, op8_minmax, op6_bpe, op2_host_rules, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -87,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_host_rules": host_rules.judge_sql("documents"),
         "op7_site_lines": site_lines.drop_site_lines_sql("documents"),
+        "op9_warc": warc.archive_pages_sql("pages"),
     }
