@@ -158,27 +158,29 @@ def _gradients(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, net:
     return [filters, flow.sum(axis=0), head, np.array([slope.sum()], np.float32)]
 
 
-def _scores(batches, net: Network):
+def _scores(batches, net: Network, text: str, out: str, carry: list[str]):
     for batch in batches:
-        for piece in bytetext.slices(batch, "_text", 256 << 10):
-            at = piece.schema.get_field_index("_text")
-            found = probabilities(*bytetext.flat(piece.column(at)), net)
-            rest = [(n, piece.column(k)) for k, n in enumerate(piece.schema.names) if k != at]
-            yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(found)], [*[n for n, _ in rest], "score"])
+        for piece in bytetext.slices(batch, text, 256 << 10):
+            found = probabilities(*bytetext.flat(piece.column(piece.schema.get_field_index(text))), net)
+            kept = [piece.column(piece.schema.get_field_index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], [*carry, out])
 
 
-def score(docs: DataFrame, net: Network, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all but the text) and ``score``, 0 to 1, for every row.
+def score(
+    docs: DataFrame, net: Network, text: str = "text", carry: list[str] | None = None, out: str = "score"
+) -> DataFrame:
+    """The columns ``carry`` (default: all) and ``out``, 0 to 1, for every row.
 
     The whole text is read; a NULL text counts as the empty one, which is one chunk of zeros.  A column
-    already called score is replaced.
+    already called as ``out`` is replaced.
     """
     ship()
     held = docs.sparkSession.sparkContext.broadcast(net)  # some 200 KB, whatever the data
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("score", *([text] if carry is None else []))]
-    bare = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bare.schema if f.name != "_text")
-    return bare.mapInArrow(lambda batches: _scores(batches, held.value), schema + "score double")
+    kept = [c for c in (docs.columns if carry is None else carry) if c != out]
+    bare = docs.select(*dict.fromkeys([*kept, text])).withColumn(text, docs[text].cast("string"))
+    kinds = dict(zip(bare.columns, (f.dataType.simpleString() for f in bare.schema)))
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in kept) + f"`{out}` double"
+    return bare.mapInArrow(lambda batches: _scores(batches, held.value, text, out, kept), schema)
 
 
 def training_sample(

@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, minmax, nnpu, pfair, site_lines, warc
+from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, html_cut, minmax, nnpu, pfair, site_lines, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_cut.extract(pages)
+
+
 def op2_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of all documents, and the verdicts of their hosts."""
     return host_rules.judge(_table(spark, folder, "documents"))
@@ -24,7 +30,7 @@ def op3_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.nearest(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
 
 
-def _remainder(parts: int) -> Column:
+def remainder(parts: int) -> Column:
     """crc32 of the document id as text, modulo ``parts``; a NULL id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
@@ -37,15 +43,15 @@ def _judged(scores: DataFrame, held_out: Column) -> DataFrame:
 def op4_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every whole text."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
-    texts, marks = byte_cnn.training_sample(docs, labels, "quality", _remainder(4) != 2)
-    return _judged(byte_cnn.score(docs, byte_cnn.train(texts, marks), carry=["doc_id"]), _remainder(4) == 2)
+    texts, marks = byte_cnn.training_sample(docs, labels, "quality", remainder(4) != 2)
+    return _judged(byte_cnn.score(docs, byte_cnn.train(texts, marks), carry=["doc_id"]), remainder(4) == 2)
 
 
 def op5_nnpu(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every whole text."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
-    toxic, rest, prior = nnpu.training_sample(docs, labels, "toxic", _remainder(3) != 1)
-    return _judged(nnpu.score(docs, nnpu.train(toxic, rest, prior), carry=["doc_id"]), _remainder(3) == 1)
+    toxic, rest, prior = nnpu.training_sample(docs, labels, "toxic", remainder(3) != 1)
+    return _judged(nnpu.score(docs, nnpu.train(toxic, rest, prior), carry=["doc_id"]), remainder(3) == 1)
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,11 +87,24 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
-_QUERIES = [op9_warc, op10_pfair, op8_minmax, op6_bpe, op2_host_rules, op3_hilbert, op4_byte_cnn, op5_nnpu, op7_site_lines]
+_QUERIES = [
+    op1_html_cut,
+    op2_host_rules,
+    op3_hilbert,
+    op4_byte_cnn,
+    op5_nnpu,
+    op6_bpe,
+    op7_site_lines,
+    op8_minmax,
+    op9_warc,
+    op10_pfair,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {run.__name__: run for run in _QUERIES}
+    import corpus_pipeline  # which imports this module
+
+    return {"pipeline": corpus_pipeline.run} | {run.__name__: run for run in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
