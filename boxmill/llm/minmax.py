@@ -7,10 +7,12 @@ candidates.  Two documents at a similarity of 0.85 miss each other with a probab
 than one such pair in 10^9) are not fetched for the comparison of their sets.
 
 Documents of the same shingle set are one class from the start, so copies never meet in a band.  In a band
-every document is compared with hubs, not with every other: links to a hub join the classes, and a band is
-done once all its documents are in one class or have been compared.  The number of hubs a round grows until
-that is so, so no candidate is left out, and a band of near copies costs one comparison a document.  Links
-are confirmed on full shingle sets.
+every document is compared with one hub, not with every other; links to a hub join the classes.  What bands
+still hold documents of several classes then goes by its rarest shingles: two linked documents share one of
+the rarest ones of both, and its place among them bounds what else they can share.  Under each such shingle
+the most typical document is the hub of one more round, and only what then can still be linked meets each
+other.  No candidate is left out, and a band of near copies costs one comparison a document.  Links are
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.llm import bytetext
@@ -121,12 +123,12 @@ def _full_sets(batches, width: int):
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """The rows of bands that still hold two classes (columns band, id, n, class, s1, s2)."""
-    sizes = rows.groupBy("band").agg(
+    """The rows of keys that still hold two classes (columns key, id, n, class, s1, s2)."""
+    sizes = rows.groupBy("key").agg(
         F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_rows")
     )
-    open_bands = sizes.where("_low < _high").select("band", "_rows")
-    return settle(lookup_join(rows, open_bands, ["band"], "inner", weight="_rows").drop("_rows"))
+    several = sizes.where("_low < _high").select("key", "_rows")
+    return settle(lookup_join(rows, several, ["key"], "inner", weight="_rows").drop("_rows"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -139,42 +141,81 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100).cast("long") * shared >= F.lit(percent).cast("long") * every).drop("_left", "_right")
 
 
-def _class_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links a, b between classes that start as single documents; ``rows`` are written."""
-    found, hubs_a_band, round_no, apart = None, 1, 0, most_differing(percent)
-    while not rows.isEmpty():
-        slot = F.pmod(F.xxhash64(F.col("id"), F.lit(round_no)), F.lit(hubs_a_band))
-        chosen = rows.groupBy("band", slot.alias("_slot")).agg(F.min(F.struct("id", "n", "class", "s1", "s2")).alias("hub"))
-        hubs = settle(chosen.select("band", "hub"))
-        differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub.{b}"))) for b in ("s1", "s2")]
-        near = (
-            (F.col("hub.class") != F.col("class"))
-            & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * F.lit(percent))
-            & (differ[0] + differ[1] <= apart)
-        )
-        met = rows.join(hubs, "band").where(near)
-        swap = F.col("id") > F.col("hub.id")
-        pairs = settle(
-            met.select(
-                F.when(swap, F.col("hub.id")).otherwise(F.col("id")).alias("a"),
-                F.when(swap, F.col("id")).otherwise(F.col("hub.id")).alias("b"),
-                F.when(swap, F.col("hub.class")).otherwise(F.col("class")).alias("class_a"),
-                F.when(swap, F.col("class")).otherwise(F.col("hub.class")).alias("class_b"),
-            ).distinct()
-        )
-        links = settle(
-            _confirmed(pairs, sets, percent).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-        )
-        rest = rows.join(hubs.select("band", F.col("hub.id").alias("id")), ["band", "id"], "left_anti")
-        if not links.isEmpty():
-            found = links if found is None else found.unionByName(links)
-            classes = components(links).withColumnRenamed("id", "class")
-            rest = rest.join(classes, "class", "left")
-            rest = rest.select("band", "id", "n", "s1", "s2", F.coalesce("component", "class").alias("class"))
-        rows = _crowded(rest)
-        # a band of near copies is through after one hub; the others get more at a time
-        hubs_a_band, round_no = min(32 * hubs_a_band, 256), round_no + 1
-    return found
+def _near(row: str, other: str, percent: int, placed: bool) -> Column:
+    """Whether two rows of a key can be linked, by class, size, sketch and (if ``placed``) place of the key."""
+    a, b = (lambda c: F.col(f"{row}{c}")), (lambda c: F.col(f"{other}{c}"))
+    differ = F.bit_count(a("s1").bitwiseXOR(b("s1"))) + F.bit_count(a("s2").bitwiseXOR(b("s2")))
+    near = (
+        (a("class") != b("class"))
+        & (F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * F.lit(percent))
+        & (differ <= most_differing(percent))
+    )
+    if placed:
+        # at the first shingle they share, all they share comes from there on
+        shared = F.least(a("n") - a("pos"), b("n") - b("pos"))
+        near = near & (shared * (100 + percent) >= (a("n") + b("n")) * F.lit(percent))
+    return near
+
+
+def _pairs(met: DataFrame, row: str, other: str) -> DataFrame:
+    """Written table of the distinct pairs a, b, with their classes."""
+    one, two = (F.struct(F.col(f"{p}id").alias("id"), F.col(f"{p}class").alias("class")) for p in (row, other))
+    low, high = F.least(one, two), F.greatest(one, two)
+    ends = [low["id"].alias("a"), high["id"].alias("b"), low["class"].alias("class_a"), high["class"].alias("class_b")]
+    return settle(met.select(*ends).distinct())
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Written links a, b between the classes of confirmed pairs."""
+    links = _confirmed(pairs, sets, percent).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    return settle(links.distinct())
+
+
+def _with_hubs(rows: DataFrame, sets: DataFrame, percent: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One round: (links to the hub of each key, the rows of keys that are not done, under their new classes)."""
+    fields = [*by, *[c for c in rows.columns if c not in (*by, "key")]]
+    hubs = settle(rows.groupBy("key").agg(F.min(F.struct(*fields)).alias("hub")))
+    met = rows.join(hubs, "key").where(_near("", "hub.", percent, "pos" in fields))
+    links = _linked(_pairs(met, "", "hub."), sets, percent)
+    # an id with two sets has two rows, told apart by their sketches
+    done = hubs.select("key", "hub.id", "hub.s1", "hub.s2")
+    rest = rows.join(done, ["key", "id", "s1", "s2"], "left_anti")
+    classes = components(links).withColumnRenamed("id", "class")
+    rest = rest.join(classes, "class", "left").withColumn("class", F.coalesce("component", "class")).drop("component")
+    return links, _crowded(rest)
+
+
+def _rarest(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The documents of ``rows`` under the shingles that a link of theirs must go through; ``pos`` is the place.
+
+    Shingles are ordered by the number of these documents that have them, so those of one document come
+    first; two documents at the limit share one of the first ``n - ceil(n * percent / 100) + 1`` of each.
+    """
+    own = settle(rows.drop("key").distinct())
+    held = sets.join(own.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    ranked = lookup_join(held, common, ["key"], "inner", weight="rows")
+    ordered = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rows", "key"))).alias("keys"))
+    first = own.join(own.groupBy("id").agg(F.count("*").alias("sets")), "id").join(ordered, "id")
+    last = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    # places below ``alone`` belong to shingles that nobody shares; an id with two sets has all its shingles,
+    # as if each came first
+    alone = F.when(F.col("sets") == 1, F.col("n") - F.size("keys"))
+    kept = F.when(F.col("sets") > 1, F.col("keys")).otherwise(
+        F.slice("keys", 1, F.greatest(last - F.col("alone") + 1, F.lit(0)).cast("int"))
+    )
+    spread = first.withColumn("alone", alone).select("id", "n", "class", "s1", "s2", "alone", F.posexplode(kept).alias("at", "k"))
+    place = F.coalesce(F.col("alone") + F.col("at"), F.lit(0).cast("long")).alias("pos")
+    return _crowded(spread.select(F.col("k.key").alias("key"), "id", "n", "class", "s1", "s2", place))
+
+
+def _class_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between classes that start as single documents; ``rows`` and ``sets`` are written."""
+    by_band, rest = _with_hubs(rows, sets, percent, ["id"])
+    by_rarity, rest = _with_hubs(_rarest(rest, sets, percent), sets, percent, ["pos", "id"])
+    other = rest.select("key", F.struct(*[c for c in rest.columns if c != "key"]).alias("other"))
+    met = rest.join(other, "key").where((F.col("id") < F.col("other.id")) & _near("", "other.", percent, True))
+    return by_band.unionByName(by_rarity).unionByName(_linked(_pairs(met, "", "other."), sets, percent))
 
 
 def near_duplicates(
@@ -198,13 +239,14 @@ def near_duplicates(
     heads = lookup_join(named, sets, ["print"], "inner", weight="rows", written=True).where("id = head")
     spread = settle(
         heads.dropDuplicates(["print"]).select(
-            F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"),
+            F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"),
             F.col("sketch")[0].alias("s1"), F.col("sketch")[1].alias("s2"),
         )
     )
     rows = _crowded(spread.withColumn("class", F.col("id")))
     wanted = rows.select("id").distinct()
-    held = bare.join(wanted, "id", "left_semi").mapInArrow(
+    # the same plan at every size: a list of ids that happens to fit in memory is not broadcast
+    held = bare.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(
         lambda batches: _full_sets(batches, width), "id long, shingles array<long>"
     )
     links = _class_links(rows, settle(held), percent)
@@ -212,7 +254,7 @@ def near_duplicates(
     ties = named.join(sets, "print").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     twice = named.groupBy("id").agg(F.min("print").alias("x"), F.max("print").alias("y")).where("x <> y").select("id")
     ties = ties.join(twice, F.col("a") == F.col("id"), "left_semi")
-    joined = components(ties if links is None else links.unionByName(ties))
+    joined = components(links.unionByName(ties))
     classes = sets.join(joined.withColumnRenamed("id", "head"), "head", "left")
     classes = classes.select("print", "rows", F.coalesce("component", "head").alias("component"))
     labelled = lookup_join(signed, classes, ["print"], "left", weight="rows")
