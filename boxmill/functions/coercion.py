@@ -24,7 +24,8 @@ def parse_time(text: Column | str) -> Column:
         | F.substring(s, -6, 1).isin(*signs)
         | F.substring(s, -5, 1).isin(*signs)
     )
-    zone = F.when(F.length(s) <= 10, F.lit(" 00:00:00Z")).when(zoned, F.lit("")).otherwise(F.lit("Z"))
+    hours_only = (F.length(s) > 16) & F.substring(s, -3, 1).isin(*signs)
+    zone = F.when(F.length(s) <= 10, F.lit(" 00:00:00Z")).when(hours_only, F.lit(":00")).when(zoned, F.lit("")).otherwise(F.lit("Z"))
     return F.when(F.substring(s, 5, 1) == "-", F.concat(s, zone).try_cast("timestamp"))
 
 

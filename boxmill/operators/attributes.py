@@ -2,62 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.operators.skew import lookup_join
+from boxmill.session import settle
 
-INLINE_LIMIT = 5000
+_ROW = "_row"
 
 
-def with_spec_targets(
-    rows: DataFrame,
-    specs: DataFrame,
-    row_key: list[str],
-    values: str = "attributes",
-    limit: int = INLINE_LIMIT,
-) -> DataFrame:
+def with_spec_targets(rows: DataFrame, specs: DataFrame, values: str = "attributes") -> DataFrame:
     """Turn ``values`` into structs ``spec_id, value, target``.
 
-    ``specs`` is ``spec_id, target`` with one row per spec id.  Up to ``limit``
-    specs (counted first) go into the plan as one map literal, without a shuffle.
-    Beyond it the values are unnested, joined and put together again per row; the
-    rows need a unique ``row_key`` for that.
+    ``specs`` is ``spec_id, target`` with one row per spec id, however many.  The rows get a number and are
+    written with it, so that it stays the same for both uses; their values are unnested, joined and put
+    together again under it.  Rows need no key of their own, and may repeat.
     """
     kind = dict(specs.dtypes)["target"]
-    head = specs.where(F.col("spec_id").isNotNull()).limit(limit + 1).collect()
-    if len(head) <= limit:
-        table = _literal_map(head, kind)
-        return rows.withColumn(
-            values,
-            F.transform(
-                values,
-                lambda a: F.struct(
-                    a["spec_id"].alias("spec_id"),
-                    a["value"].alias("value"),
-                    F.try_element_at(table, a["spec_id"]).alias("target"),
-                ),
-            ),
-        )
-    one = rows.where(F.size(values) > 0).select(
-        *row_key, F.posexplode(values).alias("_i", "_a")
-    )
-    joined = lookup_join(one.select(*row_key, "_i", "_a.*"), specs, ["spec_id"])
-    packed = joined.groupBy(*row_key).agg(
-        # as many entries as one shape has attributes
-        F.array_sort(F.collect_list(F.struct("_i", "spec_id", "value", "target"))).alias("_packed")
-    )
+    numbered = settle(rows.withColumn(_ROW, F.monotonically_increasing_id()))
+    one = numbered.where(F.size(values) > 0).select(_ROW, F.posexplode(values).alias("_i", "_a"))
+    joined = lookup_join(one.select(_ROW, "_i", "_a.*"), specs, ["spec_id"])
+    # as many entries as one row has attributes
+    entry = F.struct("_i", "spec_id", "value", "target")
+    packed = joined.groupBy(_ROW).agg(F.array_sort(F.collect_list(entry)).alias("_packed"))
+    none = F.array().cast(f"array<struct<_i:int,spec_id:bigint,value:string,target:{kind}>>")
     restored = F.transform(
-        F.coalesce("_packed", F.array().cast(f"array<struct<_i:int,spec_id:bigint,value:string,target:{kind}>>")),
+        F.coalesce("_packed", none),
         lambda a: F.struct(a["spec_id"].alias("spec_id"), a["value"].alias("value"), a["target"].alias("target")),
     )
-    return rows.drop(values).join(packed, row_key, "left").withColumn(values, restored).drop("_packed")
-
-
-def _literal_map(rows, kind: str) -> Column:
-    empty = F.create_map().cast(f"map<bigint,{kind}>")
-    if not rows:
-        return empty
-    keys = F.array(*[F.lit(int(r["spec_id"])) for r in rows]).cast("array<bigint>")
-    targets = F.array(*[F.lit(r["target"]) for r in rows]).cast(f"array<{kind}>")
-    return F.map_from_arrays(keys, targets)
+    found = numbered.join(packed, _ROW, "left").withColumn(values, restored)
+    return found.select(*rows.columns)

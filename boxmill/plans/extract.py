@@ -75,17 +75,18 @@ def spec_names(labels: DataFrame) -> DataFrame:
 
 
 def _label_names(labels: DataFrame) -> DataFrame:
-    return labels.select("label_id", "label_name")
+    # a definition that comes twice must not double the boxes
+    return labels.groupBy("label_id").agg(F.max("label_name").alias("label_name"))
 
 
-def _named_attributes(rows: DataFrame, labels: DataFrame, row_key: list[str]) -> DataFrame:
+def _named_attributes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     if "attributes" not in rows.columns:
         return rows.withColumn("attributes", S.empty_attributes())
     if "attributes" not in labels.columns:
         specs = labels.sparkSession.createDataFrame([], "spec_id long, target string")
     else:
         specs = spec_names(labels)
-    known = with_spec_targets(rows, specs, row_key)
+    known = with_spec_targets(rows, specs)
     names = F.transform("attributes", lambda a: F.coalesce(a["target"], a["spec_id"].cast("string")))
     values = F.transform("attributes", lambda a: a["value"])
     return known.withColumn("attributes", attributes_map(names, values))
@@ -131,7 +132,7 @@ def counted_frames(snapshot: Snapshot) -> DataFrame:
 def box_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
     """One row per rectangle on a known frame, deleted frames included."""
     frames = counted_frames(snapshot) if frames is None else frames
-    shapes = _named_attributes(rectangles(snapshot.shapes), snapshot.labels, ["task_id", "ord"])
+    shapes = _named_attributes(rectangles(snapshot.shapes), snapshot.labels)
     boxed = frames.where(F.col("n_boxes").isNotNull())
     joined = lookup_join(shapes, boxed, _FRAME, "inner", weight="n_boxes", written=True).join(
         _label_names(snapshot.labels), "label_id", "left"
@@ -205,7 +206,7 @@ def extract_documents(docs: DataFrame, labels: DataFrame) -> Records:
     shapes = one.where(F.col("frame").isNotNull()).select(
         "task_id", "ord", *_TASK, *frame_fields, *D.shape_columns(F.col("shape"))
     )
-    named = _named_attributes(shapes, labels, ["task_id", "ord"])
+    named = _named_attributes(shapes, labels)
     boxes = S.conform(
         named.join(_label_names(labels), "label_id", "left").select(
             *_image_columns(), *_box_columns(set(named.columns)), "task_id", *_TASK, "frame_id"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions import folded, hex_colour
 from boxmill.operators.attributes import with_spec_targets
+from boxmill.session import settle
 
 
 def label_usage(shapes: DataFrame) -> DataFrame:
@@ -106,9 +107,7 @@ def _renumbered(attributes: str):
     )
 
 
-def remap_shapes(
-    shapes: DataFrame, source: DataFrame, target: DataFrame, row_key: list[str] | None = None
-) -> DataFrame:
+def remap_shapes(shapes: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Shapes with the label and attribute ids of another project.
 
     A shape whose label is unknown there is dropped; an unknown attribute id stays.
@@ -116,27 +115,23 @@ def remap_shapes(
     moved = shapes.join(label_id_map(source, target), "label_id")
     moved = moved.withColumn("label_id", F.col("new_label_id")).drop("new_label_id")
     if "attributes" in shapes.columns:
-        moved = with_spec_targets(moved, attribute_id_map(source, target), row_key or ["task_id", "ord"])
+        moved = with_spec_targets(moved, attribute_id_map(source, target))
         moved = moved.withColumn("attributes", _renumbered("attributes"))
     return moved.select(*shapes.columns)
 
 
-def remap_tracks(
-    tracks: DataFrame, source: DataFrame, target: DataFrame, row_key: list[str] | None = None
-) -> DataFrame:
+def remap_tracks(tracks: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """The same for tracks: the track's own attributes and those of each of its shapes.
 
-    The shapes of a track are unnested, renumbered and put back in their order.
+    The shapes of a track are unnested under a number of the track, renumbered and put back in their order.
     """
-    key = row_key or ["task_id", "ord"]
-    moved = remap_shapes(tracks, source, target, key)
-    inner = tracks.select(*key, F.posexplode("shapes").alias("_at", "_s"))
-    flat = inner.select(*key, "_at", "_s", F.coalesce("_s.attributes", F.array().cast(
-        "array<struct<spec_id:bigint,value:string>>")).alias("attributes"))
-    ids = with_spec_targets(flat, attribute_id_map(source, target), [*key, "_at"])
+    moved = settle(remap_shapes(tracks, source, target).withColumn("_track", F.monotonically_increasing_id()))
+    none = F.array().cast("array<struct<spec_id:bigint,value:string>>")
+    flat = moved.select("_track", F.posexplode("shapes").alias("_at", "_s"))
+    flat = flat.withColumn("attributes", F.coalesce("_s.attributes", none))
+    ids = with_spec_targets(flat, attribute_id_map(source, target))
     ids = ids.withColumn("_s", F.col("_s").withField("attributes", _renumbered("attributes")))
     # a track is one row already, so this group is as large as an input row
-    packed = ids.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_all"))
-    joined = moved.join(packed, key, "left")
+    packed = ids.groupBy("_track").agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_all"))
     shapes = F.coalesce(F.transform("_all", lambda e: e["_s"]), F.col("shapes"))
-    return joined.withColumn("shapes", shapes).select(*tracks.columns)
+    return moved.join(packed, "_track", "left").withColumn("shapes", shapes).select(*tracks.columns)

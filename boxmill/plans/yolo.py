@@ -21,7 +21,7 @@ from boxmill.operators.pick import first_per_key
 from boxmill.operators.selection import usable_shapes
 from boxmill.operators.skew import lookup_join
 from boxmill.session import settle
-from boxmill.sources.image_sizes import read_image_sizes
+from boxmill.sources.image_sizes import read_image_sizes, readable
 from boxmill.sources.listing import search_listing, stem_candidates
 from boxmill.sources.yolo_text import (
     class_names,
@@ -194,7 +194,7 @@ def from_yolo_dataset(
     for split, sub in split_folders(settings).items():
         where = f"{folder.rstrip('/')}/{sub}"
         try:
-            found = read_image_sizes(spark, where, sizes)
+            found = readable(settle(read_image_sizes(spark, where, sizes)))
         except Exception as error:  # a split folder may be absent
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -258,7 +258,7 @@ def from_yolo_predictions(
     chosen = first_found(stem_candidates(listing), ["dir_rank", "sub_rank", "ext_rank"], by="stem")
     measured = None
     for one in folders:
-        part = read_image_sizes(spark, one, sizes).select("path", "image_width", "image_height")
+        part = readable(read_image_sizes(spark, one, sizes)).select("path", "image_width", "image_height")
         measured = part if measured is None else measured.unionByName(part)
     measured = first_per_key(measured, ["path"], ["image_width", "image_height"])
     images = settle(

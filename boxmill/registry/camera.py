@@ -12,10 +12,12 @@ def _text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, camera_no, frames, frames / 60.0::DOUBLE AS mean_fps,
-  grab_errors, write_drops FROM a_minutes""")
+@query("""SELECT strftime(g.start, '%Y-%m-%d %H:%M:%S') AS start, g.camera_no, coalesce(frames, 0) AS frames,
+  coalesce(frames, 0) / 60.0::DOUBLE AS mean_fps, coalesce(grab_errors, 0) AS grab_errors, coalesce(write_drops, 0) AS write_drops
+  FROM (SELECT camera_no, unnest(generate_series(min(start), max(start), INTERVAL 1 MINUTE)) AS start FROM a_minutes GROUP BY 1) g
+  LEFT JOIN a_minutes m ON m.camera_no = g.camera_no AND m.start = g.start""")
 def camera_minutes(t: Tables) -> DataFrame:
-    return _text(C.camera_summary(t.camera))
+    return _text(C.with_silent_intervals(C.camera_summary(t.camera)))
 
 
 @query("""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, camera_no, frames,

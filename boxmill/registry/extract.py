@@ -1,5 +1,7 @@
 """Extraction and task selection."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -8,8 +10,10 @@ from boxmill.functions import attributes_json
 from boxmill.operators import selection as P
 from boxmill.plans import extract as X
 from boxmill.registry import query
+from boxmill.session import scratch_root
 from boxmill.sinks.snapshots import snapshot_documents
 from boxmill.sinks.tables import as_text_table
+from boxmill.sources.documents import read_documents
 
 BOX_COLUMNS = [
     "image_name", "image_width", "image_height", "instance_shape", "instance_label",
@@ -128,3 +132,16 @@ def snapshot_round_trip(t: Tables) -> DataFrame:
     documents = snapshot_documents(t.snapshot, frames_per_document=4, shapes_per_document=3)
     records = X.extract_records(X.Snapshot.of_documents(documents, t.labels))
     return records.raw().select(*BOX_COLUMNS)
+
+
+@query(f"""SELECT {_BOX_SQL} FROM a_boxes UNION ALL
+  SELECT image_name, image_width, image_height, 'none', NULL, NULL, NULL, NULL, NULL,
+  task_id, task_name, task_status, task_updated_date, frame_id FROM a_none UNION ALL
+  SELECT image_name, image_width, image_height, 'deleted', NULL, NULL, NULL, NULL, NULL,
+  task_id, task_name, task_status, task_updated_date, frame_id FROM a_deleted""")
+def document_files(t: Tables) -> DataFrame:
+    """Flat tables -> document files in parts of four frames -> read with defaults -> rows."""
+    folder = f"{scratch_root(t.spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    snapshot_documents(t.snapshot, frames_per_document=4).write.json(folder)
+    records = X.extract_records(X.Snapshot.of_documents(read_documents(t.spark, folder), t.labels).written())
+    return records.raw().select(*BOX_COLUMNS)

@@ -68,11 +68,21 @@ def write_label_files(lines: DataFrame, empty: DataFrame, folder: str, order: li
         empty.select("split", "stem").distinct()
         .mapInPandas(lambda batches: _emit_empty(batches, folder, root), _MANIFEST)
     )
+    _drop_segments(folder)
     return emitted.where("final").unionByName(joined).unionByName(blanks).select(
         "split", "stem", "lines", "path"
     )
 
 
+def _drop_segments(folder: str) -> None:
+    """Segments are only needed until they are joined; those of repeated tasks go with them."""
+    from pyarrow import fs
+
+    disk, root = open_filesystem(folder)
+    if disk.get_file_info(f"{root}/.segments").type == fs.FileType.Directory:
+        disk.delete_dir(f"{root}/.segments")
+
+
 def _emit(batches, folder: str, root: str):
     """Write runs of equal (split, stem); the first and the last run as segments."""
     from pyspark import TaskContext
@@ -155,7 +165,8 @@ def write_descriptor(rows: DataFrame, classes: DataFrame, folder: str) -> None:
     """
     disk, root = open_filesystem(folder)
     # The three splits a descriptor can name, in this order.
-    used = {r["split"] for r in present_splits(rows).limit(100).collect()}
+    named = present_splits(rows).where(F.col("split").isin("train", "val", "test"))
+    used = {r["split"] for r in named.collect()}
     with _stream(disk, f"{root}/dataset.yaml") as out:
         out.write(f"path: {json.dumps(root)}\n".encode())
         for split in ("train", "val", "test"):
@@ -182,14 +193,15 @@ def copy_files(plan: DataFrame, folder: str = "", attempts: int = 3, wait: float
 def _copy(batches, attempts: int, wait: float):
     from pyarrow import fs
 
+    opened: dict = {}
     for batch in batches:
         rows = []
         for name, src, dst in zip(batch["name"], batch["src"], batch["dst"]):
             status, error = "failed", None
             for attempt in range(attempts):
                 try:
-                    source, src_path = open_filesystem(src)
-                    target, dst_path = open_filesystem(dst)
+                    source, src_path = open_filesystem(src, opened)
+                    target, dst_path = open_filesystem(dst, opened)
                     if target.get_file_info(dst_path).type != fs.FileType.NotFound:
                         status, error = "existing", None
                         break
@@ -201,8 +213,10 @@ def _copy(batches, attempts: int, wait: float):
                     target.move(partial, dst_path)
                     status, error = "copied", None
                     break
-                except (OSError, ConnectionError) as problem:
+                except Exception as problem:  # whatever is wrong with one file belongs in its row
                     error = f"{type(problem).__name__}: {problem}"
+                    if not isinstance(problem, OSError):
+                        break
                     if attempt + 1 < attempts:
                         time.sleep(min(wait * 2**attempt, 10))
             rows.append((name, src, dst, status, error))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmill import schema as S
-from boxmill.functions import creator_name, or_empty, updated_date
+from boxmill.functions import creator_name, or_empty, parse_time, updated_date
 
 CORRUPT = "_corrupt_record"
 
@@ -15,26 +17,50 @@ def read_documents(
     spark: SparkSession,
     path: str | list[str],
     on_error: str = "fail",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """One row per task document.
+    """One row per task document, however many a file holds.
 
-    ``multi_line`` reads one document per file; switch it off for JSON lines,
-    which Spark can split.  Broken documents fail the job, or with
-    ``on_error="skip"`` they are kept aside: see ``broken_documents``.
+    A file is either JSON lines, a document a line, or one document over several lines.  Which it is is found
+    out file by file: with a line that is an object from its first to its last character it is JSON lines.
+    ``multi_line`` says it beforehand for all files, which saves a scan.  Broken documents fail the job, or
+    with ``on_error="skip"`` they are kept aside: see ``broken_documents``.
     """
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
+    if multi_line is not None:
+        return _documents(spark, path, multi_line, on_error)
+    line = F.regexp_replace("value", r"\s+$", "")
+    complete = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), complete.alias("complete"))
+    # one row per file, which the driver lists anyway
+    kinds = text.groupBy("file").agg(F.max("complete").alias("lines")).collect()
+    whole = [_listed(r["file"]) for r in kinds if not r["lines"]]
+    if not whole:
+        return _documents(spark, path, False, on_error)
+    if len(whole) == len(kinds):
+        return _documents(spark, path, True, on_error)
+    by_line = [_listed(r["file"]) for r in kinds if r["lines"]]
+    return _documents(spark, by_line, False, on_error).unionByName(_documents(spark, whole, True, on_error))
+
+
+def _listed(file: str) -> str:
+    """The path of a file as it is listed: without escapes, glob characters taken literally."""
+    plain = unquote(file)
+    return "".join("\\" + c if c in "{}[]*?\\" else c for c in plain)
+
+
+def _documents(spark: SparkSession, path: str | list[str], multi_line: bool, on_error: str) -> DataFrame:
     reader = spark.read.option("multiLine", multi_line)
     if on_error == "fail":
-        return reader.option("mode", "FAILFAST").schema(S.DOCUMENT).json(path)
-    layout = S.T.StructType(S.DOCUMENT.fields).add(CORRUPT, S.T.StringType())
+        return reader.option("mode", "FAILFAST").schema(S.DOCUMENT).json(path).select(*S.DOCUMENT.names)
+    layout = S.T.StructType([*S.DOCUMENT.fields, S.T.StructField(CORRUPT, S.T.StringType())])
     return (
         reader.option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .schema(layout)
         .json(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
+        .select(*S.DOCUMENT.names, CORRUPT, F.col("_metadata.file_path").alias("_file"))
     )
 
 
@@ -114,8 +140,11 @@ def shape_columns(shape: Column) -> list[Column]:
 
 
 def tasks_table(documents: DataFrame) -> DataFrame:
-    # a task whose snapshot is spread over several documents appears once
-    return documents.select(*task_columns()).distinct()
+    # a task whose snapshot is spread over several documents, or exported twice, appears once: the latest
+    tasks = documents.select(*task_columns())
+    rest = [c for c in tasks.columns if c != "task_id"]
+    latest = F.max_by(F.struct(*rest), F.struct(parse_time("task_updated_date"), F.struct(*rest)))
+    return tasks.groupBy("task_id").agg(latest.alias("t")).select("task_id", "t.*")
 
 
 def frames_table(documents: DataFrame) -> DataFrame:

@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxmill import schema as S
 from boxmill.sources.yolo_text import load_mapping_file
 
 
-def _entry(raw) -> tuple | None:
-    if isinstance(raw, dict):
-        try:
-            number = int(raw["id"])
-        except (KeyError, TypeError, ValueError):
-            return None
-        return (
-            number, str(raw.get("name", "")), str(raw.get("description", "")),
-            bool(raw.get("silent", False)),
-        )
-    if isinstance(raw, int) or (isinstance(raw, str) and raw.strip().isdigit()):
-        return (int(raw), "", "", False)
-    return None
+def _field(name: str) -> Column:
+    return F.get_json_object("entry", f"$.{name}")
 
 
 def ignore_list(spark: SparkSession, source: str | dict) -> DataFrame:
     """``project, id, name, description, silent``.
 
-    Entries are objects with an ``id``, bare numbers or digit strings; anything
-    else is passed over.
+    An entry is an object or a bare id.  Every entry becomes a row of JSON text, and its columns are cast out
+    of it; a row whose id is no whole number is left out.
     """
-    data = load_mapping_file(source) if isinstance(source, str) else source
-    section = data.get("ignore", data) if isinstance(data, dict) else {}
-    rows = [
-        (str(project), *entry)
-        for project, entries in (section or {}).items()
-        if isinstance(entries, list)
-        for entry in map(_entry, entries)
-        if entry is not None
+    settings = load_mapping_file(source) if isinstance(source, str) else source
+    projects = settings.get("ignore", settings) if isinstance(settings, dict) else None
+    listed = [
+        (str(project), json.dumps(entry))
+        for project, entries in (projects or {}).items()
+        for entry in (entries if isinstance(entries, list) else ())
     ]
-    return spark.createDataFrame(rows, S.IGNORED)
+    rows = spark.createDataFrame(listed, "project string, entry string")
+    is_object = F.startswith("entry", F.lit("{"))
+    number = F.when(is_object, _field("id")).otherwise(F.btrim("entry", F.lit('"')))
+    silent = F.coalesce(_field("silent"), F.lit("")).isin("", "0", "false", "null")
+    return rows.select(
+        "project",
+        F.trim(number).try_cast("bigint").alias("id"),
+        F.coalesce(_field("name"), F.lit("")).alias("name"),
+        F.coalesce(_field("description"), F.lit("")).alias("description"),
+        (is_object & ~silent).alias("silent"),
+    ).where("id is not null").to(S.IGNORED)

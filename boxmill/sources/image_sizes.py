@@ -1,21 +1,34 @@
 """Image dimensions from file headers.
 
-Spark ships the files; a small Python helper looks at the header bytes only, so
-no pixel is decoded.  A file whose header is not understood gets NULL size.
+Spark lists the files; a small Python helper reads each from its start until the size
+is found, so no pixel is decoded.  A file whose header is not understood gets NULL size.
 """
 
 from __future__ import annotations
 
 import struct
 
+import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.sources.listing import _plain
+from boxmill import filesystem
+from boxmill import schema as S
+from boxmill.filesystem import open_filesystem
+from boxmill.sources.listing import image_files, list_files
 
-HEAD_BYTES = 1 << 18
+STEP_BYTES = 1 << 16  # read at first; each further read is twice as long
+# fixed values: extensions of files that are measured, and starts of formats with a longer mark
+MEASURED = (*S.IMAGE_EXTENSIONS, ".gif")
+_STARTS = (b"\x89PNG", b"RIFF", b"II*\x00", b"MM\x00*")
+
+
+def ship() -> None:
+    # workers get this module's functions by value; the package need not be installed
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(filesystem)
 
 
 def header_size(data: bytes) -> tuple[int, int] | None:
@@ -87,52 +100,77 @@ def _tiff(data: bytes) -> tuple[int, int] | None:
     return (found[256], found[257]) if len(found) == 2 else None
 
 
-def read_image_sizes(spark: SparkSession, root: str, mode: str = "each") -> DataFrame:
-    """``path, name, image_width, image_height`` of the image files below a folder.
+def stream_size(source, step: int = STEP_BYTES) -> tuple[int, int] | None:
+    """(width, height) from an open stream; as much is read as it takes to find them."""
+    data = b""
+    while True:
+        more = source.read(step)
+        data += more
+        try:
+            found = header_size(data)
+        except struct.error:  # cut inside a field
+            found = None
+        if found is not None or not more or _hopeless(data):
+            return found
+        step *= 2
+
+
+def _hopeless(data: bytes) -> bool:
+    """Whether no further byte can tell the size: the start is that of no known format."""
+    return len(data) >= 12 and not (data[:2] in (b"\xff\xd8", b"BM") or data[:3] == b"GIF" or data[:4] in _STARTS)
+
+
+def _measured(batches):
+    opened: dict = {}
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            try:
+                disk, inside = open_filesystem(path, opened)
+                with disk.open_input_stream(inside) as source:
+                    found.append(stream_size(source) or (None, None))
+            except OSError:
+                found.append((None, None))
+        yield pd.DataFrame(
+            {
+                "path": batch["path"],
+                "name": batch["name"],
+                "image_width": pd.array([w for w, _ in found], dtype="Int32"),
+                "image_height": pd.array([h for _, h in found], dtype="Int32"),
+            }
+        )
 
-    ``each`` reads every header.  ``first`` reads one file, the first by path,
-    and gives its size to all of them.
-    """
-    import sys
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{jpg,jpeg,png,bmp,tiff,webp,JPG,JPEG,PNG,BMP,TIFF,WEBP,gif,GIF}")
-        .load(root)
-    )
-    prefix = _plain(root) + "/"
-    name = F.substring("path", F.locate(prefix, F.col("path")) + len(prefix), F.length("path"))
-    listing = files.select("path", name.alias("name"))
-
-    def sizes(batches):
-        for batch in batches:
-            found = [header_size(bytes(b)) or (None, None) for b in batch["head"]]
-            yield pd.DataFrame(
-                {
-                    "path": batch["path"],
-                    "name": batch["name"],
-                    "image_width": pd.array([w for w, _ in found], dtype="Int32"),
-                    "image_height": pd.array([h for _, h in found], dtype="Int32"),
-                }
-            )
+def read_image_sizes(spark: SparkSession, root: str, mode: str = "each") -> DataFrame:
+    """``path, name, image_width, image_height`` of the image files below a folder, extensions in any case.
 
+    ``each`` opens every picture.  ``first`` opens one, the first by path, and gives its size to all of them.
+    A picture that cannot be read has NULL sizes: see ``readable`` and ``unreadable``.  Only paths are
+    listed; tasks read pictures as far as they must.
+    """
+    ship()
+    listing = image_files(list_files(spark, root), MEASURED).select("path", "name")
     layout = "path string, name string, image_width int, image_height int"
-    # the size fields of a TIFF may stand at the end of the file
-    whole = F.rlike("path", F.lit(r"(?i)\.tiff$"))
-    head = F.when(whole, F.col("content")).otherwise(F.substring("content", 1, HEAD_BYTES))
-    heads = files.select("path", name.alias("name"), head.alias("head"))
     if mode == "each":
-        return heads.mapInPandas(sizes, layout)
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return listing.repartition(parts, "path").mapInPandas(_measured, layout)
     if mode != "first":
         raise ValueError("mode is 'each' or 'first'")
-    top = listing.orderBy("path").limit(1).collect()
-    if not top:
+    top = listing.orderBy("path").limit(1)
+    one = top.mapInPandas(_measured, layout).collect()
+    if not one:
         return spark.createDataFrame([], layout)
-    one = heads.where(F.col("path") == top[0]["path"]).mapInPandas(sizes, layout).first()
     return listing.select(
         "path", "name",
-        F.lit(one["image_width"]).cast("int").alias("image_width"),
-        F.lit(one["image_height"]).cast("int").alias("image_height"),
+        F.lit(one[0]["image_width"]).cast("int").alias("image_width"),
+        F.lit(one[0]["image_height"]).cast("int").alias("image_height"),
     )
+
+
+def readable(sizes: DataFrame) -> DataFrame:
+    return sizes.where("image_width is not null and image_height is not null")
+
+
+def unreadable(sizes: DataFrame) -> DataFrame:
+    """The report: pictures whose size was not found, which take no part in a conversion."""
+    return sizes.where("image_width is null or image_height is null").select("path", "name")

@@ -17,14 +17,29 @@ YOLO_COLUMNS = ("image_name", "instance_shape", "split")
 TIME_COLUMN = "task_updated_date"
 
 
-def _raw_csv(spark: SparkSession, path: str | list[str], splittable: bool) -> DataFrame:
-    return (
-        spark.read.option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", not splittable)
-        .csv(path)
-    )
+# fixed value: the white space that is cut off names in a plain list
+_BLANKS = " \t\r\n\f\x0b"
+
+
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the files has an odd number of quotes, as a quoted line break leaves it."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _raw_csv(spark: SparkSession, path: str | list[str], splittable: bool | None = None) -> DataFrame:
+    """Text columns of CSV files, found by name.
+
+    Several paths may have their columns in any order, or lack some; the files below one path must have the
+    same header, and any other header is an error when the rows are read.
+    """
+    out = None
+    for one in [path] if isinstance(path, str) else path:
+        whole = _breaks_lines(spark, one) if splittable is None else not splittable
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        part = reader.option("quote", '"').option("escape", '"').option("multiLine", whole).csv(one)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_dataset_csv(
@@ -32,14 +47,14 @@ def read_dataset_csv(
     path: str | list[str],
     required=(),
     require_time: bool = False,
-    splittable: bool = False,
+    splittable: bool | None = None,
 ) -> DataFrame:
     """Dataset CSV with columns found by name and cast to the dataset types.
 
     Nothing is inferred: ``007`` stays text and only an empty field is NULL.
     Numbers are read through DOUBLE because integer columns with gaps are often
-    stored as ``3.0``.  ``splittable`` lets Spark cut big files at line ends; it
-    needs files without line breaks inside quoted fields.
+    stored as ``3.0``.  Big files are cut at line ends unless a quoted field holds a line
+    break, for which the text is looked through first; ``splittable`` says so beforehand.
     """
     raw = _raw_csv(spark, path, splittable)
     S.require(raw, required, str(path))
@@ -64,17 +79,17 @@ def read_dataset_csv(
 def read_deletion_names(spark: SparkSession, path: str) -> DataFrame:
     """Distinct image names of a deletion list: a CSV with an ``image_name``
     column, else plain text with one name per line."""
-    raw = _raw_csv(spark, path, splittable=False)
+    raw = _raw_csv(spark, path)
     if "image_name" in raw.columns:
         names = raw.select("image_name")
     else:
-        names = spark.read.text(path).select(F.trim("value").alias("image_name"))
+        names = spark.read.text(path).select(F.btrim("value", F.lit(_BLANKS)).alias("image_name"))
     return names.where(F.coalesce(F.col("image_name"), F.lit("")) != "").distinct()
 
 
 def read_exclusion_names(spark: SparkSession, path: str) -> DataFrame:
     """Distinct image names of an in-progress CSV; empty without the column."""
-    raw = _raw_csv(spark, path, splittable=False)
+    raw = _raw_csv(spark, path)
     if "image_name" not in raw.columns:
         return spark.createDataFrame([], "image_name string")
     return raw.select("image_name").dropna().distinct()

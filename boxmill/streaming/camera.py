@@ -53,23 +53,25 @@ def start_sequencing(
     """Stream: the same numbers, going on from batch to batch.
 
     Every micro-batch is numbered like a table, so a busy camera is spread over
-    tasks; only the count per camera is carried on.  Batches write below their
-    number (``frames/batch=N``, ``counts/batch=N``), so a repeated batch gives the
-    same files.
+    tasks; only the total per camera is carried on.  Batches write below their
+    number (``frames/batch=N``, ``totals/batch=N``), so a repeated batch gives the
+    same files; a batch reads the totals of the one before it and nothing older.
     """
     spark = frames.sparkSession
-    rows_at, counts_at = f"{folder}/frames", f"{folder}/counts"
-    counts_layout = "camera_no int, frames long, batch int"
+    rows_at, totals_at = f"{folder}/frames", f"{folder}/totals"
+    totals_layout = "camera_no int, total long"
 
     def number(batch: DataFrame, n: int) -> None:
         own = settle(batch.select("camera_no", "frame_id", "ts"))
-        own.groupBy("camera_no").agg(F.count("*").alias("frames")).write.mode("overwrite").parquet(
-            f"{counts_at}/batch={n}"
-        )
-        before = (
-            spark.read.schema(counts_layout).parquet(counts_at).where(F.col("batch") < n)
-            .groupBy("camera_no").agg(F.sum("frames").alias("_before"))
-        )
+        if n == 0:
+            before = spark.createDataFrame([], totals_layout)
+        else:
+            before = spark.read.schema(totals_layout).parquet(f"{totals_at}/batch={n - 1}")
+        counts = own.groupBy("camera_no").agg(F.count("*").alias("total"))
+        counts.unionByName(before).groupBy("camera_no").agg(F.sum("total").alias("total")).write.mode(
+            "overwrite"
+        ).parquet(f"{totals_at}/batch={n}")
+        before = before.withColumnRenamed("total", "_before")
         numbered = number_within(own, ["camera_no"], ["ts", "frame_id"], "seq", start=0)
         placed = numbered.join(before, "camera_no", "left").withColumn(
             "seq", F.col("seq") + F.coalesce("_before", F.lit(0))
@@ -100,6 +102,18 @@ def camera_summary(events: DataFrame, seconds: int = SUMMARY_SECONDS) -> DataFra
     )
 
 
+def with_silent_intervals(summary: DataFrame, seconds: int = SUMMARY_SECONDS) -> DataFrame:
+    """Batch: also a row of zeros for every interval without events between a camera's first and last one."""
+    spans = summary.groupBy("camera_no").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    every = F.sequence("low", "high", F.expr(f"INTERVAL {int(seconds)} SECOND"))
+    starts = spans.select("camera_no", F.explode(every).alias("start"))
+    filled = starts.join(summary, ["camera_no", "start"], "left")
+    counts = [c for c in summary.columns if c not in ("camera_no", "start")]
+    return filled.select(
+        "start", "camera_no", *[F.coalesce(c, F.lit(0).cast(dict(summary.dtypes)[c])).alias(c) for c in counts]
+    )
+
+
 def running_totals(summary: DataFrame) -> DataFrame:
     """Batch: frames of every camera up to and including each interval.
 

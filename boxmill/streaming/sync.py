@@ -27,6 +27,8 @@ def object_stream(spark: SparkSession, root: str, files_per_batch: int = 100_000
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("recursiveFileLookup", True)
+        # a file counts as new by its name, however old it is
+        .option("maxFileAge", "36500d")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
         .select(

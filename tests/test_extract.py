@@ -12,6 +12,7 @@ from boxmill.operators import attributes as A
 from boxmill.operators import selection as P
 from boxmill.plans.extract import (
     Snapshot,
+    box_rows,
     choose_tasks,
     extract_documents,
     extract_records,
@@ -194,14 +195,14 @@ def test_ignore_list_entries(spark):
     assert rows(P.project_names(projects, added)) == [("p",), ("r",), ("z",)]
 
 
-@pytest.mark.parametrize("limit", [5000, 0])
-def test_attribute_lookup_inline_and_joined(spark, limit):
-    data = [(1, [(10, "a"), (11, "b"), (10, "c")]), (2, []), (3, [(5, "z")])]
+def test_attribute_lookup(spark):
+    # rows alike stay apart
+    data = [(1, [(10, "a"), (11, "b"), (10, "c")]), (2, []), (3, [(5, "z")]), (3, [(5, "z")]), (4, None)]
     df = spark.createDataFrame(data, "k long, attributes array<struct<spec_id:bigint,value:string>>")
     specs = spark.createDataFrame([(10, "x"), (11, "y")], "spec_id long, target string")
-    got = A.with_spec_targets(df, specs, ["k"], limit=limit).orderBy("k").collect()
+    got = A.with_spec_targets(df, specs).orderBy("k").collect()
     assert [[tuple(a) for a in r.attributes] for r in got] == [
-        [(10, "a", "x"), (11, "b", "y"), (10, "c", "x")], [], [(5, "z", None)]]
+        [(10, "a", "x"), (11, "b", "y"), (10, "c", "x")], [], [(5, "z", None)], [(5, "z", None)], []]
 
 
 @pytest.mark.parametrize("cut", [None, 3])
@@ -212,7 +213,7 @@ def test_snapshot_round_trip_through_files(spark, tmp_path, cut):
     if cut is None:
         assert out.count() == 3
     write_documents(out, str(tmp_path / "out"))
-    again = D.read_documents(spark, str(tmp_path / "out"), multi_line=False)
+    again = D.read_documents(spark, str(tmp_path / "out"))
     second = Snapshot.of_documents(again, X.labels(spark))
     order = [c for c in S.COLUMNS if c != "attributes"]
     a, b = extract_records(first), extract_records(second)
@@ -227,3 +228,34 @@ def test_project_document(spark, tmp_path):
     assert rows(back.select("label_id", "label_name", "color", F.to_json("attributes"))) == [
         (1, "cat", "#112233", json.dumps([{"id": 10, "name": "age"}, {"id": 11, "name": "mood"}], separators=(",", ":"))),
         (2, "dog", "", "[]")]
+
+
+def test_documents_of_both_forms(spark, tmp_path):
+    """JSON lines, several documents a file, and pretty documents side by side, with odd file names."""
+    folder = X.write(tmp_path / "in", X.normal(1), X.all_removed(2))
+    docs = D.read_documents(spark, folder)
+    parts = snapshot_documents(Snapshot.of_documents(docs, X.labels(spark)), frames_per_document=3, shapes_per_document=2)
+    lines = [r[0] for r in parts.select(F.to_json(F.struct(*parts.columns))).collect()]
+    (tmp_path / "in" / "many [1] a%b.json").write_text("\n".join(lines) + "\n")
+    pretty = json.dumps(json.loads(lines[0]), indent=2)
+    (tmp_path / "in" / "one {x}.json").write_text(pretty)
+    for on_error in ("fail", "skip"):
+        assert D.read_documents(spark, folder, on_error).count() == len(lines) + 1 + docs.count()
+    (tmp_path / "in" / "cut.json").write_text(lines[0] + "\n" + lines[1][:40])
+    with pytest.raises(Exception, match="(?i)malformed|parse|corrupt|cut.json"):
+        D.read_documents(spark, folder).collect()
+    kept = D.read_documents(spark, folder, on_error="skip")
+    assert D.good_documents(kept).count() == len(lines) + 2 + docs.count()
+
+
+def test_task_exported_twice_and_doubled_label(spark, tmp_path):
+    old, new = X.normal(1), X.normal(1)
+    new["task"]["updated_date"] = "2030-01-01"
+    new["data_meta"] = {"frames": [], "deleted_frames": []}
+    new["annotations"] = {"shapes": [], "tracks": []}
+    docs = D.read_documents(spark, [X.write(tmp_path / "a", new), X.write(tmp_path / "b", old)])
+    assert [r.task_updated_date for r in D.tasks_table(docs).collect()] == ["2030-01-01"]
+    labels = X.labels(spark)
+    once = Snapshot.of_documents(docs, labels)
+    twice = Snapshot.of_documents(docs, labels.unionByName(labels))
+    assert box_rows(once).count() == box_rows(twice).count() > 0

@@ -69,6 +69,11 @@ def test_parse_time(spark, text, micros):
     assert one(spark, F.unix_micros(B.parse_time("t")), t=text) == micros
 
 
+@pytest.mark.parametrize("text, hours", [("1970-01-01T10:00:00+00", 10), ("1970-01-01 10:00:00+03", 7), ("1970-01-01T10:00:00.5-02", 12)])
+def test_offsets_of_hours(spark, text, hours):
+    assert one(spark, F.unix_seconds(B.parse_time("t")), t=text) == hours * 3600
+
+
 def test_parse_time_does_not_depend_on_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:

@@ -122,9 +122,33 @@ def test_required_columns(spark, tmp_path):
         read_dataset_csv(spark, str(path), ["image_name"], require_time=True)
 
 
+def test_columns_by_name_over_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("image_name,split,instance_label\na.jpg,train,cat\n")
+    (tmp_path / "b.csv").write_text('split,instance_label,image_name\nval,"do\ng",b.jpg\n')
+    (tmp_path / "c.csv").write_text("image_name\nc.jpg\n")
+    paths = [str(tmp_path / f"{x}.csv") for x in "abc"]
+    got = read_dataset_csv(spark, paths, ["image_name"])
+    assert rows(got, "image_name", "split", "instance_label") == [
+        ("a.jpg", "train", "cat"), ("b.jpg", "val", "do\ng"), ("c.jpg", None, None)]
+    with pytest.raises(Exception, match="(?i)header"):
+        read_dataset_csv(spark, str(tmp_path)).collect()
+
+
+def test_plain_csv_is_splittable(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("image_name,split\n" + "".join(f"image{i}.jpg,train\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = read_dataset_csv(spark, str(tmp_path / "big.csv"))
+        assert read.rdd.getNumPartitions() > 2 and read.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_name_lists(spark, tmp_path):
     (tmp_path / "new.csv").write_text("task_id,image_name\n1,a.jpg\n2,\n3,a.jpg\n4,b.jpg\n")
-    (tmp_path / "old.txt").write_text("a.jpg\n\n  b.jpg \na.jpg\n")
+    (tmp_path / "old.txt").write_text("a.jpg\n\n \tb.jpg\t \na.jpg\n\x0b\n")
     for name in ("new.csv", "old.txt"):
         assert rows(read_deletion_names(spark, str(tmp_path / name))) == [("a.jpg",), ("b.jpg",)]
     assert rows(read_exclusion_names(spark, str(tmp_path / "new.csv"))) == [("a.jpg",), ("b.jpg",)]

@@ -94,6 +94,16 @@ def test_stream_totals(spark, events, tmp_path):
     assert rows(got, "camera_no", "total_frames") == rows(last)
 
 
+def test_silent_intervals(spark):
+    data = [(0, 0), (0, 10), (0, 250), (1, 70)]
+    events = spark.createDataFrame(data, "camera_no int, at int").select(
+        "camera_no", F.col("at").cast("long").alias("frame_id"), F.timestamp_seconds("at").alias("ts"),
+        F.lit(False).alias("incomplete"), F.lit(False).alias("write_dropped"))
+    got = C.with_silent_intervals(C.camera_summary(events))
+    assert rows(got, "camera_no", F.unix_seconds("start"), "frames", "grab_errors") == [
+        (0, 0, 2, 0), (0, 120, 0, 0), (0, 180, 0, 0), (0, 240, 1, 0), (0, 60, 0, 0), (1, 60, 1, 0)]
+
+
 def test_camera_numbers(spark):
     devices = spark.createDataFrame([("10.0.0.9",), ("10.0.0.10",)], "ip string")
     assert rows(C.camera_numbers(devices)) == [("10.0.0.10", 0), ("10.0.0.9", 1)]

@@ -11,7 +11,7 @@ from boxmill.operators import selection as P
 from boxmill.operators.lookup import first_found
 from boxmill.plans import yolo as Y
 from boxmill.sinks.files import check_stems, copy_files, write_descriptor, write_label_files
-from boxmill.sources.image_sizes import header_size, read_image_sizes
+from boxmill.sources.image_sizes import header_size, read_image_sizes, readable, unreadable
 from boxmill.sources.listing import image_files, list_files, list_objects, search_listing, stem_candidates
 from boxmill.sources.yolo_text import class_names, parse_lines, read_label_lines, split_folders
 
@@ -128,6 +128,7 @@ def test_label_files_and_back(spark, tmp_path, coalesce):
     for name, content in expected.items():
         assert (tmp_path / "ds/labels" / name).read_text() == "\n".join(content) + "\n"
     assert (tmp_path / "ds/labels/val/empty.txt").read_text() == ""
+    assert not (tmp_path / "ds/.segments").exists()
     write_descriptor(data, classes, out)
     assert (tmp_path / "ds/dataset.yaml").read_text() == (
         f'path: "{out}"\ntrain: images/train\nval: images/val\nnames:\n  0: "l0"\n  1: "l1"\n  2: "l2"\n')
@@ -206,6 +207,28 @@ def test_listing_and_sizes(spark, tmp_path):
     assert {r[1:] for r in rows(read_image_sizes(spark, str(tmp_path), "first"), "name", "image_width", "image_height")} == {(5, 6)}
 
 
+def test_size_behind_a_long_header(spark, tmp_path):
+    note = b"".join(b"\xff\xe1" + (65535).to_bytes(2, "big") + b"x" * 65533 for _ in range(20))
+    plain = pictures.jpeg(31, 17)
+    (tmp_path / "long.jpg").write_bytes(plain[:2] + note + plain[2:])
+    (tmp_path / "c.Png").write_bytes(pictures.png(2, 9))
+    (tmp_path / "cut.png").write_bytes(pictures.png(2, 9)[:18])
+    sizes = read_image_sizes(spark, str(tmp_path))
+    assert rows(readable(sizes), "name", "image_width", "image_height") == [("c.Png", 2, 9), ("long.jpg", 31, 17)]
+    assert rows(unreadable(sizes), "name") == [("cut.png",)]
+    assert "content" not in sizes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_bad_address_among_good_ones(spark, tmp_path):
+    (tmp_path / "a").write_text("data")
+    plan = spark.createDataFrame([
+        ("a", str(tmp_path / "a"), str(tmp_path / "new/a")), ("b", "nowhere://x/y", str(tmp_path / "new/b")), ("c", None, "x")],
+        "name string, src string, dst string")
+    report = copy_files(plan, wait=0.01)
+    assert rows(report, "name", "status") == [("a", "copied"), ("b", "failed"), ("c", "failed")]
+    assert rows(copy_files(plan, wait=0.01), "name", "status")[0] == ("a", "existing")
+
+
 def test_line_order_of_split_files(spark, tmp_path):
     content = [f"{i} 0.5 0.5 0.5 0.5" for i in range(3000)]
     (tmp_path / "one.txt").write_text("\n".join(content))
