@@ -27,6 +27,7 @@ from boxmill.functions.naming import (
     labels_folder,
     label_file_path,
     month_name,
+    clone_key,
     object_key,
     relative_key,
     same_name,

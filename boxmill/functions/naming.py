@@ -56,6 +56,15 @@ def object_key(prefix: Column | str, name: Column | str) -> Column:
     )
 
 
+def clone_key(prefix: Column | str, folder: Column | str, name: Column | str) -> Column:
+    """Storage key of a copied frame: prefix, folder and name, the prefix always put in front if there is one.
+
+    Strings given for prefix and folder are values, not columns.
+    """
+    parts = [F.lit(c) if isinstance(c, str) else c for c in (prefix, folder)]
+    return F.concat_ws("/", F.nullif(parts[0], F.lit("")), parts[1], _col(name))
+
+
 def relative_key(prefix: Column | str, key: Column | str) -> Column:
     """Key without the prefix and without leading slashes (unless no prefix)."""
     p = F.lit(prefix) if isinstance(prefix, str) else prefix

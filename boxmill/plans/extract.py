@@ -34,25 +34,27 @@ class Snapshot:
     deleted: DataFrame
     shapes: DataFrame
     labels: DataFrame
+    tracks: DataFrame | None = None
 
     @staticmethod
     def of_documents(docs: DataFrame, labels: DataFrame) -> "Snapshot":
         good = D.good_documents(docs)
         return Snapshot(
             D.tasks_table(good), D.frames_table(good), D.deleted_frames_table(good),
-            D.shapes_table(good), labels,
+            D.shapes_table(good), labels, D.tracks_table(good),
         )
 
     def written(self) -> "Snapshot":
         """The tables written once; worth it for documents, which every table would
         parse again."""
         return Snapshot(
-            settle(self.tasks), settle(self.frames), settle(self.deleted), settle(self.shapes), self.labels
+            settle(self.tasks), settle(self.frames), settle(self.deleted), settle(self.shapes), self.labels,
+            None if self.tracks is None else settle(self.tracks),
         )
 
     def of_tasks(self, tasks: DataFrame) -> "Snapshot":
         """The same snapshot reduced to the given tasks."""
-        return Snapshot(tasks, self.frames, self.deleted, self.shapes, self.labels)
+        return Snapshot(tasks, self.frames, self.deleted, self.shapes, self.labels, self.tracks)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,8 @@ spreads the images that have very many.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from boxmill.functions import parse_time
 from boxmill.operators.pick import first_per_key
 from boxmill.operators.skew import lookup_join
 
+_NO_DATE = -(10**17) * 9  # microseconds; before every date
+_TASK_SHIFT = Decimal(10) ** 19  # above every task id
+
 DATASET, OBSOLETE, IN_PROGRESS = "dataset", "obsolete", "in_progress"
 
 
@@ -36,7 +41,10 @@ def _counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
         F.lit(1).alias("deletion"),
         F.lit(None).cast("long").alias("done_task"),
     )
-    latest_done = F.max(F.when(F.col("done_task").isNotNull(), F.struct("seen_at", "done_task")))
+    # date and task in one number: the aggregate then has buffers of fixed width
+    at = F.coalesce(F.unix_micros("seen_at"), F.lit(_NO_DATE)).cast("decimal(18,0)")
+    task = F.col("done_task").cast("decimal(19,0)") + F.lit(_TASK_SHIFT)
+    latest_done = F.max(F.when(F.col("done_task").isNotNull(), at * F.lit(2 * _TASK_SHIFT) + task))
     state = seen.unionByName(gone).groupBy("image_name").agg(
         F.max("seen_at").alias("seen_at"),
         F.max("gone_at").alias("gone_at"),
@@ -48,7 +56,7 @@ def _counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     return state.select(
         "image_name",
         ((F.col("deletion") == 1) & later).alias("is_gone"),
-        F.col("done.done_task").alias("current_task"),
+        (F.pmod("done", F.lit(2 * _TASK_SHIFT)) - F.lit(_TASK_SHIFT)).cast("long").alias("current_task"),
         "n_rows",
     )
 

@@ -137,7 +137,8 @@ def upload_plan(t: Tables) -> DataFrame:
     from boxmill.plans.partition import partition_annotations
 
     labels = [f"Brand#1{i}" for i in range(1, 6)] + ["<unknown>", "__no_annotation__"]
-    chosen, gone = R.upload_rows(t.records.raw(), labels)
+    fetched = t.dataset.unionByName(t.records.deleted.select(*t.dataset.columns))
+    chosen, gone = R.upload_rows(fetched, labels)
     exclude = partition_annotations(t.history, t.deletions).where(F.col("part") == "dataset")
     images = R.upload_images(chosen, gone, exclude)
     return R.plan_upload(images, t.store, t.files, "proj/images", "2026-02")

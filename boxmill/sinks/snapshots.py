@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxmill import schema as S
 from boxmill.functions import slug
+from boxmill.operators.skew import lookup_join
 from boxmill.plans.extract import Snapshot
 
 
@@ -44,10 +45,10 @@ def snapshot_documents(
     if cut:
         counts = shapes.groupBy("task_id", "chunk").agg(F.count("*").alias("_n"))
         slices = counts.select(
-            "task_id", "chunk", F.ceil(F.col("_n") / F.lit(shapes_per_document)).alias("_slices")
+            "task_id", "chunk", "_n", F.ceil(F.col("_n") / F.lit(shapes_per_document)).alias("_slices")
         )
         plain = [c for c in snapshot.shapes.columns if c not in ("task_id",)]
-        shapes = shapes.join(slices, ["task_id", "chunk"]).withColumn(
+        shapes = lookup_join(shapes, slices, ["task_id", "chunk"], "inner", weight="_n").withColumn(
             "slice", F.pmod(F.xxhash64(*plain), F.col("_slices")).cast("int")
         )
         # without this the grouping below would keep the join's distribution, that is
@@ -70,7 +71,22 @@ def snapshot_documents(
             F.array_sort(F.collect_list(packed)), lambda s: s.dropFields("ord")
         ).alias("shapes")
     )
-    parts = frames.join(deleted, key, "full").join(shapes, key, "full")
+    kind = S.DOCUMENT["annotations"].dataType["tracks"].dataType
+    if snapshot.tracks is None:
+        tracks = shapes.select(*key).limit(0).withColumn("tracks", F.array().cast(kind))
+    else:
+        # a track goes with the frame it starts on
+        start = F.coalesce("frame", F.lit(0))
+        chunk = F.floor(start / F.lit(frames_per_document)) if cut else F.lit(0)
+        track = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.elementType.fields])
+        at = F.col("ord") if "ord" in snapshot.tracks.columns else F.col("id")
+        tracks = (
+            snapshot.tracks.withColumn("chunk", chunk.cast("long")).withColumn("slice", F.lit(0))
+            .groupBy(*key)
+            .agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), track.alias("t")))).alias("_all"))
+            .select(*key, F.transform("_all", lambda e: e["t"]).alias("tracks"))
+        )
+    parts = frames.join(deleted, key, "full").join(shapes, key, "full").join(tracks, key, "full")
     if not cut:
         parts = snapshot.tasks.select("task_id").withColumn("chunk", F.lit(0).cast("long")).withColumn(
             "slice", F.lit(0)
@@ -87,7 +103,7 @@ def snapshot_documents(
         F.struct(empty("frames").alias("frames"), empty("deleted_frames").alias("deleted_frames")).alias("data_meta"),
         F.struct(
             empty("shapes").alias("shapes"),
-            F.array().cast(S.DOCUMENT["annotations"].dataType["tracks"].dataType).alias("tracks"),
+            empty("tracks").alias("tracks"),
         ).alias("annotations"),
     )
 

@@ -259,3 +259,15 @@ def test_task_exported_twice_and_doubled_label(spark, tmp_path):
     once = Snapshot.of_documents(docs, labels)
     twice = Snapshot.of_documents(docs, labels.unionByName(labels))
     assert box_rows(once).count() == box_rows(twice).count() > 0
+
+
+def test_tracks_survive_an_export(spark, tmp_path):
+    made = X.normal(1)
+    made["annotations"]["tracks"] = [
+        {"id": k, "frame": k, "label_id": 1, "source": "manual", "attributes": [{"spec_id": 10, "value": "v"}],
+         "shapes": [X.shape(1, k), X.shape(2, k + 1)], "created_by": "me"} for k in range(7)]
+    first = Snapshot.of_documents(D.read_documents(spark, X.write(tmp_path / "in", made)), X.labels(spark))
+    write_documents(snapshot_documents(first, frames_per_document=3), str(tmp_path / "out"))
+    second = Snapshot.of_documents(D.read_documents(spark, str(tmp_path / "out")), X.labels(spark))
+    fields = ["id", "frame", "label_id", "source", F.to_json(F.struct("attributes", "shapes")), "created_by"]
+    assert rows(second.tracks, *fields) == rows(first.tracks, *fields) and second.tracks.count() == 7

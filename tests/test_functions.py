@@ -164,3 +164,8 @@ def test_short_points_fail(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "p array<double>")
     with pytest.raises(PySparkException, match="fewer than 4"):
         rows(df.select(*B.corners("p")))
+
+
+def test_clone_key(spark):
+    assert one(spark, B.clone_key("pre/fix", "sub", "t"), t="sub/a.jpg") == "pre/fix/sub/sub/a.jpg"
+    assert one(spark, B.clone_key("", "sub", "t"), t="a.jpg") == "sub/a.jpg"
