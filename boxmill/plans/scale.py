@@ -12,6 +12,10 @@ from boxmill.plans.extract import Snapshot
 STATUSES = ("backlog", "annotation", "validation", "completed")
 
 
+# copies of the base tasks that are made together
+COPIES_PER_PART = 10_000
+
+
 def _choice(seed: int, salt: str, n):
     """Repeatable pseudo-random number below ``n`` for a position."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("pos")), n)
@@ -111,10 +115,15 @@ def scale_project(snapshot: Snapshot, count: int, **options) -> Snapshot:
     """Whole snapshot of a scaled project: frames, deletions and shapes follow
     their base task."""
     tasks = scale_tasks(snapshot.tasks, count, **options)
-    ids = tasks.select(F.col("base_task_id").alias("_base"), F.col("task_id").alias("_new"))
+    # copies of one base task are dealt to parts, so that no task emits all of them
+    parts = max(1, -(-count // COPIES_PER_PART))
+    ids = tasks.select(
+        F.col("base_task_id").alias("_base"), F.col("task_id").alias("_new"), F.pmod("pos", F.lit(parts)).cast("long").alias("_part")
+    )
 
     def follow(rows: DataFrame) -> DataFrame:
-        joined = rows.join(ids, F.col("task_id") == F.col("_base"))
+        spread = rows.withColumn("_part", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (0, parts - 1)])))
+        joined = spread.join(ids, (F.col("task_id") == F.col("_base")) & (spread["_part"] == ids["_part"]))
         return joined.withColumn("task_id", F.col("_new")).select(*rows.columns)
 
     return Snapshot(

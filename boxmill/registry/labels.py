@@ -8,7 +8,7 @@ from boxmill.functions import attributes_json, attributes_map
 from boxmill.operators import selection as P
 from boxmill.plans import labels as L
 from boxmill.plans import reconcile as R
-from boxmill.plans.scale import scale_tasks
+from boxmill.plans import scale
 from boxmill.registry import query
 
 
@@ -114,9 +114,28 @@ def known_projects(t: Tables) -> DataFrame:
   SELECT 100 + r.rep * n.c + b.base AS task_id, concat('task-', CAST(r.rep * n.c + b.base AS VARCHAR)) AS task_name,
   CASE (r.rep * n.c + b.base) % 3 WHEN 0 THEN 'annotation' WHEN 1 THEN 'validation' ELSE 'completed' END AS task_status,
   b.subset, b.task_updated_date, b.task_id AS base_task_id FROM b, n, r""")
-def scale_project(t: Tables) -> DataFrame:
-    rows = scale_tasks(
+def scale_tasks(t: Tables) -> DataFrame:
+    rows = scale.scale_tasks(
         t.tasks.drop("project_id"), 2 * t.tasks.count(), pick="cycle",
         names="enumerated", statuses=["annotation", "validation", "completed"],
     )
     return rows.drop("pos")
+
+
+_SCALED = """WITH b AS (SELECT task_id, row_number() OVER (ORDER BY task_id) - 1 AS base FROM a_tasks),
+  n AS (SELECT count(*) AS c FROM a_tasks), r AS (SELECT unnest([0, 1]) AS rep),
+  m AS (SELECT b.task_id AS old, 100 + r.rep * n.c + b.base AS task_id FROM b, n, r)"""
+
+
+@query(f"""{_SCALED} SELECT 'frame' AS kind, m.task_id, frame_id, image_name AS name, CAST(NULL AS BIGINT) AS label_id
+  FROM a_frames f JOIN m ON m.old = f.task_id
+  UNION ALL SELECT 'deleted', m.task_id, frame_id, NULL, NULL FROM a_frames f JOIN m ON m.old = f.task_id WHERE is_deleted = 1
+  UNION ALL SELECT 'shape', m.task_id, frame_id, shape_type, label_id FROM a_shapes s JOIN m ON m.old = s.task_id""")
+def scale_project(t: Tables) -> DataFrame:
+    """All frames, deletions and shapes of a project twice the size."""
+    big = scale.scale_project(t.snapshot, 2 * t.tasks.count(), pick="cycle")
+    none = F.lit(None)
+    frames = big.frames.select(F.lit("frame").alias("kind"), "task_id", "frame_id", "name", none.cast("long").alias("label_id"))
+    gone = big.deleted.select(F.lit("deleted"), "task_id", "frame_id", none.cast("string"), none.cast("long"))
+    shapes = big.shapes.select(F.lit("shape"), "task_id", "frame_id", "type", "label_id")
+    return frames.union(gone).union(shapes)

@@ -215,3 +215,15 @@ def test_written_tables(spark, tmp_path):
     W.write_dataset_and_deleted(records, f"{out}/both", "csv")
     W.write_per_task(records, f"{out}/tasks")
     assert spark.read.parquet(f"{out}/raw").count() == 76 and (tmp_path / "out/tasks/task_id=2").is_dir()
+
+
+def test_one_base_task_copied_many_times(spark, monkeypatch, tmp_path):
+    from boxmill.plans import scale
+
+    docs = D.read_documents(spark, X.write(tmp_path / "in", X.normal(1)))
+    snapshot = Snapshot.of_documents(docs, X.labels(spark))
+    monkeypatch.setattr(scale, "COPIES_PER_PART", 100)
+    big = scale.scale_project(snapshot, 2500)
+    assert "_part" in big.frames._jdf.queryExecution().optimizedPlan().toString()
+    assert big.frames.count() == 2500 * 8 and big.shapes.count() == 2500 * 30
+    assert big.frames.select("task_id", "frame_id").distinct().count() == 2500 * 8
