@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from boxmill.llm.ship import ship
 from boxmill.operators.ordered import number_within
+from boxmill.operators.skew import lookup_join
 from boxmill.session import settle
 
 CURVES, DIRECTIONS, BITS = 16, 6, 10
@@ -136,12 +137,12 @@ def _window(placed: DataFrame, entries: DataFrame, k: int, reach: float) -> int:
 
 
 def _best(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best entries of one block for every query that meets it.
+    """The ``k`` best ids of one block for every vector that meets it, its own included.
 
-    Rows with ids are the block's entries, rows with a query look for them.
+    Rows that ``asks`` marks look for neighbours, the others are the block's entries.
     """
     empty = pd.DataFrame({"query": pd.Series([], dtype="int64"), "found": pd.Series([], dtype="object")})
-    entries, queries = pdf[pdf["query"].isna()], pdf[pdf["query"].notna()]
+    entries, queries = pdf[~pdf["asks"]], pdf[pdf["asks"]]
     if not len(entries) or not len(queries):
         return empty
     v = np.array(entries["v"].tolist(), np.float64)
@@ -151,14 +152,14 @@ def _best(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     for low in range(0, len(asked), 512):
         q = np.array(queries["v"].iloc[low : low + 512].tolist(), np.float64)
         rough = q @ v.T
-        keep = min(k + 1, len(ids))
+        keep = min(k, len(ids))
         edge = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
         # what the product of matrices rounds differently is compared again below
         close = rough >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
         for n, query in enumerate(asked[low : low + 512]):
             at = np.flatnonzero(close[n])
             score = (v[at] * q[n]).sum(axis=1)
-            told = sorted((-s, i) for s, e in zip(score.tolist(), at) for i in ids[e] if i != query)
+            told = sorted((-s, i) for s, e in zip(score.tolist(), at) for i in ids[e])
             out.append((query, [{"far": s, "id": i} for s, i in told[:k]]))
     return pd.DataFrame(out, columns=["query", "found"])
 
@@ -203,16 +204,24 @@ def nearest(
     block = min(max(window, SMALL_BLOCK), BLOCK)
     around = -(-window // block)
     at_block = F.floor(F.col("at") / F.lit(block))
-    held = placed.select("curve", at_block.alias("block"), F.lit(None).cast("long").alias("query"), "v", "ids")
+    held = placed.select("curve", at_block.alias("block"), F.lit(False).alias("asks"), F.col("entry").alias("query"), "v", "ids")
     queries = rows.where(is_query).select(F.col("id").alias("query"), "v")
-    asked = placed.select("curve", at_block.alias("block"), "v").join(queries, "v")
+    # equal queries are one search, for one neighbour more than wanted, as each leaves itself out
+    distinct = queries.groupBy("v").agg(F.count("*").alias("askers"))
+    asked = placed.select("curve", at_block.alias("block"), "entry", "v").join(distinct, "v")
     spread = F.explode(F.sequence(F.col("block") - around, F.col("block") + around))
-    asked = asked.select("curve", spread.alias("block"), "query", "v", F.array().cast("array<long>").alias("ids"))
+    asked = asked.select(
+        "curve", spread.alias("block"), F.lit(True).alias("asks"), F.col("entry").alias("query"), "v", F.array().cast("array<long>").alias("ids")
+    )
     met = held.unionByName(asked).groupBy("curve", "block")
-    found = met.applyInPandas(lambda pdf: _best(pdf, k), "query long, found array<struct<far: double, id: long>>")
-    # a query has at most 2 * around + 1 rows of k for each curve
-    merged = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("f"))
-    ranked = merged.select("query", F.posexplode("f").alias("n", "f"))
+    found = met.applyInPandas(lambda pdf: _best(pdf, k + 1), "query long, found array<struct<far: double, id: long>>")
+    # an entry has at most 2 * around + 1 rows of k + 1 for each curve
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1)
+    merged = found.groupBy("query").agg(best.alias("f")).withColumnRenamed("query", "entry")
+    answers = merged.join(entries.select("entry", "v"), "entry").join(distinct, "v").select("v", "askers", "f")
+    own = lookup_join(queries, answers, ["v"], "inner", weight="askers")
+    others = F.slice(F.filter("f", lambda x: x["id"] != F.col("query")), 1, k)
+    ranked = own.select("query", F.posexplode(others).alias("n", "f"))
     return ranked.select(
         F.col("query").alias("query_id"), (F.col("n") + 1).alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.far")).alias("score")
     )

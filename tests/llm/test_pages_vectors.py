@@ -141,6 +141,7 @@ def test_nearest(spark):
     centres = rng.normal(size=(12, 8)) * 3
     rows = [(int(i), [float(x) for x in centres[i % 12] + rng.normal(size=8) * 0.3]) for i in range(600)]
     rows += [(700 + i, rows[0][1]) for i in range(60)]  # a group of copies
+    rows += [(2**60 + 20 * i, rows[1 + i][1]) for i in range(3)]  # ids beyond the whole numbers of a double
     rows += [(900, None), (901, [0.0] * 8), (902, [1.0, None] + [0.0] * 6), (903, [float("nan")] + [1.0] * 7), (904, [float("inf")] + [1.0] * 7)]
     rows += [(905, [1.0, 2.0]), (906, []), (None, rows[3][1]), rows[40], rows[40], (-3, [-x for x in rows[5][1]])]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(5)
