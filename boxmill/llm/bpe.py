@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -311,14 +312,16 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded
     return rest.mapInArrow(lambda batches: _decoded(batches, held.value, ids, out), _fields(rest) + f"`{out}` binary")
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``key``, n_tokens, and the SHA-256 of its ids and of the bytes that they decode to.
+def round_trip(
+    docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Per row ``key``, the columns ``carry``, n_tokens, and the SHA-256 of its ids and of the bytes that they decode to.
 
     ``encode`` and ``decode`` in one pass, so that ids and texts don't leave the task.
     """
     ship()
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)))
-    bare = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    bare = docs.select(F.col(key), *carry, F.col(text).cast("string").alias("_text"))
 
     def run(batches):
         encoded = _encoded(batches, held.value, pattern, "_text", "_ids")

@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, token digests of the mixed and cleaned corpus out.
+"""The corpus pipeline: documents in, token digests of the mixed and cleaned corpus and their places out.
 
 Each stage gets (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the documents of the next.  All but the last return the columns of documents.
@@ -6,7 +6,9 @@ the documents of the next.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import re
 import uuid
+from itertools import accumulate
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql.window import Window
 
 from boxmill.llm import bpe, byte_cnn, minmax, pfair, site_lines
 from boxmill.llm.queries import MIX_WEIGHTS, remainder
-from boxmill.session import scratch_root
+from boxmill.session import scratch_root, settle
 
 QUALITY_LIMIT = 0.5
 
@@ -52,14 +54,42 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix."""
+    """The documents in the order of the mix: that of the partitions, and of the rows in them."""
     return pfair.mix_sources(docs, MIX_WEIGHTS).select(*docs.columns)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``place``: the number of each row, from 0, in the order in which the table was written.
+
+    A reader deals files to its tasks by their size; only the number of the part and the row of the file say
+    where a row was.  A table that was not read from files is written first.
+    """
+    # metadata columns of what a longer plan reads would be those of its inputs
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = settle(docs)
+    read = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # one row per written file: at most those of one write
+    sizes = {r["_file"]: r["count"] for r in read.groupBy("_file").count().collect()}
+    names = sorted(sizes, key=_part)
+    starts = accumulate((sizes[n] for n in names), initial=0)
+    table = docs.sparkSession.createDataFrame(list(zip(names, starts)), "_file string, _start long")
+    found = read.join(F.broadcast(table), "_file")
+    return found.withColumn("place", F.col("_start") + F.col("_row")).select(*docs.columns, "place")
+
+
+def _part(name: str) -> tuple[int, int, str]:
+    """Order of part files: by the task that wrote them, then by their number among its files."""
+    found = re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.", name)
+    if found is None:
+        raise ValueError(f"{name} is not a part of a written table")
+    return int(found[1]), int(found[2] or 0), name
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids of each text, and of what they decode to."""
+    """Digests of the ids of each text, and of what they decode to, with its ``place`` in the mix."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    digests = bpe.round_trip(_placed(docs), ranks, public_tokenizers.PATTERN, carry=["place"])
+    return digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "place")
 
 
 STAGES = [
