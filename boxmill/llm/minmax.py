@@ -1,9 +1,9 @@
 """Near-duplicate documents by min-max hashing of word shingles.
 
-Of each of 96 random orders a document keeps both the smallest and the largest of its shingles, 192 values
-for 96 passes.  A band is the two values of three orders; documents that share one of the 32 bands are
-candidates.  Two documents at a similarity of 0.85 miss each other with a probability of 3e-7.  One bit each of
-128 values goes along: candidates whose bits differ more than those of documents at the limit ever do (less
+Of each of some random orders a document keeps both the smallest and the largest of its shingles, two values
+a pass.  A band is the two values of three orders; documents that share one of the bands are candidates.  There
+are as many bands (32 at a similarity of 0.85, 50 at 0.80) as let two documents at the limit miss each other
+with a probability of at most 3e-7.  One bit each of 128 values goes along: candidates whose bits differ more than those of documents at the limit ever do (less
 than one such pair in 10^9) are not fetched for the comparison of their sets.
 
 Documents of the same shingle set are one class from the start, so copies never meet in a band.  In a band
@@ -18,7 +18,7 @@ confirmed on full shingle sets.
 from __future__ import annotations
 
 import hashlib
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from boxmill.session import settle
 
 ORDERS = 96
 BANDS = 32
+BAND_ORDERS = 3
+MISSED = 3e-7
 SKETCH_BITS = 128
 WIDTH = 5
 PERCENT = 85
@@ -69,6 +71,14 @@ def sketches(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def bands_for(percent: int) -> int:
+    """Bands by which two sets at the similarity ``percent`` miss each other at most once in 1 / ``MISSED``."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    alike = (percent / 100) ** (2 * BAND_ORDERS)
+    return max(1, ceil(log(MISSED) / log1p(-alike))) if alike < 1 else 1
+
+
 def most_differing(percent: int) -> int:
     """Sketch bits in which two sets at the similarity ``percent`` may differ, but for one pair in 10^9."""
     differ, left = (1 - percent / 100) / 2, 1.0
@@ -88,25 +98,27 @@ def _sets(piece: pa.RecordBatch, width: int):
     return sets, np.fromiter(map(len, sets), np.int64, len(sets))
 
 
-def _sign(batches, width: int):
+def _sign(batches, width: int, n_bands: int):
+    # sketches need their values, however few bands there are
+    orders = max(n_bands * BAND_ORDERS, SKETCH_BITS // 2)
     for batch in batches:
         for piece in bytetext.slices(batch, "text"):
             sets, n = _sets(piece, width)
             full = np.flatnonzero(n)
-            keys, bits = np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.int64)
+            keys, bits = np.zeros((0, n_bands), np.int64), np.zeros((0, 2), np.int64)
             if len(full):
                 cut = np.concatenate(([0], np.cumsum(n[full])))[:-1]
-                values = signatures(np.concatenate(sets), cut)
-                keys, bits = band_keys(values), sketches(values)
-            ends = np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))).astype(np.int32)
+                values = signatures(np.concatenate(sets), cut, orders)
+                keys, bits = band_keys(values[:, : 2 * BAND_ORDERS * n_bands], n_bands), sketches(values)
+            filled = np.concatenate(([0], np.cumsum(n > 0))).astype(np.int32)
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(0).cast(pa.int64()),
                     pa.array(n),
                     pa.array(prints, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
-                    pa.ListArray.from_arrays(pa.array(ends // (BANDS // 2)), pa.array(bits.ravel())),
+                    pa.ListArray.from_arrays(pa.array(filled * np.int32(n_bands)), pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(pa.array(filled * np.int32(2)), pa.array(bits.ravel())),
                 ],
                 ["id", "n_shingles", "print", "bands", "sketch"],
             )
@@ -232,7 +244,8 @@ def near_duplicates(
     """
     ship()
     bare = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = settle(bare.mapInArrow(lambda batches: _sign(batches, width), _SIGNED))
+    n_bands = bands_for(percent)
+    signed = settle(bare.mapInArrow(lambda batches: _sign(batches, width, n_bands), _SIGNED))
     named = signed.where("id is not null and n_shingles > 0")
     # one row per shingle set: its smallest document stands for all copies
     sets = settle(named.groupBy("print").agg(F.min("id").alias("head"), F.count("*").alias("rows")))
