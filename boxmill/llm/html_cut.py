@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,10 @@ UNREAD = frozenset(
     "script style noscript template svg math head title textarea select option button iframe object audio video canvas map".split()
 )
 RAW = frozenset("script style textarea title iframe noscript".split())
+# start tags that leave a head open; any other one ends it, as text does
+HEAD_TAGS = frozenset("html head title meta link base bgsound style script noscript template".split())
+# unread elements that do not nest and whose end tag is often missing
+CHOICES = frozenset("option button".split())
 CLOSED_BY_THEIR_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 SIDE = frozenset("nav footer aside menu dialog".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
@@ -94,6 +98,25 @@ class _Block:
         self.parent, self.text, self.links = parent, text, links
 
 
+def _raw_end(page: str, tag: str, position: int) -> int:
+    """Where the end tag of a raw text element is, -1 without one."""
+    end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, position)
+    return end.start() if end else -1
+
+
+def _unclosed(page: str, tag: str, position: int) -> bool:
+    """Whether the next tag of this name is no end tag."""
+    found = re.compile(rf"<(/?){tag}[\s/>]", re.I).search(page, position)
+    return not (found and found[1])
+
+
+def _within(at: _Element, tag: str) -> bool:
+    up: _Element | None = at
+    while up is not None and up.tag != tag:
+        up = up.parent
+    return up is not None
+
+
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order, white space made single, character references decoded."""
     top = at = _Element("", "", None)
@@ -113,32 +136,64 @@ def blocks(page: str) -> list[_Block]:
             parts.clear()
         linked = 0
 
-    depth = 0
+    depth, resume, loose, inner = 0, "", False, Counter()
     while (token := _TOKEN.match(page, position)) is not None:
         position = token.end()
         tag = token[2] or token[5]
         if not tag:
             text = token[0]
-            if not unread and not text.startswith(("<!", "<?", "</")):
+            read = not text.startswith(("<!", "<?", "</"))
+            if unread == "head" and read and text.strip():
+                unread = ""
+            if not unread and read:
                 text = html.unescape(text) if "&" in text else text
                 parts.append(text)
                 if in_link:
                     linked += len(text)
             continue
         tag, closing, attributes = tag.lower(), bool(token[1] or token[4]), token[3] or token[6] or ""
-        if unread:
-            # inside an element that is not read only its own tags count
-            if tag == unread and tag not in VOID and not attributes.endswith("/"):
-                depth += -1 if closing else 1
-                if depth == 0:
-                    unread = ""
-            continue
+        if unread == "head":
+            if closing and tag in ("head", "body", "html", "br") or not closing and tag not in HEAD_TAGS:
+                unread = ""
+            elif closing or tag not in UNREAD or tag == "head":
+                continue
+        elif unread:
+            # inside an element that is not read its own tags count, and the end of the element around it
+            empty = attributes.endswith("/")
+            if tag == unread:
+                if unread in CHOICES:
+                    depth, loose = int(not closing), not closing and _unclosed(page, tag, position)
+                    inner.clear()
+                elif not empty:
+                    depth += -1 if closing else 1
+                if depth <= 0:
+                    unread = resume
+                continue
+            if tag in RAW:
+                # foreign elements hold markup; script and style in them have an end or are empty
+                foreign = unread in ("svg", "math")
+                if not closing and not empty and (not foreign or tag in ("script", "style")):
+                    end = _raw_end(page, tag, position)
+                    position = end if end >= 0 else position if foreign else len(page)
+                continue
+            if tag in INLINE or tag in VOID or tag in UNREAD or not closing and empty:
+                continue
+            if loose or closing and not inner[tag] and _within(at, tag):
+                unread = ""
+            else:
+                if not closing:
+                    inner[tag] += 1
+                elif inner[tag]:
+                    inner[tag] -= 1
+                continue
         if tag in UNREAD:
             if not closing and not attributes.endswith("/"):
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, position)
-                    position = end.start() if end else len(page)
-                unread, depth = tag, 1
+                    end = _raw_end(page, tag, position)
+                    position = end if end >= 0 else len(page)
+                resume, unread, depth = unread, tag, 1
+                loose = tag in CHOICES and _unclosed(page, tag, position)
+                inner.clear()
                 parts.append(" ")
         elif tag in INLINE or tag in VOID:
             if tag == "a":
