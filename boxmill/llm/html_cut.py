@@ -64,12 +64,18 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "side", "main", "named", "form", "words")
+    """``side`` is what tags and roles say; ``aside`` the nearest element inside the article, and ``beyond`` the
+    nearest one around it, that is named like something beside the text.  ``words`` and ``core`` (those in
+    articles or under names of main content) are of the whole element once the page is read."""
+
+    __slots__ = ("tag", "parent", "depth", "side", "main", "named", "form", "article", "aside", "beyond", "apart", "chief", "words", "core")
 
     def __init__(self, tag: str, attributes: str, parent: _Element | None):
-        self.tag, self.parent, self.words = tag, parent, 0
+        self.tag, self.parent, self.words, self.core, self.apart, self.chief = tag, parent, 0, 0, False, False
         self.depth = parent.depth + 1 if parent else 0
         self.side, self.main, self.named, self.form = (parent.side, parent.main, parent.named, parent.form) if parent else (False, False, False, None)
+        self.article, self.aside, self.beyond = (parent.article, parent.aside, parent.beyond) if parent else (None, None, None)
+        role, names = "", set()
         if tag in ("article", "main"):
             self.main = True
         elif tag in SIDE or tag == "header" and not self.main:
@@ -84,11 +90,17 @@ class _Element:
             elif role in ("main", "article"):
                 self.main = True
             names = {x.lower() for x in _NAME.findall(told.get("class", "") + " " + told.get("id", ""))}
-            if names and tag not in ("body", "html", "article", "main") and not names.isdisjoint(SIDE_NAMES):
-                # names such as "post-header" or "entry-header" inside the article belong to it
-                self.side = self.side or not (self.main and names & {"header"} and not names & (SIDE_NAMES - {"header"}))
-            elif names and not names.isdisjoint(MAIN_NAMES):
-                self.named = True
+        if tag in ("article", "main") or role in ("article", "main"):
+            self.article, self.beyond, self.aside = self, self.aside or self.beyond, None
+            # a comment or a teaser, say
+            self.apart = not names.isdisjoint(SIDE_NAMES)
+            self.chief = "main" in (tag, role)
+        if names and tag not in ("body", "html", "article", "main") and role != "main" and not names.isdisjoint(SIDE_NAMES):
+            # names such as "post-header" or "entry-header" inside the article belong to it
+            if not (self.main and names & {"header"} and not names & (SIDE_NAMES - {"header"})):
+                self.aside = self
+        elif names and not names.isdisjoint(MAIN_NAMES):
+            self.named = True
 
 
 class _Block:
@@ -120,6 +132,7 @@ def _within(at: _Element, tag: str) -> bool:
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order, white space made single, character references decoded."""
     top = at = _Element("", "", None)
+    made = [top]
     found: list[_Block] = []
     parts: list[str] = []
     in_link, linked, unread, position = False, 0, "", 0
@@ -130,9 +143,9 @@ def blocks(page: str) -> list[_Block]:
             text = " ".join("".join(parts).split())
             if text:
                 found.append(_Block(at, text, min(linked, len(text))))
-                up = at.form
-                if up is not None:
-                    up.words += text.count(" ") + 1
+                at.words += (n := text.count(" ") + 1)
+                if not at.side and (at.named or at.article is not None) and not (at.article is not None and at.article.apart):
+                    at.core += n
             parts.clear()
         linked = 0
 
@@ -224,11 +237,29 @@ def blocks(page: str) -> list[_Block]:
                 if up.tag == "p":
                     at = up.parent
             at = _Element(tag, attributes, at)
+            made.append(at)
     flush()
+    # parents come before their children
+    for one in reversed(made[1:]):
+        one.parent.words += one.words
+        one.parent.core += one.core
     return found
 
 
-def _leaning(block: _Block, words: int) -> float:
+def _beside(own: _Element, words: int, core: int) -> bool:
+    """Whether names put a block beside the text."""
+
+    def small(one: _Element | None) -> bool:
+        # what holds most of the page is a frame around the text, unless the text is elsewhere
+        return one is not None and (2 * one.words < words or 2 * one.core < core)
+
+    article = own.article
+    # a <main>, or the article that most of the text is in, is no part of what a name around it says
+    leads = article is not None and (article.chief or not article.apart and 2 * article.core >= core)
+    return small(own.aside) or not leads and small(own.beyond)
+
+
+def _leaning(block: _Block, words: int, core: int) -> float:
     """What the classifier says of one block; positive is content."""
     text, own = block.text, block.parent
     n = text.count(" ") + 1
@@ -240,7 +271,7 @@ def _leaning(block: _Block, words: int) -> float:
     elif own.named:
         value += NAMED_MAIN
     # a form around most of the page is a frame; a smaller one is a form
-    if own.side or own.form is not None and 2 * own.form.words < words:
+    if own.side or own.form is not None and 2 * own.form.words < words or _beside(own, words, core):
         value += ASIDE
     return value
 
@@ -347,7 +378,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    words = sum(b.text.count(" ") + 1 for b in found)
+    top = found[0].parent if found else None
+    while top is not None and top.parent is not None:
+        top = top.parent
+    words, core = (top.words, top.core) if top is not None else (0, 0)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for k, block in enumerate(found):
@@ -357,7 +391,7 @@ def main_text(page: str | None) -> str:
         if last.get(up, k - 1) != k - 1:
             edges.append((last[up], k, SIBLING))
         last[up] = k
-    side = min_cut([_leaning(b, words) for b in found], edges)
+    side = min_cut([_leaning(b, words, core) for b in found], edges)
     return "\n".join(b.text for b, content in zip(found, side) if content)
 
 
