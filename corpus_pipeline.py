@@ -13,10 +13,10 @@ from itertools import accumulate
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boxmill.llm import bpe, byte_cnn, minmax, pfair, site_lines
 from boxmill.llm.queries import MIX_WEIGHTS, remainder
+from boxmill.operators.skew import lookup_join
 from boxmill.session import scratch_root, settle
 
 QUALITY_LIMIT = 0.5
@@ -40,17 +40,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest id, once.
+    """The document of the smallest id of each near-duplicate class.
 
-    A document without an id cannot be told from others and stays.
+    Rows that repeat both id and text count once; an id with several texts keeps them all.  A document without
+    an id cannot be told from others and stays, and so does one without words, which is like nothing.
     """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named, bare = docs.where(worded & F.col("doc_id").isNotNull()), docs.where(~worded & F.col("doc_id").isNotNull())
     verdicts = minmax.near_duplicates(docs)
-    kept = verdicts.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    # rows that repeat an id are one document; the partitioning is that of the join
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    kept = verdicts.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = settle(kept)
+    found = named.join(kept.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    several = kept.where("_rows > 1")
+    if not several.isEmpty():
+        repeated = lookup_join(named, several, ["doc_id"], "inner", weight="_rows", written=True).select(*docs.columns)
+        # dealt anew, so that an id with many rows is not one task's
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = found.unionByName(_once(repeated.repartition(parts)))
+    return found.unionByName(_once(bare)).unionByName(docs.where("doc_id is null"))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One of the rows that share id and text; each task passes on one row of each."""
+    one = docs.groupBy("doc_id", F.sha2("text", 256).alias("_print")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

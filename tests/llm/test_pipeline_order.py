@@ -1,4 +1,4 @@
-"""The order of the mix through the written table."""
+"""The order of the mix through the written table, and texts that share an id."""
 
 import pytest
 
@@ -35,3 +35,12 @@ def test_parts_go_by_number():
     assert sorted(names, key=corpus_pipeline._part) == names[::-1]
     with pytest.raises(ValueError):
         corpus_pipeline._part("other.parquet")
+
+
+def test_near_copies_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (5, None), (5, None), (5, ""), (9, a), (9, None), (12, c), (13, c), (14, " "), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, "en", "src1", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    want = [(5, a), (5, b), (5, None), (5, ""), (9, None), (12, c), (14, " "), (None, a), (None, a)]
+    assert sorted((tuple(r[:2]) for r in out.collect()), key=repr) == sorted(want, key=repr)
