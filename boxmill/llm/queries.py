@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxmill.llm import bpe, byte_cnn, hilbert, host_rules, html_cut, minmax, nnpu, pfair, site_lines, warc
+from boxmill.llm import (
+    bpe,
+    byte_cnn,
+    hilbert,
+    host_rules,
+    html_cut,
+    licences,
+    minmax,
+    nnpu,
+    periodic,
+    pfair,
+    site_lines,
+    spelling,
+    warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +102,65 @@ def op10_pfair(spark: SparkSession, folder: str) -> DataFrame:
     return pfair.mix_sources(_table(spark, folder, "documents"), MIX_WEIGHTS)
 
 
+def op11_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """What every whole text says of licences."""
+    found = licences.scan_licences(_table(spark, folder, "documents"), carry=["doc_id"])
+    starts = F.transform("places", lambda p: p["word"])
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        F.array_join(F.transform("expressions", lambda e: e["expression"]), "; ").alias("expressions"),
+        "terms",
+    )
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms of all words of the documents."""
+    return spelling.group_variants(spelling.count_words(_table(spark, folder, "documents")))
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op13: for one id in ten, the tail of the text repeats its own beginning; a NULL id is none of them."""
+    g, last = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    n = len(words)
+    if doc_id is None or last or not n:
+        return words
+    at = g % n
+    part = words[at : at + 1 + (n - at) // (3 + g % 8)]
+    return words[:at] + (part * (-(-(n - at) // len(part))))[: n - at]
+
+
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of all documents."""
+    docs = _table(spark, folder, "documents")
+    found = periodic.find_runs(docs, carry=["doc_id"], key="doc_id", rewrite=planted)
+    best = F.expr(
+        "array_sort(runs, (a, b) -> CASE WHEN a.length * b.period > b.length * a.period THEN -1"
+        " WHEN a.length * b.period < b.length * a.period THEN 1"
+        " WHEN a.start < b.start THEN -1 WHEN a.start > b.start THEN 1"
+        " WHEN a.period < b.period THEN -1 WHEN a.period > b.period THEN 1 ELSE 0 END)"
+    )
+    top = found.withColumn("best", F.try_element_at(best, F.lit(1)))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return top.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _QUERIES = [
     op1_html_cut,
     op2_host_rules,
@@ -98,6 +172,9 @@ _QUERIES = [
     op8_minmax,
     op9_warc,
     op10_pfair,
+    op11_licences,
+    op12_spelling,
+    op13_periodic,
 ]
 
 
