@@ -9,7 +9,7 @@ box that the word cannot reach: it may go below the cut of one axis by one and a
 next length: above one by one).  Of a pair of equal length only the word whose letter at the place of difference is
 smaller searches, so each pair is found once.  What shares a leaf is held against packed counts, then letter by letter.
 
-Spark deals the work by two tiers of the same tree.  A coarse one, built on the driver from a sample of at most
+Spark deals the work by two tiers of the same tree.  A coarse one, built on the driver from a sample of about
 ``SAMPLE`` words (a word that is not in the sample still has its leaf), sends every word to its own leaf as a point and to all
 leaves that it reaches as a query.  A leaf with more points or queries than ``GROUP`` is cut into blocks of either, and each
 block of points meets each block of queries.  Every such group then builds its own tree, to leaves of a few words.
@@ -285,10 +285,11 @@ def near_words(words: DataFrame) -> DataFrame:
     ship()
     spark = words.sparkSession
     total = words.count()
-    order = F.xxhash64("word")
-    drawn = words.where(F.char_length("word") <= SAMPLE_LETTERS).orderBy(order, "word").limit(SAMPLE).collect()
+    # one draw a word, so that no task sends more than its share to the driver
+    draw = F.pmod(F.xxhash64("word", F.lit("sample")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / max(total, 1)))
+    drawn = words.where((F.char_length("word") <= SAMPLE_LETTERS) & draw).select("word").collect()
     trees = forest([r["word"] for r in drawn], max(1.0, total / max(len(drawn), 1)))
-    held = spark.sparkContext.broadcast(trees)  # at most as many cuts as the sample has words
+    held = spark.sparkContext.broadcast(trees)  # at most as many cuts as the sample has words, about SAMPLE
     clean = words.where("word is not null and word <> ''").select("word", F.col("n").cast("long"))
     schema = "length long, leaf long, kind int, word string, n long"
     routed = settle(clean.mapInArrow(lambda batches: _routed(batches, held.value), schema))
