@@ -66,7 +66,7 @@ def op5_nnpu(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every whole text."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     toxic, rest, prior = nnpu.training_sample(docs, labels, "toxic", remainder(3) != 1)
-    return _judged(nnpu.score(docs, nnpu.train(toxic, rest, prior), carry=["doc_id"]), remainder(3) == 1)
+    return _judged(nnpu.score(docs, nnpu.fit(toxic, rest, prior), carry=["doc_id"]), remainder(3) == 1)
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
