@@ -76,6 +76,10 @@ class Vocabulary:
         flat = np.frombuffer(b"".join(spelled), np.uint8)
         return cls(dict(ranks), keys, made, byte, flat, np.cumsum(size) - size, size)
 
+    def parts(self) -> tuple:
+        """What ``Vocabulary`` is made of, for a broadcast."""
+        return self.number, self.keys, self.made, self.byte, self.flat, self.start, self.size
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Number of the token each pair makes; the largest int where it makes none."""
         bits = len(self.keys).bit_length() - 1
@@ -295,10 +299,10 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
     ``ids`` is replaced.
     """
     ship()
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)))
+    held = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)).parts())
     rest = docs.select(*[docs[c] for c in docs.columns if c not in (text, ids)], docs[text].cast("string").alias(text))
     schema = _fields(rest.drop(text)) + f"`{ids}` array<int>"
-    return rest.mapInArrow(lambda batches: _encoded(batches, held.value, pattern, text, ids), schema)
+    return rest.mapInArrow(lambda batches: _encoded(batches, Vocabulary(*held.value), pattern, text, ids), schema)
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -307,9 +311,9 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded
     An id that the vocabulary lacks is an error.
     """
     ship()
-    held = encoded.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)))
+    held = encoded.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)).parts())
     rest = encoded.drop(out).withColumn(ids, F.col(ids).cast("array<int>"))
-    return rest.mapInArrow(lambda batches: _decoded(batches, held.value, ids, out), _fields(rest) + f"`{out}` binary")
+    return rest.mapInArrow(lambda batches: _decoded(batches, Vocabulary(*held.value), ids, out), _fields(rest) + f"`{out}` binary")
 
 
 def round_trip(
@@ -320,11 +324,12 @@ def round_trip(
     ``encode`` and ``decode`` in one pass, so that ids and texts don't leave the task.
     """
     ship()
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)))
+    held = docs.sparkSession.sparkContext.broadcast(Vocabulary.of(read_ranks(ranks)).parts())
     bare = docs.select(F.col(key), *carry, F.col(text).cast("string").alias("_text"))
 
     def run(batches):
-        encoded = _encoded(batches, held.value, pattern, "_text", "_ids")
-        return _digests(_decoded(encoded, held.value, "_ids", "_plain"), "_ids", "_plain")
+        own = Vocabulary(*held.value)
+        encoded = _encoded(batches, own, pattern, "_text", "_ids")
+        return _digests(_decoded(encoded, own, "_ids", "_plain"), "_ids", "_plain")
 
     return bare.mapInArrow(run, _fields(bare.drop("_text")) + "n_tokens long, ids_sha256 string, decoded_sha256 string")

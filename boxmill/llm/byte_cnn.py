@@ -5,8 +5,9 @@ the word before.  Filters several symbols wide slide over overlapping chunks tha
 Each chunk keeps the largest answer of every filter (max pooling); the mean and the maximum of these over
 the document's chunks go through one logistic unit to a probability.
 
-Training (numpy, Adam, on the driver) works on a bounded sample of labelled rows; gradients flow through the
-pooled positions only.  Scoring is one pass over Arrow batches, a slice of bounded bytes at a time.
+Training (numpy, Adam, on the driver) works on whole texts of a sample of labelled rows, bounded in rows and in
+bytes together; gradients flow through the pooled positions only, so a text of any length takes a block of its answers
+at a time.  Scoring is one pass over Arrow batches, a slice of bounded bytes at a time.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 
 from boxmill.llm import bytetext
 from boxmill.llm.ship import ship
+from boxmill.session import settle
 
 CHUNK, STRIDE = 256, 192
 WIDTH, FILTERS = 6, 16
-TRAIN_ROWS = 3000  # labelled rows that are trained on, at most
-TRAIN_BYTES = 1536  # bytes of a training text, at most; scoring reads whole texts
+TRAIN_ROWS = 2000  # labelled rows that are trained on, at most
+TRAIN_BYTES = 16 << 20  # bytes of their whole texts together, at most
+BLOCK_CHUNKS = 1024  # chunks whose answers are held at a time
 SYMBOLS = 512
 
 
@@ -77,11 +80,29 @@ def _answers(held: np.ndarray, net: Network) -> np.ndarray:
     return out
 
 
-def _pooled(answers: np.ndarray, low: np.ndarray, high: np.ndarray, net: Network) -> np.ndarray:
+def _pooled(held: np.ndarray, low: np.ndarray, high: np.ndarray, net: Network) -> np.ndarray:
     """Largest answer of every filter in each chunk, after the bias and the rectifier."""
-    cut = np.stack([low, np.minimum(high, len(answers) - 1)], axis=1).ravel()
-    best = np.maximum.reduceat(answers, cut, axis=0)[::2]
-    return np.maximum(best + net.bias, 0)
+    best = []
+    for k in range(0, len(low), BLOCK_CHUNKS):
+        a, b = low[k : k + BLOCK_CHUNKS], high[k : k + BLOCK_CHUNKS]
+        answers = _answers(held[a[0] : b[-1] + WIDTH], net)
+        cut = np.stack([a - a[0], np.minimum(b - a[0], len(answers) - 1)], axis=1).ravel()
+        best.append(np.maximum.reduceat(answers, cut, axis=0)[::2])
+    return np.maximum(np.concatenate(best) + net.bias, 0)
+
+
+def _peaks(held: np.ndarray, low: np.ndarray, high: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """(place, answer) of the largest answer of every filter in each chunk."""
+    places, values = [], []
+    for k in range(0, len(low), BLOCK_CHUNKS):
+        a, b = low[k : k + BLOCK_CHUNKS], high[k : k + BLOCK_CHUNKS]
+        answers = _answers(held[a[0] : b[-1] + WIDTH], net)
+        # all chunks as rows of equal width
+        at = np.minimum(a[:, None] + np.arange(CHUNK), b[:, None] - 1) - a[0]
+        peak = np.take_along_axis(at, answers[at].argmax(axis=1), 1)
+        places.append(peak + a[0])
+        values.append(answers[peak, np.arange(FILTERS)])
+    return np.concatenate(places), np.concatenate(values)
 
 
 def _combined(pooled: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -93,11 +114,11 @@ def _combined(pooled: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 def probabilities(data: np.ndarray, start: np.ndarray, end: np.ndarray, net: Network) -> np.ndarray:
     """One probability per row; the rows fit in memory together, see ``score``."""
     held, low, high, row = _laid_out(symbols(data, start, end), start, end)
-    made = _combined(_pooled(_answers(held, net), low, high, net), row, len(start))
+    made = _combined(_pooled(held, low, high, net), row, len(start))
     return 1 / (1 + np.exp(-(made.astype(np.float64) @ net.head.astype(np.float64) + net.offset)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, rounds: int = 14, batch: int = 64) -> Network:
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, rounds: int = 12, batch: int = 64) -> Network:
     """Fit the network; rows count so that both labels weigh the same.  One label alone gives a constant."""
     rng = np.random.default_rng(seed)
     net = Network(
@@ -135,11 +156,8 @@ def _gradients(texts: list[bytes], labels: np.ndarray, weight: np.ndarray, net:
     end = np.cumsum([len(t) for t in texts])
     start = np.concatenate(([0], end[:-1]))
     held, low, high, row = _laid_out(symbols(data, start, end), start, end)
-    answers = _answers(held, net)
-    # the place of the largest answer in every chunk: all chunks as rows of equal width
-    at = np.minimum(low[:, None] + np.arange(CHUNK), high[:, None] - 1)
-    peak = np.take_along_axis(at, answers[at].argmax(axis=1), 1)
-    raw = answers[peak, np.arange(FILTERS)] + net.bias
+    peak, raw = _peaks(held, low, high, net)
+    raw += net.bias
     pooled = np.maximum(raw, 0)
     n = len(texts)
     made = _combined(pooled, row, n)
@@ -175,22 +193,24 @@ def score(
     already called as ``out`` is replaced.
     """
     ship()
-    held = docs.sparkSession.sparkContext.broadcast(net)  # some 200 KB, whatever the data
+    # some 200 KB, whatever the data; arrays and numbers only, which executors without the package can read
+    held = docs.sparkSession.sparkContext.broadcast((net.filters, net.bias, net.head, net.offset))
     kept = [c for c in (docs.columns if carry is None else carry) if c != out]
     bare = docs.select(*dict.fromkeys([*kept, text])).withColumn(text, docs[text].cast("string"))
     kinds = dict(zip(bare.columns, (f.dataType.simpleString() for f in bare.schema)))
     schema = "".join(f"`{c}` {kinds[c]}, " for c in kept) + f"`{out}` double"
-    return bare.mapInArrow(lambda batches: _scores(batches, held.value, text, out, kept), schema)
+    return bare.mapInArrow(lambda batches: _scores(batches, Network(*held.value), text, out, kept), schema)
 
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key: str = "doc_id", text: str = "text",
     rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES,
 ) -> tuple[list[bytes], np.ndarray]:
-    """(texts, labels) of at most ``rows`` labelled rows that ``allowed`` admits, by a hash of their key.
+    """(whole texts, labels) of at most ``rows`` labelled rows that ``allowed`` admits, by a hash of their key.
 
-    Half of them for each label as far as there are so many.  Rows without key or label take no part; keys
-    with two labels neither.  A text counts with ``size`` bytes at most, from a place that the hash picks.
+    Half of them for each label as far as there are so many.  Rows without key or label take no part; keys with two
+    labels neither.  A key with several texts counts with the first in byte order.  Rows are taken in the order of the
+    hash as long as their texts have ``size`` bytes together; one that would go over is left out.
     """
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & allowed).groupBy(key).agg(
         F.min(label).alias("_y"), F.max(label).alias("_z")
@@ -198,14 +218,20 @@ def training_sample(
     order = F.xxhash64(F.col(key), F.lit("sample"))
     halves = [one.where(F.col("_y") == y).orderBy(order, key).limit(rows // 2) for y in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
-    body = F.col(text).cast("string")
-    place = F.pmod(F.xxhash64(F.col(key)), F.greatest(F.length(body) - size, F.lit(1)).cast("long")).cast("int")
-    found = (
-        docs.select(F.col(key), F.substring(body, place + 1, F.lit(size)).alias("_t"))
+    found = settle(
+        docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
         .join(F.broadcast(chosen), key)  # at most ``rows`` rows of two numbers
-        .dropDuplicates([key])
-        .orderBy(order, key)
-        .select("_t", "_y")
-        .collect()
+        .groupBy(key, "_y")
+        .agg(F.min("_t").alias("_t"))
+        .select(order.alias("_o"), "_y", F.col("_t").cast("binary").alias("_t"))
     )
-    return [(r["_t"] or "").encode("utf-8")[:size] for r in found], np.array([r["_y"] for r in found], np.float64)
+    sizes = found.select("_o", F.length("_t").alias("_n")).orderBy("_o").collect()
+    taken, total = [], 0
+    for r in sizes:
+        if total + r["_n"] <= size:
+            taken.append(r["_o"])
+            total += r["_n"]
+    if len(taken) < len(sizes):
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in taken], "_o long")), "_o")
+    held = found.select("_o", "_t", "_y").orderBy("_o").collect()
+    return [bytes(r["_t"]) for r in held], np.array([r["_y"] for r in held], np.float64)

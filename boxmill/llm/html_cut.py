@@ -415,6 +415,9 @@ def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFra
     """
     ship()
     kept = [c for c in pages.columns if c not in (page, text, "n_chars")]
-    bare = pages.select(*[pages[c] for c in kept], pages[page].cast("string").alias("_page"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bare.schema if f.name != "_page")
-    return bare.mapInArrow(lambda b: _extract(b, "_page", text), schema + f"`{text}` string, n_chars long")
+    name = "_page"
+    while name in pages.columns:
+        name += "_"
+    bare = pages.select(*[pages[c] for c in kept], pages[page].cast("string").alias(name))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bare.schema if f.name != name)
+    return bare.mapInArrow(lambda b: _extract(b, name, text), schema + f"`{text}` string, n_chars long")

@@ -273,7 +273,7 @@ def training_sample(
     for side in (True, False):
         own = rows.filter(pc.equal(rows.column("toxic"), side)).sort_by("row")
         leasts = np.array(own.column("leasts").to_pylist(), np.int64).reshape(-1, TURNS).view(np.uint64)
-        by_side[side] = own.take(_first_copies(leasts)).to_pylist()
+        by_side[side] = own.take(pa.array(_first_copies(leasts), pa.int64())).to_pylist()
     n_p, n_u = len(by_side[True]), len(by_side[False])
     both = by_side[True] + by_side[False]
     if not n_p or not n_u:

@@ -25,6 +25,7 @@ from boxmill.operators.skew import lookup_join
 from boxmill.session import settle
 
 BLOCK_ROWS = 32
+SLICE_ROWS = 1 << 20  # rows of a written slice, about, at any size of the table
 OTHER = "other sources"
 
 
@@ -81,28 +82,29 @@ def _key(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("n"))
 
 
-def _places(names: DataFrame, weights: Mapping[str, int], block_rows: int) -> tuple[DataFrame, int]:
-    """(written table stream, key, rows, slot, at; number of slots) of a table stream, key."""
-    entries = names.groupBy("stream", "key").agg(F.count("*").alias("rows"))
-    numbered = settle(number_within(entries, ["stream"], ["key"], "n", start=0))
-    # one row per weight, a number that the caller fixed
-    sizes = numbered.groupBy("stream").agg(F.count("*").alias("n")).collect()
-    counts = {r["stream"]: -(-r["n"] // block_rows) for r in sizes}
-    rows, bounds = schedule(counts, weights), _runs(counts, weights)
-    kind = "stream string, run int, place long, start long, size long, first long, slot long"
-    table = [(k, run, j, start, size, bounds[run], slot) for k, run, j, start, size, slot in rows]
-    pattern = names.sparkSession.createDataFrame(table, kind)
-    block = F.floor(F.col("n") / F.lit(block_rows))
+def _first_places(names: DataFrame) -> DataFrame:
+    """Written table stream, key, first, rows of a table stream, key, order: rows of a key take places from first on."""
+    numbered = number_within(names, ["stream"], ["order"], "n", start=0)
+    return settle(numbered.groupBy("stream", "key").agg(F.min("n").alias("first"), F.count("*").alias("rows")))
+
+
+def _slots(rows: DataFrame, counts: Mapping[str, int], weights: Mapping[str, int], block_rows: int) -> DataFrame:
+    """``rows`` with a column slot and a column at, by their stream and their number n in it."""
+    table, bounds = schedule(counts, weights), _runs(counts, weights)
+    kind = "stream string, run int, place long, start long, size long, first_period long, period_slot long"
+    pattern = rows.sparkSession.createDataFrame(
+        [(k, run, j, start, size, bounds[run], slot) for k, run, j, start, size, slot in table], kind
+    )
     weight = F.coalesce(*[F.when(F.col("stream") == k, F.lit(w)) for k, w in weights.items()])
-    dealt = numbered.select("stream", "key", "rows", "n", block.alias("block"), weight.alias("weight"))
-    period = F.floor(F.col("block") / F.col("weight"))
+    block = F.floor(F.col("n") / F.lit(block_rows))
+    dealt = rows.withColumn("block", block).withColumns(
+        {"period": F.floor(F.col("block") / weight), "place": F.pmod("block", weight)}
+    )
     run = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("period"))) - 1
-    dealt = dealt.withColumns({"period": period, "place": F.pmod("block", "weight")}).withColumn("run", run)
     # the pattern has at most sum(weights) rows for each of the 2 * len(weights) + 1 runs
-    found = dealt.join(F.broadcast(pattern), ["stream", "run", "place"])
-    slot = F.col("start") + (F.col("period") - F.col("first")) * F.col("size") + F.col("slot")
-    placed = found.select("stream", "key", "rows", slot.alias("slot"), F.pmod("n", F.lit(block_rows)).alias("at"))
-    return settle(placed), sum(counts.values())
+    found = dealt.withColumn("run", run).join(F.broadcast(pattern), ["stream", "run", "place"])
+    slot = F.col("start") + (F.col("period") - F.col("first_period")) * F.col("size") + F.col("period_slot")
+    return found.select(*rows.columns, slot.alias("slot"), F.pmod("n", F.lit(block_rows)).alias("at"))
 
 
 def mix_sources(
@@ -116,8 +118,8 @@ def mix_sources(
 
     ``weights`` gives whole numbers: slots of a source in a period.  Sources without one, and the NULL
     source, are mixed as one under the weight of ``OTHER`` (1 if not given).  Within a source rows come in
-    the order of ``key``; rows that share source and key, and those without a key, take one place together.
-    No row is left out or repeated.  The order is that of the partitions, and of the rows in them; an empty
+    the order of ``key``, those without a key first; rows that share source and key follow each other, each with a place
+    of its own.  No row is left out or repeated.  The order is that of the partitions, and of the rows in them; an empty
     table gives an empty table.  Columns already called slot or at are replaced.
 
     The schedule is made from source and key alone; whole rows move twice, to their place and into order.
@@ -127,12 +129,24 @@ def mix_sources(
     if min(weights.values()) < 1 or block_rows < 1:
         raise ValueError("weights and block_rows are whole numbers from 1")
     name, entry = _stream(docs[source], weights).alias("stream"), _key(docs[key]).alias("key")
-    places, n_slots = _places(docs.select(name, entry), weights, block_rows)
+    places = _first_places(docs.select(name, entry, docs[key].alias("order")))
+    # one row per weight, a number that the caller fixed
+    sizes = places.groupBy("stream").agg(F.sum("rows").alias("n")).collect()
+    counts = {r["stream"]: -(-r["n"] // block_rows) for r in sizes}
     rows = docs.select(name, entry, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     # the same plan at every size: a table of places that happens to fit in memory is not broadcast
     placed = lookup_join(rows, places.hint("merge"), ["stream", "key"], "inner", weight="rows", written=True)
+    single = placed.where("rows = 1").select("row", "stream", "key", F.col("first").alias("n"))
+    if not places.where("rows > 1").isEmpty():
+        # written before it is numbered, and dealt by slices, so neither a key with many rows nor a lost executor matters
+        shared = number_within(placed.where("rows > 1"), ["stream", "key"], [], "rank", start=0)
+        single = single.unionByName(shared.select("row", "stream", "key", (F.col("first") + F.col("rank")).alias("n")))
+    found = _slots(single, counts, weights, block_rows)
+    # enough slices for any number of rows, and places alike in all of them
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.floor(F.col("slot") * F.lit(parts) / F.lit(max(n_slots, 1))).cast("int")
-    ordered = placed.repartitionById(parts, part).sortWithinPartitions("slot", "at", "key")
+    total = sum(counts.values())
+    parts = max(parts, -(-total * block_rows // SLICE_ROWS))
+    part = F.floor(F.col("slot") * F.lit(parts) / F.lit(max(total, 1))).cast("int")
+    ordered = found.repartitionById(parts, part).sortWithinPartitions("slot", "at")
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("slot", "at")]
     return ordered.select(*kept, "slot", "at")

@@ -1,4 +1,7 @@
-"""Functions for tasks travel by value, so executors need not have the package."""
+"""Functions for tasks travel by value, so executors need not have the package.
+
+What is broadcast is pickled plainly, by reference to its class: broadcast only arrays, numbers and plain containers.
+"""
 
 from __future__ import annotations
 
@@ -9,5 +12,5 @@ from pyspark import cloudpickle
 
 def ship() -> None:
     for name, module in list(sys.modules.items()):
-        if name.startswith("boxmill.llm.") and module is not None:
+        if (name.startswith("boxmill.llm.") or name == "boxmill.filesystem") and module is not None:
             cloudpickle.register_pickle_by_value(module)

@@ -280,7 +280,7 @@ def test_mix_follows_the_schedule(docs, none):
     assert len(rows) == docs.count() and got.columns.count("slot") == 1 and "row" in got.columns
     assert [(r.slot, r.at) for r in rows] == sorted((r.slot, r.at) for r in rows)
     sizes = {}
-    for r in docs.select("doc_id", "source").distinct().collect():
+    for r in rows:  # each row has a place of its own, also those that share a key or have none
         k = r.source if r.source in weights else pfair.OTHER
         sizes[k] = sizes.get(k, 0) + 1
     counts = {k: -(-n // 4) for k, n in sizes.items()}
@@ -292,9 +292,31 @@ def test_mix_follows_the_schedule(docs, none):
             seen.add((k, r.slot))
             order.append(k)
     assert order == [k for k, _ in want]
+    assert len({(r.slot, r.at) for r in rows}) == len(rows)
     assert pfair.mix_sources(none, weights).count() == 0
 
 
+def test_mix_of_rows_without_a_key(spark):
+    """A third of the rows has no key, others share one; keys are numbers, and come in their order."""
+    made = [(None if k % 3 == 0 else k // 2, f"s{k % 4}" if k % 5 else None, k) for k in range(900)]
+    docs = spark.createDataFrame(made, "doc_id long, source string, first int").repartition(5)
+    weights = {"s0": 5, "s1": 3, "s2": 1}
+    got = pfair.mix_sources(docs, weights, block_rows=4)
+    rows = got.collect()
+    assert sorted(r.first for r in rows) == list(range(900)) and len({(r.slot, r.at) for r in rows}) == 900
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source if r.source in weights else pfair.OTHER, []).append(r)
+    want = brute.earliest_deadline({k: -(-len(own) // 4) for k, own in by_source.items()}, weights | {pfair.OTHER: 1})
+    slots = sorted({(r.slot, k) for k, own in by_source.items() for r in own})
+    assert [k for _, k in slots] == [k for k, _ in want]
+    for own in by_source.values():
+        keys = [(r.doc_id is not None, r.doc_id or 0) for r in own]
+        assert keys == sorted(keys)
+    sizes = [len(list(part)) for part in got.rdd.glom().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_less_than_one_block_off():
     weights = {"a": 17, "b": 5, "c": 1, "d": 1, "e": 9}
     for blocks in (weights, {k: max(1, w // 3) for k, w in weights.items()}):

@@ -44,3 +44,18 @@ def test_near_copies_of_ids_with_several_texts(spark):
     out = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
     want = [(5, a), (5, b), (5, None), (5, ""), (9, None), (12, c), (14, " "), (None, a), (None, a)]
     assert sorted((tuple(r[:2]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stages_with_clashing_names_and_maps(spark):
+    """Columns that are called as something inside a stage, and a column of a type without an order."""
+    names = ["rows", "print", "row", "quality", "file", "start", "place", "_rows", "_quality", "_row"]
+    rows = [(k // 2, f"text {k // 2} " * 9, "en", "src1", 1, {"k": k % 2}, *["x"] * len(names)) for k in range(40)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, tags map<string, int>, "
+    docs = spark.createDataFrame(rows, kinds + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns and out.count() > 0
+    out = corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()
+    assert len({r.doc_id for r in out}) == len({r.text for r in out})
+    assert corpus_pipeline.encode(spark, docs, FOLDER).count() == 40
+    assert corpus_pipeline.keep_good(spark, docs, FOLDER).columns == docs.columns
