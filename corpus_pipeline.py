@@ -25,12 +25,21 @@ QUALITY_LIMIT = 0.5
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level network does not reject; trained on the labels of ``sf_dir``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     texts, marks = byte_cnn.training_sample(docs, labels, "quality", remainder(4) != 2)
-    scored = byte_cnn.score(docs, byte_cnn.train(texts, marks), out="_quality")
-    return scored.where(F.col("_quality") >= QUALITY_LIMIT).select(*docs.columns)
+    quality = _unused(docs, "quality")
+    scored = byte_cnn.score(docs, byte_cnn.train(texts, marks), out=quality)
+    return scored.where(F.col(quality) >= QUALITY_LIMIT).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +57,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     named, bare = docs.where(worded & F.col("doc_id").isNotNull()), docs.where(~worded & F.col("doc_id").isNotNull())
     verdicts = minmax.near_duplicates(docs)
-    kept = verdicts.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = _unused(docs, "rows")
+    kept = verdicts.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(rows))
     kept = settle(kept)
-    found = named.join(kept.where("_rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    several = kept.where("_rows > 1")
+    found = named.join(kept.where(F.col(rows) == 1).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    several = kept.where(F.col(rows) > 1)
     if not several.isEmpty():
-        repeated = lookup_join(named, several, ["doc_id"], "inner", weight="_rows", written=True).select(*docs.columns)
+        repeated = lookup_join(named, several, ["doc_id"], "inner", weight=rows, written=True).select(*docs.columns)
         # dealt anew, so that an id with many rows is not one task's
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         found = found.unionByName(_once(repeated.repartition(parts)))
@@ -61,9 +71,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _once(docs: DataFrame) -> DataFrame:
-    """One of the rows that share id and text; each task passes on one row of each."""
-    one = docs.groupBy("doc_id", F.sha2("text", 256).alias("_print")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """One of the rows that share id and text, the first by the hash of all columns; each task passes on one of each."""
+    row = F.struct(*docs.columns)
+    first = F.xxhash64(F.to_json(row))
+    one = docs.groupBy("doc_id", F.sha2("text", 256).alias("print")).agg(F.min_by(row, first).alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,14 +92,16 @@ def _placed(docs: DataFrame) -> DataFrame:
     # metadata columns of what a longer plan reads would be those of its inputs
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = settle(docs)
-    read = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    file, start, row = (_unused(docs, name) for name in ("file", "start", "row"))
+    read = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
     # one row per written file: at most those of one write
-    sizes = {r["_file"]: r["count"] for r in read.groupBy("_file").count().collect()}
+    sizes = {r[file]: r["count"] for r in read.groupBy(file).count().collect()}
     names = sorted(sizes, key=_part)
     starts = accumulate((sizes[n] for n in names), initial=0)
-    table = docs.sparkSession.createDataFrame(list(zip(names, starts)), "_file string, _start long")
-    found = read.join(F.broadcast(table), "_file")
-    return found.withColumn("place", F.col("_start") + F.col("_row")).select(*docs.columns, "place")
+    table = docs.sparkSession.createDataFrame(list(zip(names, starts)), f"{file} string, {start} long")
+    found = read.join(F.broadcast(table), file)
+    kept = [c for c in docs.columns if c != "place"]
+    return found.withColumn("place", F.col(start) + F.col(row)).select(*kept, "place")
 
 
 def _part(name: str) -> tuple[int, int, str]:
