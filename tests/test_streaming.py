@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from boxmill.streaming import camera as C
-from boxmill.streaming.sync import start_sync
+from boxmill.streaming.sync import new_objects, read_ledger, start_sync, sync_once
 
 LAYOUT = "camera_no int, frame_id long, ts timestamp, incomplete boolean, write_dropped boolean"
 
@@ -130,3 +132,44 @@ def test_incremental_sync(spark, tmp_path):
     assert (target / "c.jpg").read_text() == "c"
     report = spark.read.parquet(str(tmp_path / "report"))
     assert rows(report, "batch", "name", "status") == [(0, "a.jpg", "existing"), (0, "m/b.jpg", "copied"), (1, "c.jpg", "copied")]
+
+
+def test_sync_against_the_ledger(spark, tmp_path):
+    """Names of any form, empty and old files; a second run copies nothing, a failed object is due again."""
+    source, target = tmp_path / "src", tmp_path / "dst"
+    names = ["a.jpg", "_DSC1.jpg", "sub/_b.png", ".hid.jpg", "_x=1.jpg", "empty.jpg", "_dir/.deep/x y%20?.jpg"]
+    for name in names:
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_text("" if name == "empty.jpg" else name)
+
+    def sync():
+        query = start_sync(spark, str(source), str(target), str(tmp_path / "ck"), str(tmp_path / "ledger"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return sorted(str(p.relative_to(target)) for p in target.rglob("*") if p.is_file())
+
+    assert sync() == sorted(names)
+    os.utime(source / "a.jpg", (1, 1))
+    assert sync() == sorted(names)
+    (source / "older.jpg").write_text("old")
+    os.utime(source / "older.jpg", (1, 1))
+    assert sync() == sorted([*names, "older.jpg"])
+    ledger = rows(read_ledger(spark, str(tmp_path / "ledger")), "batch", "name", "status")
+    assert sorted(n for b, n, s in ledger if b == 0 and s == "copied") == sorted(names)
+    assert [r[1:] for r in ledger if r[0] > 0] == [("older.jpg", "copied")]
+    offsets = "".join(p.read_text() for p in (tmp_path / "ck").rglob("*") if p.is_file() and p.suffix != ".crc")
+    assert "DSC" not in offsets and len(offsets) < 20_000
+    tried = spark.createDataFrame([("a", "failed"), ("b", "copied")], "name string, status string")
+    listing = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    assert rows(new_objects(listing, tried)) == [("a",), ("c",)]
+
+
+def test_a_repeated_run_replaces_its_version(spark, tmp_path):
+    source, ledger = tmp_path / "src", str(tmp_path / "ledger")
+    source.mkdir()
+    for name in "ab":
+        (source / name).write_text(name)
+    for _ in range(2):
+        got = sync_once(spark, str(source), str(tmp_path / "dst"), ledger, 0)
+    assert rows(got, "name", "status") == [("a", "existing"), ("b", "existing")]
+    assert rows(sync_once(spark, str(source), str(tmp_path / "dst"), ledger, 1)) == []

@@ -262,3 +262,24 @@ def test_shapes_for_an_upload(spark):
     labels = spark.createDataFrame([(77, "cat")], "label_id long, label_name string")
     got = Y.shapes_from_lines(text, images, classes, labels).collect()
     assert [(r.frame_id, r.label_id, r.points) for r in got] == [(4, 77, [0.0, 0.0, 10.0, 20.0])]
+
+
+def test_listing_of_any_names_and_rounds(spark, tmp_path, monkeypatch):
+    from boxmill.sources import listing
+
+    names = ["a.jpg", "_DSC1.jpg", "sub/_b.png", ".hid.jpg", "_x=1.jpg", "empty.jpg", "_d/.e/f/g/h.jpg", "_SUCCESS"]
+    names += [f"n{i % 7}/m{i % 3}/{i}.jpg" for i in range(80)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode())
+    (tmp_path / "hollow/folder").mkdir(parents=True)
+    for limit in (listing.TASK_ENTRIES, 5, 1):  # also with many rounds
+        monkeypatch.setattr(listing, "TASK_ENTRIES", limit)
+        for root in (str(tmp_path), f"file://{tmp_path}/"):
+            got = {r.name: r for r in list_files(spark, root).collect()}
+            assert sorted(got) == sorted(names) and got["empty.jpg"].length == 0
+            assert got["_DSC1.jpg"].path == f"{root.rstrip('/')}/_DSC1.jpg" and got["a.jpg"].modified is not None
+    assert rows(list_objects(spark, str(tmp_path), "_d")) == [("_d/.e/f/g/h.jpg", ".e/f/g/h.jpg")]
+    assert list_files(spark, str(tmp_path / "hollow")).count() == 0
+    with pytest.raises(Exception, match="No such file"):
+        list_files(spark, str(tmp_path / "nowhere"))
