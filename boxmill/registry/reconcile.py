@@ -1,5 +1,7 @@
 """Plans for storage, local files and tasks."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from boxmill.operators import selection as P
 from boxmill.plans import pushback as B
 from boxmill.plans import reconcile as R
 from boxmill.registry import query
+from boxmill.session import scratch_root
+from boxmill.sinks.files import write_blobs
+from boxmill.sources.listing import image_files, list_files, object_names
 
 _ORDER = ["task_id", "frame_id"]
 
@@ -82,6 +87,28 @@ def transfer_stats(t: Tables) -> DataFrame:
     return R.transfer_stats(_download(t))
 
 
+# names of any form and empty files among the objects of the store
+_LISTED = """SELECT regexp_replace(name, 'img_', CASE length(name) % 4 WHEN 0 THEN '_DSC' WHEN 1 THEN '.img' WHEN 2 THEN '_x=' ELSE 'img_' END) AS name,
+  CASE WHEN name LIKE '%7.jpg' THEN 0 ELSE length(name) END AS length FROM a_store"""
+
+
+@query(f"""SELECT concat('proj/images/', name) AS key, name, CAST(length AS BIGINT) AS length, name LIKE '%.jpg' AS is_image FROM ({_LISTED}) s""")
+def object_listing(t: Tables) -> DataFrame:
+    """The objects of the store as files, written and listed again."""
+    odd = F.length("name") % 4
+    form = F.when(odd == 0, "_DSC").when(odd == 1, ".img").when(odd == 2, "_x=").otherwise("img_")
+    content = F.when(F.col("name").endswith("7.jpg"), "").otherwise(F.col("name"))
+    objects = t.store.select(
+        F.concat(F.lit("proj/images/"), F.replace(F.col("name"), F.lit("img_"), form)).alias("name"), content.alias("content")
+    )
+    folder = f"{scratch_root(t.spark).rstrip('/')}/objects-{uuid.uuid4().hex}"
+    write_blobs(objects, folder)
+    listing = object_names(list_files(t.spark, folder).withColumnRenamed("name", "key"), "proj/images")
+    images = image_files(listing).select("key", F.lit(True).alias("is_image"))
+    found = listing.select("key", "name", "length").join(images, "key", "left")
+    return found.withColumn("is_image", F.coalesce("is_image", F.lit(False)))
+
+
 _SYNC = """SELECT substr(s.name, 1, 4) AS project, s.key, s.base AS name,
   CASE WHEN f.name IS NULL THEN 'download' ELSE 'cached' END AS status
   FROM a_store s LEFT JOIN (SELECT DISTINCT name, CAST(1992 + dir_rank AS VARCHAR) AS project FROM a_files) f

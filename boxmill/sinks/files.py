@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import sys
 import time
+import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,6 +24,7 @@ from boxmill.plans.yolo import present_splits, stem_collisions
 from boxmill.session import settle
 
 _MANIFEST = "split string, stem string, part int, lines long, path string, final boolean"
+_HELD_BYTES = 4 << 20  # of a label file that are held before a segment is begun
 _REPORT = "name string, src string, dst string, status string, error string"
 
 
@@ -39,6 +42,53 @@ def _stream(disk, path: str):
     return disk.open_output_stream(path)
 
 
+@contextmanager
+def _published(disk, path: str, staging: str | None = None):
+    """A stream whose bytes appear under ``path`` as a whole, when it is left without an error.
+
+    Two attempts of a task may write the same file at once: each writes under a name of its own (in ``staging``, or
+    beside the file) and moves it.  An object store shows an object when it is complete, so nothing is moved there.
+    """
+    from pyarrow import fs
+
+    if isinstance(disk, (fs.S3FileSystem, fs.GcsFileSystem)):
+        with disk.open_output_stream(path) as out:
+            yield out
+        return
+    own = f"{staging}/{uuid.uuid4().hex}" if staging else f"{path}.{uuid.uuid4().hex}.partial"
+    disk.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    try:
+        with _stream(disk, own) as out:
+            yield out
+        disk.move(own, path)
+    except BaseException:
+        if disk.get_file_info(own).type == fs.FileType.File:
+            disk.delete_file(own)
+        raise
+
+
+def write_blobs(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Write a file for every row below ``folder``; the written table name, length.
+
+    ``content`` is text or binary; a NULL is an empty file.  Names are distinct; a NULL name takes no part.
+    """
+    _ship()
+    own = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    return settle(own.mapInPandas(lambda batches: _blobs(batches, folder), "name string, length long"))
+
+
+def _blobs(batches, folder: str):
+    disk, root = open_filesystem(folder)
+    root = root.rstrip("/")
+    for batch in batches:
+        sizes = []
+        for name, content in zip(batch["name"], batch["content"]):
+            with _published(disk, f"{root}/{name}", f"{root}/.staging") as out:
+                out.write(content or b"")
+            sizes.append(len(content or b""))
+        yield pd.DataFrame({"name": batch["name"], "length": sizes})
+
+
 def write_label_files(lines: DataFrame, empty: DataFrame, folder: str, order: list[str]) -> DataFrame:
     """Write ``labels/<split>/<stem>.txt`` for every image; returns the manifest.
 
@@ -84,42 +134,61 @@ def _drop_segments(folder: str) -> None:
 
 
 def _emit(batches, folder: str, root: str):
-    """Write runs of equal (split, stem); the first and the last run as segments."""
+    """Write runs of equal (split, stem); the first and the last run of the task as segments.
+
+    Segments are named by the attempt, so two attempts of a task never share one; only those that the manifest names
+    are read.  A short run between others goes to its file at once, a long one by way of a segment.
+    """
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
+    part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
     disk, _ = open_filesystem(folder)
-    run, out, count, path, target, first = None, None, 0, "", "", True
-
-    def row(final: bool):
-        return (run[0], run[1], part, count, path, final)
+    run, held, out, path, count, first, number = None, [], None, "", 0, True, 0
+
+    def segment():
+        nonlocal out, path, number
+        if out is None:
+            path = f"{root}/.segments/{own}-{number}"
+            out, number = _stream(disk, path), number + 1
+        out.write(b"".join(held))
+        held.clear()
+
+    def closed(last: bool):
+        nonlocal out, path, first
+        target, final = f"{root}/labels/{run[0]}/{run[1]}.txt", not (first or last)
+        if final and out is None:
+            with _published(disk, target, f"{root}/.segments") as whole:
+                whole.write(b"".join(held))
+            held.clear()
+            path = target
+        else:
+            segment()
+            out.close()
+            if final:
+                disk.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                disk.move(path, target)
+                path = target
+        out, first = None, False
+        return (*run, part, count, path, final)
 
-    done = []
     for batch in batches:
-        for split, stem, line in zip(batch["split"], batch["stem"], batch["line"]):
-            if run != (split, stem):
-                if out is not None:
-                    out.close()
-                    if not first:
-                        disk.move(path, target)
-                        path = target
-                    done.append(row(final=not first))
-                    first = False
-                run, count = (split, stem), 0
-                target = f"{root}/labels/{split}/{stem}.txt"
-                path = f"{root}/.segments/{split}/{stem}.{part}"
-                if not first:
-                    disk.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                out = _stream(disk, path)
-            out.write((line + "\n").encode())
-            count += 1
+        done = []
+        key = batch["split"].ne(batch["split"].shift()) | batch["stem"].ne(batch["stem"].shift())
+        starts = [*key.to_numpy().nonzero()[0].tolist(), len(batch)]
+        splits, stems, lines = (batch[c].tolist() for c in ("split", "stem", "line"))
+        for low, high in zip(starts, starts[1:]):
+            if run != (splits[low], stems[low]):
+                if run is not None:
+                    done.append(closed(last=False))
+                run, count = (splits[low], stems[low]), 0
+            held.append(("\n".join(lines[low:high]) + "\n").encode())
+            count += high - low
+            if sum(map(len, held)) > _HELD_BYTES:
+                segment()
         if done:
             yield pd.DataFrame(done, columns=["split", "stem", "part", "lines", "path", "final"])
-            done = []
-    if out is not None:
-        out.close()
-        done.append(row(final=False))
-        yield pd.DataFrame(done, columns=["split", "stem", "part", "lines", "path", "final"])
+    if run is not None:
+        yield pd.DataFrame([closed(last=True)], columns=["split", "stem", "part", "lines", "path", "final"])
 
 
 def _join_segments(batches, folder: str, root: str):
@@ -129,7 +198,7 @@ def _join_segments(batches, folder: str, root: str):
         for split, stem, packed in zip(batch["split"], batch["stem"], batch["segments"]):
             segments = json.loads(packed)
             target = f"{root}/labels/{split}/{stem}.txt"
-            with _stream(disk, target) as out:
+            with _published(disk, target, f"{root}/.segments") as out:
                 for segment in segments:
                     with disk.open_input_stream(segment["path"]) as source:
                         while chunk := source.read(1 << 20):
@@ -144,7 +213,8 @@ def _emit_empty(batches, folder: str, root: str):
         rows = []
         for split, stem in zip(batch["split"], batch["stem"]):
             target = f"{root}/labels/{split}/{stem}.txt"
-            _stream(disk, target).close()
+            with _published(disk, target, f"{root}/.segments"):
+                pass
             rows.append((split, stem, 0, 0, target, True))
         yield pd.DataFrame(rows, columns=["split", "stem", "part", "lines", "path", "final"])
 
@@ -167,7 +237,7 @@ def write_descriptor(rows: DataFrame, classes: DataFrame, folder: str) -> None:
     # The three splits a descriptor can name, in this order.
     named = present_splits(rows).where(F.col("split").isin("train", "val", "test"))
     used = {r["split"] for r in named.collect()}
-    with _stream(disk, f"{root}/dataset.yaml") as out:
+    with _published(disk, f"{root}/dataset.yaml") as out:
         out.write(f"path: {json.dumps(root)}\n".encode())
         for split in ("train", "val", "test"):
             if split in used:
@@ -206,11 +276,9 @@ def _copy(batches, attempts: int, wait: float):
                         status, error = "existing", None
                         break
                     # a half-written copy never carries the final name
-                    partial = f"{dst_path}.partial"
-                    with source.open_input_stream(src_path) as data, _stream(target, partial) as out:
+                    with source.open_input_stream(src_path) as data, _published(target, dst_path) as out:
                         while chunk := data.read(1 << 20):
                             out.write(chunk)
-                    target.move(partial, dst_path)
                     status, error = "copied", None
                     break
                 except Exception as problem:  # whatever is wrong with one file belongs in its row

@@ -1,4 +1,6 @@
 import os
+import random
+from datetime import datetime
 
 import pytest
 from conftest import rows
@@ -10,6 +12,9 @@ from boxmill.streaming.sync import new_objects, read_ledger, start_sync, sync_on
 LAYOUT = "camera_no int, frame_id long, ts timestamp, incomplete boolean, write_dropped boolean"
 
 
+LAYOUT_COLUMNS = [c.split()[0] for c in LAYOUT.split(", ")]
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     base = spark.range(600).select(
@@ -68,11 +73,58 @@ def test_back_to_back_repeats(spark):
     assert rows(got, "camera_no", "frame_id", F.unix_seconds("ts")) == [(0, 1, 10), (0, 1, 14), (0, 2, 13), (1, 1, 12)]
 
 
-def test_stream_skips_repeats(spark, events, tmp_path):
-    stream = replay(spark, events, tmp_path)
-    got = run(C.skip_repeats_stream(stream), "once", "append", tmp_path)
-    distinct = events.where("not incomplete").select("camera_no", "frame_id").distinct()
-    assert rows(got, "camera_no", "frame_id") == rows(distinct)
+END = 1700000040 + 100_000
+
+
+def shuffled(spark, events, tmp_path, reach=25, files=6):
+    """The events as a stream of files, each event up to ``reach`` places from its time; then one far in the future."""
+    folder, rng = str(tmp_path / "mixed"), random.Random(3)
+    ordered = sorted(events.select(*LAYOUT_COLUMNS).collect(), key=lambda r: r.ts)
+    near = [r for _, r in sorted(((k + rng.uniform(0, reach), r) for k, r in enumerate(ordered)), key=lambda x: x[0])]
+    parts = [near[i * len(near) // files : (i + 1) * len(near) // files] for i in range(files)]
+    last = spark.range(1).select(
+        F.lit(99).alias("camera_no"), F.lit(0).cast("long").alias("frame_id"), F.timestamp_seconds(F.lit(END)).alias("ts"),
+        F.lit(False).alias("incomplete"), F.lit(False).alias("write_dropped"))
+    for part in parts:
+        spark.createDataFrame(part, LAYOUT).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        last.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_stream_skips_repeats(spark, tmp_path):
+    """Direct repeats only: an id that comes again after another one stays, also long before the delay is over."""
+    base = spark.range(400).select(
+        (F.col("id") % 3).cast("int").alias("camera_no"),
+        (F.floor(F.col("id") / 7) % 4).cast("long").alias("frame_id"),
+        F.timestamp_seconds(F.lit(1700000040) + F.col("id")).alias("ts"),
+        (F.col("id") % 11 == 0).alias("incomplete"),
+        F.lit(False).alias("write_dropped"),
+    )
+    got = run(C.skip_repeats_stream(shuffled(spark, base, tmp_path), "1 minute"), "direct", "append", tmp_path)
+    want = rows(C.skip_repeats(base), *LAYOUT_COLUMNS)
+    distinct = base.where("not incomplete").select("camera_no", "frame_id").distinct().count()
+    assert len(want) > 5 * distinct and rows(got.where("camera_no < 99"), *LAYOUT_COLUMNS) == want
+
+
+def test_live_summary_equals_batch(spark, tmp_path):
+    """Silent minutes are shown without input, up to the watermark; totals run on."""
+    base = spark.range(300).where("id < 90 or id % 100 > 95 or id > 290").select(
+        F.when(F.col("id") % 10 == 3, 1).otherwise(0).alias("camera_no"),
+        F.col("id").alias("frame_id"),
+        F.timestamp_seconds(F.lit(1700000040) + F.col("id") * 7).alias("ts"),
+        (F.col("id") % 11 == 0).alias("incomplete"),
+        (F.col("id") % 13 == 0).alias("write_dropped"),
+    )
+    stream = shuffled(spark, base, tmp_path, reach=5)
+    got = run(C.live_summary(stream, delay="2 minutes"), "live", "append", tmp_path).where("camera_no < 99")
+    until = datetime.fromtimestamp(END - 120)
+    batch = C.running_totals(C.with_silent_intervals(C.camera_summary(base), until=until))
+    columns = ["camera_no", "start", "frames", "mean_fps", "grab_errors", "write_drops", "total_frames"]
+    assert got.where("frames = 0").count() > 1000 and rows(got, *columns) == rows(batch, *columns)
+    got = run(C.live_totals(stream, delay="2 minutes"), "lively", "append", tmp_path)
+    want = C.all_camera_totals(C.camera_summary(base))
+    assert rows(got, "start", "frames", "fps", "errors") == rows(want, "start", "frames", "fps", "errors")
 
 
 def test_stream_numbers_frames(spark, events, tmp_path):
@@ -106,6 +158,14 @@ def test_silent_intervals(spark):
         (0, 0, 2, 0), (0, 120, 0, 0), (0, 180, 0, 0), (0, 240, 1, 0), (0, 60, 0, 0), (1, 60, 1, 0)]
 
 
+def test_a_clock_that_begins_in_1970(spark):
+    """Millions of silent intervals are made in pieces."""
+    summary = spark.createDataFrame([(0, 0, 3), (0, 1_000_000_020, 4)], "camera_no int, at long, frames long").select(
+        "camera_no", F.timestamp_seconds("at").alias("start"), "frames")
+    got = C.with_silent_intervals(summary)
+    assert tuple(got.agg(F.count("*"), F.sum("frames"), F.countDistinct("start")).first()) == (16_666_668, 7, 16_666_668)
+
+
 def test_camera_numbers(spark):
     devices = spark.createDataFrame([("10.0.0.9",), ("10.0.0.10",)], "ip string")
     assert rows(C.camera_numbers(devices)) == [("10.0.0.10", 0), ("10.0.0.9", 1)]

@@ -283,3 +283,47 @@ def test_listing_of_any_names_and_rounds(spark, tmp_path, monkeypatch):
     assert list_files(spark, str(tmp_path / "hollow")).count() == 0
     with pytest.raises(Exception, match="No such file"):
         list_files(spark, str(tmp_path / "nowhere"))
+
+
+def test_two_attempts_of_a_task_leave_one_set_of_files(tmp_path, monkeypatch):
+    """Both attempts run to their ends, or one is cut off in the middle; readers see whole files only."""
+    import pandas as pd
+    import pyspark
+    from boxmill.sinks import files
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 3
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    monkeypatch.setattr(files, "_HELD_BYTES", 40)
+    table = pd.DataFrame([("train", f"i{k // 7}", f"{k} 0.5 0.5 0.5 0.5") for k in range(70)], columns=["split", "stem", "line"])
+    root = str(tmp_path)
+    cut = files._emit(iter([table[:30], table[30:]]), root, root)
+    next(cut)
+    both = [pd.concat(list(files._emit(iter([table[:33], table[33:]]), root, root))) for _ in range(2)]
+    cut.close()
+    for manifest in both:
+        assert manifest.lines.tolist() == [7] * 10 and manifest.final.tolist() == [False, *[True] * 8, False]
+        for r in manifest.itertuples():
+            with open(r.path) as text:
+                assert text.read().split("\n")[:-1] == table[table.stem == r.stem].line.tolist()
+    assert set(both[0].path[~both[0].final]) & set(both[1].path[~both[1].final]) == set()
+    assert sorted(p.name for p in (tmp_path / "labels/train").iterdir()) == [f"i{k}.txt" for k in range(1, 9)]
+    plan = [pd.DataFrame({"name": ["a"], "src": [both[0].path.iloc[1]], "dst": [f"{root}/copy/a"]})]
+    assert [next(files._copy(iter(plan), 1, 0)).status.tolist() for _ in range(2)] == [["copied"], ["existing"]]
+    assert [p.name for p in (tmp_path / "copy").iterdir()] == ["a"]
+
+    def broken():
+        with files._published(files.open_filesystem(root)[0], f"{root}/copy/b") as out:
+            out.write(b"half")
+            raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        broken()
+    assert [p.name for p in (tmp_path / "copy").iterdir()] == ["a"]
