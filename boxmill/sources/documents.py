@@ -2,46 +2,142 @@
 
 from __future__ import annotations
 
+import sys
 from urllib.parse import unquote
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxmill import filesystem
 from boxmill import schema as S
+from boxmill.filesystem import open_filesystem
 from boxmill.functions import creator_name, or_empty, parse_time, updated_date
+from boxmill.session import settle
+from boxmill.sources import json_cut
 
 CORRUPT = "_corrupt_record"
 
 
+_BLOCK = 1 << 20
+
+
+def _ship() -> None:
+    # workers get these functions by value; the package need not be installed
+    for module in (sys.modules[__name__], filesystem, json_cut):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def read_documents(
     spark: SparkSession,
     path: str | list[str],
     on_error: str = "fail",
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """One row per task document, however many a file holds.
+    """One row per task document, however many a file holds and however they are laid out.
 
-    A file is either JSON lines, a document a line, or one document over several lines.  Which it is is found
-    out file by file: with a line that is an object from its first to its last character it is JSON lines.
-    ``multi_line`` says it beforehand for all files, which saves a scan.  Broken documents fail the job, or
-    with ``on_error="skip"`` they are kept aside: see ``broken_documents``.
+    A file whose first line is a whole document is JSON lines, which tasks read in splits; every line is then checked
+    to hold whole documents.  Any other file (a document over several lines, several of them, an array of documents) is
+    cut at its brackets by one task, as a stream.  ``multi_line`` says it beforehand for all files: True cuts them all,
+    False reads them all as lines.  Broken documents, and anything that stands between documents, fail the job, or with
+    ``on_error="skip"`` they are kept aside: see ``broken_documents``.
     """
     if on_error not in ("fail", "skip"):
         raise ValueError("on_error is 'fail' or 'skip'")
-    if multi_line is not None:
-        return _documents(spark, path, multi_line, on_error)
-    line = F.regexp_replace("value", r"\s+$", "")
-    complete = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), complete.alias("complete"))
-    # one row per file, which the driver lists anyway
-    kinds = text.groupBy("file").agg(F.max("complete").alias("lines")).collect()
-    whole = [_listed(r["file"]) for r in kinds if not r["lines"]]
-    if not whole:
-        return _documents(spark, path, False, on_error)
-    if len(whole) == len(kinds):
-        return _documents(spark, path, True, on_error)
-    by_line = [_listed(r["file"]) for r in kinds if r["lines"]]
-    return _documents(spark, by_line, False, on_error).unionByName(_documents(spark, whole, True, on_error))
+    if multi_line is False:
+        return _parsed(_of_lines(spark.read.text(path)), on_error)
+    _ship()
+    # the names of the files, which Spark lists for any reader
+    files = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+    files = files.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)), "file")
+    if multi_line:
+        return _parsed(files.mapInArrow(_cut_files, _TEXTS), on_error)
+    kinds = settle(files.mapInArrow(_first_lines, "file string, lines boolean"))
+    by_line = [_listed(r["file"]) for r in kinds.where("lines").collect()]
+    texts = kinds.where("not lines").select("file").mapInArrow(_cut_files, _TEXTS)
+    if by_line:
+        texts = texts.unionByName(_of_lines(spark.read.text(by_line)))
+    return _parsed(texts, on_error)
+
+
+_TEXTS = "file string, document string"
+
+
+def _blocks(file: str, opened: dict):
+    disk, inside = open_filesystem(_plain(file), opened)
+    with disk.open_input_stream(inside) as source:
+        while block := source.read(_BLOCK):
+            yield block
+
+
+def _plain(file: str) -> str:
+    """The address of a listed file without escapes; that of a local one without its scheme."""
+    plain = unquote(file)
+    return "/" + plain.removeprefix("file:").lstrip("/") if plain.startswith("file:") else plain
+
+
+def _first_lines(batches):
+    """Whether the first line that is not blank is one whole document, for each file."""
+    opened: dict = {}
+    for batch in batches:
+        files = batch.column(0).to_pylist()
+        kinds = []
+        for file in files:
+            cutter, line = json_cut.Cutter(), None
+            for block in _blocks(file, opened):
+                text = block if line is not None else block.lstrip(json_cut._BLANK)
+                if not text and line is None:
+                    continue
+                line, more, _ = text.partition(b"\n")
+                found = list(cutter.feed(line))
+                if more or found:
+                    break
+            else:
+                found = []
+            kinds.append(line is not None and len(found) == 1 and cutter.depth == 0 and not cutter.listed and found[0][:1] == b"{")
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(kinds, pa.bool_())], ["file", "lines"])
+
+
+def _texts(files: list[str], documents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(files, pa.string()), pa.array([d.decode("utf-8", "replace") for d in documents], pa.string())],
+        ["file", "document"],
+    )
+
+
+def _cut_files(batches):
+    opened: dict = {}
+    for batch in batches:
+        for file in batch.column(0).to_pylist():
+            held, size = [], 0
+            for document in json_cut.documents(_blocks(file, opened)):
+                held.append(document)
+                size += len(document)
+                if size > _BLOCK:
+                    yield _texts([file] * len(held), held)
+                    held, size = [], 0
+            if held:
+                yield _texts([file] * len(held), held)
+
+
+def _cut_lines(batches):
+    for batch in batches:
+        for file, line in zip(*(c.to_pylist() for c in batch.columns)):
+            found = list(json_cut.documents([line.encode("utf-8")]))
+            yield _texts([file] * len(found), found)
+
+
+def _of_lines(text: DataFrame) -> DataFrame:
+    """Documents of lines; only a line that can hold something besides one object is cut."""
+    _ship()
+    lines = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document")).where(
+        F.col("document").rlike(r"[^\s\x{FEFF}]")
+    )
+    # NULL where the line is not a list of values, as with two objects that nothing parts
+    values = F.json_array_length(F.concat(F.lit("["), F.col("document"), F.lit("]")))
+    odd = ~F.col("document").rlike(r"^\s*\{") | ~values.eqNullSafe(F.lit(1))
+    return lines.where(~odd).unionByName(lines.where(odd).mapInArrow(_cut_lines, _TEXTS))
 
 
 def _listed(file: str) -> str:
@@ -50,18 +146,13 @@ def _listed(file: str) -> str:
     return "".join("\\" + c if c in "{}[]*?\\" else c for c in plain)
 
 
-def _documents(spark: SparkSession, path: str | list[str], multi_line: bool, on_error: str) -> DataFrame:
-    reader = spark.read.option("multiLine", multi_line)
+def _parsed(texts: DataFrame, on_error: str) -> DataFrame:
     if on_error == "fail":
-        return reader.option("mode", "FAILFAST").schema(S.DOCUMENT).json(path).select(*S.DOCUMENT.names)
+        found = F.from_json("document", S.DOCUMENT, {"mode": "FAILFAST"})
+        return texts.select(found.alias("d")).select("d.*")
     layout = S.T.StructType([*S.DOCUMENT.fields, S.T.StructField(CORRUPT, S.T.StringType())])
-    return (
-        reader.option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .schema(layout)
-        .json(path)
-        .select(*S.DOCUMENT.names, CORRUPT, F.col("_metadata.file_path").alias("_file"))
-    )
+    found = F.from_json("document", layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return texts.select(found.alias("d"), "file").select("d.*", F.col("file").alias("_file"))
 
 
 def good_documents(documents: DataFrame) -> DataFrame:
