@@ -2,8 +2,8 @@
 
 Only quotes, backslashes and brackets are looked at, a block of bytes at a time: quotes that no backslash escapes tell
 what is inside a string, brackets outside strings give the depth, and a document is what lies between two places of
-depth zero.  Elements of an array at the top are documents too.  Anything else between documents comes out as a piece of
-its own, so that reading it as a document fails.
+depth zero.  Elements of an array at the top are documents too.  Anything but white space and commas between documents comes
+out as a piece of its own, so that reading it as a document fails.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ class Cutter:
             self.depth = int(after[-1])
 
     def _between(self) -> Iterator[bytes]:
-        rest = b"".join(self.between).strip(_BLANK + (b"," if self.listed else b""))
+        rest = b"".join(self.between).strip(_BLANK + b",")
         self.between = []
         if rest:
             yield rest
