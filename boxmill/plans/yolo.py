@@ -195,9 +195,7 @@ def from_yolo_dataset(
         where = f"{folder.rstrip('/')}/{sub}"
         try:
             found = readable(settle(read_image_sizes(spark, where, sizes)))
-        except Exception as error:  # a split folder may be absent
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        except FileNotFoundError:  # a split folder may be absent
             continue
         direct = found.where(
             (F.instr("name", "/") == 0) & F.lower(suffix("name")).isin(*S.IMAGE_EXTENSIONS)

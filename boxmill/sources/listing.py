@@ -93,7 +93,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     round is written once.  Folders that are links are not entered.  ``root`` may be any address that
     ``boxmill.filesystem`` opens; one that does not exist is an error.
     """
+    from pyarrow import fs
+
     _ship()
+    disk, top = open_filesystem(root)
+    if disk.get_file_info(top.rstrip("/") or "/").type != fs.FileType.Directory:
+        raise FileNotFoundError(f"No such file or directory: {root}")
     tasks = 4 * spark.sparkContext.defaultParallelism
     folders, rounds, many, limit = spark.createDataFrame([("",)], "name string"), [], 1, TASK_ENTRIES
     while many:
