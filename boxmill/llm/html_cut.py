@@ -122,16 +122,37 @@ def _unclosed(page: str, tag: str, position: int) -> bool:
     return not (found and found[1])
 
 
-def _within(at: _Element, tag: str) -> bool:
-    up: _Element | None = at
-    while up is not None and up.tag != tag:
-        up = up.parent
-    return up is not None
+class _Open:
+    """The elements open at a place of the page, by name, so that no end tag climbs to the top in vain."""
+
+    def __init__(self, top: _Element):
+        self.top = self.at = top
+        self.named: dict[str, list[_Element]] = {}
+
+    def enter(self, one: _Element):
+        self.at = one
+        self.named.setdefault(one.tag, []).append(one)
+
+    def last(self, tag: str) -> _Element | None:
+        found = self.named.get(tag)
+        return found[-1] if found else None
+
+    def innermost(self, tags) -> _Element | None:
+        return max(filter(None, map(self.last, tags)), key=lambda one: one.depth, default=None)
+
+    def leave(self, one: _Element):
+        """Close ``one`` and all inside it."""
+        until = one.parent
+        while self.at is not until:
+            self.named[self.at.tag].pop()
+            self.at = self.at.parent
 
 
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order, white space made single, character references decoded."""
     top = at = _Element("", "", None)
+    opened = _Open(top)
+    endless: set[str] = set()
     made = [top]
     found: list[_Block] = []
     parts: list[str] = []
@@ -186,12 +207,15 @@ def blocks(page: str) -> list[_Block]:
                 # foreign elements hold markup; script and style in them have an end or are empty
                 foreign = unread in ("svg", "math")
                 if not closing and not empty and (not foreign or tag in ("script", "style")):
-                    end = _raw_end(page, tag, position)
+                    # once there is no end, there is none further on
+                    end = -1 if tag in endless else _raw_end(page, tag, position)
+                    if end < 0:
+                        endless.add(tag)
                     position = end if end >= 0 else position if foreign else len(page)
                 continue
             if tag in INLINE or tag in VOID or tag in UNREAD or not closing and empty:
                 continue
-            if loose or closing and not inner[tag] and _within(at, tag):
+            if loose or closing and not inner[tag] and opened.last(tag) is not None:
                 unread = ""
             else:
                 if not closing:
@@ -216,27 +240,21 @@ def blocks(page: str) -> list[_Block]:
             elif tag == "hr":
                 flush()
         elif closing:
-            up = at
-            while up is not top and up.tag != tag:
-                up = up.parent
+            up = opened.last(tag)
             flush()
-            if up is not top:
-                at, in_link = up.parent, False
+            if up is not None:
+                opened.leave(up)
+                at, in_link = opened.at, False
         else:
             flush()
             if (likes := CLOSED_BY_THEIR_LIKE.get(tag)) is not None:
-                up = at
-                while up is not top and up.tag not in likes and up.tag not in ("ul", "ol", "dl", "table"):
-                    up = up.parent
-                if up.tag in likes:
-                    at = up.parent
-            else:
-                up = at
-                while up is not top and up.tag != "p" and up.tag in INLINE:
-                    up = up.parent
-                if up.tag == "p":
-                    at = up.parent
-            at = _Element(tag, attributes, at)
+                up = opened.innermost((*likes, "ul", "ol", "dl", "table"))
+                if up is not None and up.tag in likes:
+                    opened.leave(up)
+            elif opened.at.tag == "p":
+                opened.leave(opened.at)
+            at = _Element(tag, attributes, opened.at)
+            opened.enter(at)
             made.append(at)
     flush()
     # parents come before their children

@@ -1,5 +1,7 @@
 """Pages with tags left out, and wrappers named like what stands beside the text."""
 
+import time
+
 import pytest
 
 from boxmill.llm import html_cut
@@ -56,3 +58,11 @@ def test_comments_and_teasers_stay_out():
     assert html_cut.main_text(f"{ARTICLE}<div class=related>{CARDS}</div>") == TEXT
     assert html_cut.main_text(f"<div class=has-sidebar>{ARTICLE}<div class=related>{CARDS}</div><div id=comments>{COMMENTS}</div></div>") == TEXT
     assert html_cut.main_text(f"<div class=post><h1>Title</h1><p>{STORY}</p></div><div id=comments>{COMMENTS}</div>") == TEXT
+
+
+def test_time_grows_with_the_page_alone():
+    # a million tags that end nothing, below a thousand open elements
+    page = "<div>" * 1000 + "<article><p>" + "word " * 30 + "</ul></q1x>" * 500_000 + "</article><svg>" + "<script>" * 100_000
+    start = time.process_time()
+    assert html_cut.main_text(page) == ("word " * 30).strip()
+    assert time.process_time() - start < 60
