@@ -3,7 +3,8 @@
 Every vector is projected onto a few random directions, several times over, each time with its own shift, and
 gets its place on a Hilbert curve through each projection.  The table is range-partitioned and numbered along
 every curve and cut into blocks of neighbouring places.  A query meets the blocks within a window of its own
-place, on all curves; each block gives its best, and the best of all blocks are ranked again.
+place, on all curves; each block gives its best, and the best of all blocks are ranked again.  A task meets
+one block with one stretch of queries at a time, both of bounded size.
 
 How wide the window has to be depends on the vectors alone, so it is measured: for a bounded sample of
 queries the exact neighbours are found against all rows, and the window is the distance along the nearest
@@ -29,7 +30,9 @@ from boxmill.session import settle
 CURVES, DIRECTIONS, BITS = 16, 6, 10
 SAMPLE = 128  # queries the window is measured on
 REACH = 0.95  # share of their neighbours that the window takes in
-SMALL_BLOCK, BLOCK = 256, 2048  # entries a block has at least and at most
+SMALL_BLOCK, BLOCK = 256, 1 << 21  # entries a block has at least, and numbers in its vectors at most
+STRETCH = 4096  # queries that meet a block at once; one more block's at most
+SCORES = 1 << 22  # inner products held at once
 COPIES = 8  # parts in which the ids of equal vectors are cut down first
 
 
@@ -72,7 +75,9 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     limit = F.lit(float("inf"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (x < limit) & (x > -limit))
     whole = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fine & F.exists(v, lambda x: x != 0))
-    rows = whole.select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
+    single = dict(vectors.dtypes)[vector] == "array<float>"  # kept as it comes, at half the size
+    kept = F.transform(v, lambda x: x + F.lit(0.0)).cast("array<float>" if single else "array<double>")
+    rows = whole.select(F.col(key).cast("long").alias("id"), kept.alias("v"))
     # an id that comes with several vectors has the smallest of them
     one = rows.groupBy("id").agg(F.min("v").alias("v"))
     return one
@@ -149,14 +154,15 @@ def _best(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     ids = entries["ids"].tolist()
     asked = queries["query"].to_numpy(np.int64)
     out = []
-    for low in range(0, len(asked), 512):
-        q = np.array(queries["v"].iloc[low : low + 512].tolist(), np.float64)
+    step = max(1, SCORES // len(entries))
+    for low in range(0, len(asked), step):
+        q = np.array(queries["v"].iloc[low : low + step].tolist(), np.float64)
         rough = q @ v.T
         keep = min(k, len(ids))
         edge = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep]
         # what the product of matrices rounds differently is compared again below
         close = rough >= (edge - 1e-9 * np.maximum(1, np.abs(edge)))[:, None]
-        for n, query in enumerate(asked[low : low + 512]):
+        for n, query in enumerate(asked[low : low + step]):
             at = np.flatnonzero(close[n])
             score = (v[at] * q[n]).sum(axis=1)
             told = sorted((-s, i) for s, e in zip(score.tolist(), at) for i in ids[e])
@@ -195,30 +201,42 @@ def nearest(
                 # 3 / sqrt(size) is about the largest projection of a random vector
                 unit = (v @ axes) / scale * np.sqrt(size) / 6 + 0.5
                 cells = np.clip((np.clip(unit, 0, 1) + shift) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-                yield batch.assign(curve=curve, place=hilbert_index(cells.astype(np.int64), BITS))
+                place = hilbert_index(cells.astype(np.int64), BITS)
+                yield pd.DataFrame({"entry": batch["entry"], "curve": curve, "place": place})
 
-    schema = "v array<double>, ids array<long>, entry long, curve int, place long"
-    laid = entries.select("v", "ids", "entry").mapInPandas(places, schema)
+    # the curves order and number entries; their vectors are fetched once, into the blocks
+    laid = entries.select("v", "entry").mapInPandas(places, "entry long, curve int, place long")
     placed = settle(number_within(settle(laid), ["curve"], ["place", "entry"], "at", start=0))
     window = _window(placed, entries, k, reach)
-    block = min(max(window, SMALL_BLOCK), BLOCK)
+    block = min(max(window, SMALL_BLOCK), max(SMALL_BLOCK, BLOCK // size))
     around = -(-window // block)
-    at_block = F.floor(F.col("at") / F.lit(block))
-    held = placed.select("curve", at_block.alias("block"), F.lit(False).alias("asks"), F.col("entry").alias("query"), "v", "ids")
+    located = placed.select("curve", F.floor(F.col("at") / F.lit(block)).alias("block"), "entry")
     queries = rows.where(is_query).select(F.col("id").alias("query"), "v")
     # equal queries are one search, for one neighbour more than wanted, as each leaves itself out
     distinct = queries.groupBy("v").agg(F.count("*").alias("askers"))
-    asked = placed.select("curve", at_block.alias("block"), "entry", "v").join(distinct, "v")
-    spread = F.explode(F.sequence(F.col("block") - around, F.col("block") + around))
-    asked = asked.select(
-        "curve", spread.alias("block"), F.lit(True).alias("asks"), F.col("entry").alias("query"), "v", F.array().cast("array<long>").alias("ids")
-    )
-    met = held.unionByName(asked).groupBy("curve", "block")
+    wanted = settle(entries.select("entry", "v").join(distinct, "v"))
+    home = settle(located.join(wanted.select("entry"), "entry"))
+    crowd = home.groupBy("curve", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    # so many blocks one after another are a stretch: its queries are few enough to meet a block at once
+    run = max(1, STRETCH // crowd)
+
+    def across(low, high):
+        return F.explode(F.sequence(F.floor(low).cast("long"), F.floor(high).cast("long")))
+
+    at_run = F.floor(F.col("block") / F.lit(run)).alias("run")
+    goal = across(F.col("block") - around, F.col("block") + around).alias("block")
+    meeting = across((F.col("block") - around) / F.lit(run), (F.col("block") + around) / F.lit(run)).alias("run")
+    asked = home.join(wanted, "entry").select("curve", at_run, goal, F.lit(True).alias("asks"), F.col("entry").alias("query"), "v", F.array().cast("array<long>").alias("ids"))
+    held = located.join(entries, "entry").select("curve", meeting, "block", F.lit(False).alias("asks"), F.col("entry").alias("query"), "v", "ids")
+    met = held.unionByName(asked).groupBy("curve", "block", "run")
     found = met.applyInPandas(lambda pdf: _best(pdf, k + 1), "query long, found array<struct<far: double, id: long>>")
-    # an entry has at most 2 * around + 1 rows of k + 1 for each curve
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k + 1)
-    merged = found.groupBy("query").agg(best.alias("f")).withColumnRenamed("query", "entry")
-    answers = merged.join(entries.select("entry", "v"), "entry").join(distinct, "v").select("v", "askers", "f")
+    # one exchange by query; what a query found is sorted on disk if need be, never one array
+    each = found.select("query", F.explode("found").alias("f")).select("query", "f.id", "f.far").repartition("query")
+    once = each.groupBy("query", "id").agg(F.min("far").alias("far"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("far", "id"))
+    best = once.withColumn("n", place).where(F.col("n") <= k + 1)
+    merged = best.groupBy(F.col("query").alias("entry")).agg(F.array_sort(F.collect_list(F.struct("far", "id"))).alias("f"))
+    answers = merged.join(wanted, "entry").select("v", "askers", "f")
     own = lookup_join(queries, answers, ["v"], "inner", weight="askers")
     others = F.slice(F.filter("f", lambda x: x["id"] != F.col("query")), 1, k)
     ranked = own.select("query", F.posexplode(others).alias("n", "f"))

@@ -168,3 +168,34 @@ def test_fewer_candidates_than_wanted(spark):
     assert hilbert.nearest(vectors.limit(0), F.col("id") % 20 == 0).count() == 0
     one = spark.createDataFrame([(20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert hilbert.nearest(one, F.col("id") % 20 == 0).count() == 0
+
+
+def test_nearest_in_bounded_groups(spark, monkeypatch):
+    """Small blocks, all rows queries, a copied vector: a group meets one block and one stretch; results are exact."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(600, 8)).astype(np.float32)
+    points[400:] = points[0]
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(hilbert, "SMALL_BLOCK", 16)
+    monkeypatch.setattr(hilbert, "BLOCK", 16 * 8)
+    monkeypatch.setattr(hilbert, "STRETCH", 64)
+    plain = hilbert._best
+
+    def bounded(pdf, k):
+        assert (~pdf["asks"]).sum() <= 16 and pdf["asks"].sum() <= 64
+        return plain(pdf, k)
+
+    monkeypatch.setattr(hilbert, "_best", bounded)
+    found = {}
+    for r in hilbert.nearest(vectors, F.lit(True), k=5, reach=1.0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(found) == 600
+    exact = points.astype(np.float64)
+    hits = 0
+    for query, got in found.items():
+        score = (exact * exact[query]).sum(axis=1)
+        want = sorted((-s, i) for i, s in enumerate(score.tolist()) if i != query)[:5]
+        got.sort()
+        assert [g[0] for g in got] == [1, 2, 3, 4, 5] and all(g[2] == score[g[1]] for g in got)
+        hits += len({i for _, i in want} & {g[1] for g in got})
+    assert hits >= 0.9 * 5 * 600
