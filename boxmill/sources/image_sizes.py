@@ -1,14 +1,15 @@
 """Image dimensions from file headers.
 
-Spark lists the files; a small Python helper reads each from its start until the size
-is found, so no pixel is decoded.  A file whose header is not understood gets NULL size.
+Tasks list the files; a small Python helper follows each one's offsets by seeking until the size is found, so it
+holds some kilobytes and no pixel is decoded.  A file whose header is not understood gets NULL size.
 """
 
 from __future__ import annotations
 
+import io
 import struct
-
 import sys
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,9 @@ from boxmill import schema as S
 from boxmill.filesystem import open_filesystem
 from boxmill.sources.listing import image_files, list_files
 
-STEP_BYTES = 1 << 16  # read at first; each further read is twice as long
-# fixed values: extensions of files that are measured, and starts of formats with a longer mark
+STEP_BYTES = 1 << 13  # read at a time
+# fixed values: extensions of files that are measured
 MEASURED = (*S.IMAGE_EXTENSIONS, ".gif")
-_STARTS = (b"\x89PNG", b"RIFF", b"II*\x00", b"MM\x00*")
 
 
 def ship() -> None:
@@ -31,39 +31,63 @@ def ship() -> None:
     cloudpickle.register_pickle_by_value(filesystem)
 
 
-def header_size(data: bytes) -> tuple[int, int] | None:
-    """(width, height) of PNG, JPEG, GIF, BMP, WebP or TIFF bytes."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:3] == b"GIF" and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"BM" and len(data) >= 26:
-        w, h = struct.unpack("<ii", data[18:26])
-        return abs(w), abs(h)
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
-        return _webp(data)
-    if data[:2] == b"\xff\xd8":
-        return _jpeg(data)
-    if data[:4] in (b"II*\x00", b"MM\x00*"):
-        return _tiff(data)
+class _Pieces:
+    """Bytes of a seekable file by place; one piece is held at a time."""
+
+    def __init__(self, source, step: int = STEP_BYTES):
+        self.source, self.step, self.low, self.held = source, step, 0, b""
+
+    def take(self, at: int, n: int) -> bytes:
+        """``n`` bytes from ``at`` on, fewer at the end of the file."""
+        if not self.low <= at <= at + n <= self.low + len(self.held):
+            self.source.seek(at)
+            self.held, self.low = self.source.read(max(n, self.step)), at
+        return self.held[at - self.low : at - self.low + n]
+
+
+def stream_size(source, step: int = STEP_BYTES) -> tuple[int, int] | None:
+    """(width, height) of an open PNG, JPEG, GIF, BMP, WebP or TIFF; what lies between is skipped, not read."""
+    pieces = _Pieces(source, step)
+    data = pieces.take(0, 30)
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack(">II", data[16:24])
+        if data[:3] == b"GIF":
+            return struct.unpack("<HH", data[6:10])
+        if data[:2] == b"BM":
+            w, h = struct.unpack("<ii", data[18:26])
+            return abs(w), abs(h)
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
+            return _webp(data)
+        if data[:2] == b"\xff\xd8":
+            return _jpeg(pieces)
+        if data[:4] in (b"II*\x00", b"MM\x00*"):
+            return _tiff(pieces, "<" if data[:2] == b"II" else ">")
+    except struct.error:  # cut inside a field
+        pass
     return None
 
 
-def _jpeg(data: bytes) -> tuple[int, int] | None:
+def header_size(data: bytes) -> tuple[int, int] | None:
+    """(width, height) of the bytes of a picture."""
+    return stream_size(io.BytesIO(data))
+
+
+def _jpeg(pieces: _Pieces) -> tuple[int, int] | None:
     at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
+    while len(head := pieces.take(at, 9)) == 9:
+        if head[0] != 0xFF:
             return None
-        marker = data[at + 1]
+        marker = head[1]
         if marker == 0xFF:
             at += 1
         elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+            h, w = struct.unpack(">HH", head[5:9])
             return w, h
         elif 0xD0 <= marker <= 0xD8 or marker == 0x01:
             at += 2
         else:
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+            at += 2 + struct.unpack(">H", head[2:4])[0]
     return None
 
 
@@ -83,41 +107,18 @@ def _webp(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def _tiff(data: bytes) -> tuple[int, int] | None:
-    end = "<" if data[:2] == b"II" else ">"
-    at = struct.unpack(end + "I", data[4:8])[0]
-    if at + 2 > len(data):
-        return None
+def _tiff(pieces: _Pieces, end: str) -> tuple[int, int] | None:
+    at = struct.unpack(end + "I", pieces.take(4, 4))[0]
     found = {}
-    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        if len(entry) < 12:
-            return None
+    for i in range(struct.unpack(end + "H", pieces.take(at, 2))[0]):
+        entry = pieces.take(at + 2 + 12 * i, 12)
         tag, kind = struct.unpack(end + "HH", entry[:4])
         if tag in (256, 257):
             short = kind == 3
             found[tag] = struct.unpack(end + ("H" if short else "I"), entry[8 : 10 if short else 12])[0]
-    return (found[256], found[257]) if len(found) == 2 else None
-
-
-def stream_size(source, step: int = STEP_BYTES) -> tuple[int, int] | None:
-    """(width, height) from an open stream; as much is read as it takes to find them."""
-    data = b""
-    while True:
-        more = source.read(step)
-        data += more
-        try:
-            found = header_size(data)
-        except struct.error:  # cut inside a field
-            found = None
-        if found is not None or not more or _hopeless(data):
-            return found
-        step *= 2
-
-
-def _hopeless(data: bytes) -> bool:
-    """Whether no further byte can tell the size: the start is that of no known format."""
-    return len(data) >= 12 and not (data[:2] in (b"\xff\xd8", b"BM") or data[:3] == b"GIF" or data[:4] in _STARTS)
+            if len(found) == 2:
+                return found[256], found[257]
+    return None
 
 
 def _measured(batches):
@@ -127,7 +128,7 @@ def _measured(batches):
         for path in batch["path"]:
             try:
                 disk, inside = open_filesystem(path, opened)
-                with disk.open_input_stream(inside) as source:
+                with disk.open_input_file(inside) as source:
                     found.append(stream_size(source) or (None, None))
             except OSError:
                 found.append((None, None))
@@ -146,7 +147,7 @@ def read_image_sizes(spark: SparkSession, root: str, mode: str = "each") -> Data
 
     ``each`` opens every picture.  ``first`` opens one, the first by path, and gives its size to all of them.
     A picture that cannot be read has NULL sizes: see ``readable`` and ``unreadable``.  Only paths are
-    listed; tasks read pictures as far as they must.
+    listed; tasks read of pictures what they must.
     """
     ship()
     listing = image_files(list_files(spark, root), MEASURED).select("path", "name")

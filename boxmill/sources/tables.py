@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxmill import schema as S
+from boxmill.sources.csv_cut import PACKED, read_cut_csv
 
 MERGE_COLUMNS = (
     "image_name", "instance_shape", "instance_label",
@@ -38,6 +39,8 @@ def _raw_csv(spark: SparkSession, path: str | list[str], splittable: bool | None
         whole = _breaks_lines(spark, one) if splittable is None else not splittable
         reader = spark.read.option("header", True).option("enforceSchema", False)
         part = reader.option("quote", '"').option("escape", '"').option("multiLine", whole).csv(one)
+        if whole and not any(f.endswith(PACKED) for f in part.inputFiles()):
+            part = read_cut_csv(spark, one, part.columns)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -53,8 +56,9 @@ def read_dataset_csv(
 
     Nothing is inferred: ``007`` stays text and only an empty field is NULL.
     Numbers are read through DOUBLE because integer columns with gaps are often
-    stored as ``3.0``.  Big files are cut at line ends unless a quoted field holds a line
-    break, for which the text is looked through first; ``splittable`` says so beforehand.
+    stored as ``3.0``.  Big files are cut at line ends.  Where a quoted field holds a line break, for which the
+    text is looked through first (``splittable`` says so beforehand), they are cut into blocks whose quotes are
+    counted; only packed files are then read by one task each.
     """
     raw = _raw_csv(spark, path, splittable)
     S.require(raw, required, str(path))

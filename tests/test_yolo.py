@@ -11,7 +11,7 @@ from boxmill.operators import selection as P
 from boxmill.operators.lookup import first_found
 from boxmill.plans import yolo as Y
 from boxmill.sinks.files import check_stems, copy_files, write_descriptor, write_label_files
-from boxmill.sources.image_sizes import header_size, read_image_sizes, readable, unreadable
+from boxmill.sources.image_sizes import header_size, read_image_sizes, readable, stream_size, unreadable
 from boxmill.sources.listing import image_files, list_files, list_objects, search_listing, stem_candidates
 from boxmill.sources.yolo_text import class_names, parse_lines, read_label_lines, split_folders
 
@@ -327,3 +327,34 @@ def test_two_attempts_of_a_task_leave_one_set_of_files(tmp_path, monkeypatch):
     with pytest.raises(OSError, match="lost"):
         broken()
     assert [p.name for p in (tmp_path / "copy").iterdir()] == ["a"]
+
+
+def test_size_of_a_long_picture_takes_kilobytes():
+    class Sparse:
+        """A file of zeros but for some pieces; counts what is read."""
+
+        def __init__(self, length, pieces):
+            self.length, self.pieces, self.at, self.taken = length, pieces, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            low, high = self.at, min(self.at + n, self.length)
+            out = bytearray(max(0, high - low))
+            for start, data in self.pieces.items():
+                for i, byte in enumerate(data):
+                    if low <= start + i < high:
+                        out[start + i - low] = byte
+            self.at, self.taken = high, self.taken + len(out)
+            return bytes(out)
+
+    whole = pictures.tiff(4000, 3000)
+    far = (1 << 30) - 100
+    late = Sparse(1 << 30, {0: b"II*\0" + far.to_bytes(4, "little"), far: whole[300:]})
+    assert stream_size(late) == (4000, 3000) and late.taken < 1 << 16
+    # a JPEG whose size follows sixteen full segments
+    segment = b"\xff\xe2\xff\xff"
+    behind = Sparse(2 + 16 * 65537 + 40, {0: b"\xff\xd8", **{2 + 65537 * i: segment for i in range(16)}, 2 + 16 * 65537: pictures.jpeg(31, 17)[20:]})
+    assert stream_size(behind) == (31, 17) and behind.taken < 17 * (1 << 13) + 1
+    assert stream_size(Sparse(10, {0: b"II*\0" + far.to_bytes(4, "little")})) is None
