@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from boxmill.functions.folding import casefolded
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -110,8 +112,8 @@ def hex_colour(text: Column | str) -> Column:
 
 
 def folded(name: Column | str) -> Column:
-    """Key for case-insensitive equality (lower case; ``ß`` is not expanded)."""
-    return F.lower(_col(name))
+    """Key for case-insensitive equality, by full case folding: ``Straße`` and ``STRASSE`` are equal."""
+    return casefolded(_col(name))
 
 
 def same_name(a: Column | str, b: Column | str) -> Column:

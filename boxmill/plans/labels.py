@@ -71,7 +71,7 @@ def apply_label_changes(
         fresh = _edits(labels, [(int(i), n.strip()) for i, n in add.items()], "label_id long, label_name string")
         out = out.unionByName(fresh.withColumn("color", F.lit("")), allowMissingColumns=True)
     if new_names:
-        touched = [n.strip().lower() for n in new_names]
+        touched = [n.strip().casefold() for n in new_names]
         clash = [r["key"] for r in name_clashes(out).where(F.col("key").isin(touched)).collect()]
         if clash:
             raise ValueError(f"label exists already: {', '.join(sorted(clash))}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxmill.functions import folded
 from boxmill.operators.ordered import number_rows
 from boxmill.plans.extract import Snapshot
 
@@ -94,9 +95,9 @@ def scale_tasks(
 def base_positions(tasks: DataFrame, names: list[str], order: list[str] | None = None) -> list[int]:
     """Positions of base tasks by name (case and outer blanks do not count)."""
     numbered = number_rows(tasks, order or ["task_id"], "base", start=0)
-    wanted = sorted({n.strip().lower() for n in names})
+    wanted = sorted({n.strip().casefold() for n in names})
     hits = (
-        numbered.select(F.lower(F.trim("task_name")).alias("key"), "base")
+        numbered.select(folded(F.trim("task_name")).alias("key"), "base")
         .where(F.col("key").isin(wanted))
         .groupBy("key").agg(F.min("base").alias("base"), F.count("*").alias("n"))
         .collect()
@@ -104,7 +105,7 @@ def base_positions(tasks: DataFrame, names: list[str], order: list[str] | None =
     found = {r["key"]: r for r in hits}
     out = []
     for name in names:
-        row = found.get(name.strip().lower())
+        row = found.get(name.strip().casefold())
         if row is None or row["n"] > 1:
             raise ValueError(f"{'no' if row is None else 'more than one'} base task named {name!r}")
         out.append(row["base"])
@@ -112,7 +113,7 @@ def base_positions(tasks: DataFrame, names: list[str], order: list[str] | None =
 
 
 def scale_project(snapshot: Snapshot, count: int, **options) -> Snapshot:
-    """Whole snapshot of a scaled project: frames, deletions and shapes follow
+    """Whole snapshot of a scaled project: frames, deletions, shapes and tracks follow
     their base task."""
     tasks = scale_tasks(snapshot.tasks, count, **options)
     # copies of one base task are dealt to parts, so that no task emits all of them
@@ -129,4 +130,5 @@ def scale_project(snapshot: Snapshot, count: int, **options) -> Snapshot:
     return Snapshot(
         tasks.drop("base_task_id", "pos"), follow(snapshot.frames), follow(snapshot.deleted),
         follow(snapshot.shapes), snapshot.labels,
+        None if snapshot.tracks is None else follow(snapshot.tracks),
     )

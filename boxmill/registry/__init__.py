@@ -26,6 +26,7 @@ def _load() -> None:
     from boxmill.registry import (  # noqa: F401
         camera,
         extract,
+        files,
         labels,
         merge,
         names,

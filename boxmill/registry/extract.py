@@ -110,6 +110,45 @@ def fetch_selected(t: Tables) -> DataFrame:
     return P.select_tasks(tasks, _SELECTORS).select("pick", "task_id", "task_name")
 
 
+_PICKED = ["STRASSE-3", "1", " ſtrasse-2 ", "STRAẞE-0", "3"]
+
+
+@query("""SELECT image_name, 'box' AS instance_shape, instance_label, task_id, frame_id FROM a_boxes WHERE task_id IN (0, 1, 2, 3)
+  UNION ALL SELECT image_name, 'none', NULL, task_id, frame_id FROM a_none WHERE task_id IN (0, 1, 2, 3)""")
+def fetch_picked(t: Tables) -> DataFrame:
+    """The rows of tasks chosen by id or by names that differ in more than capitals."""
+    named = t.tasks.withColumn("task_name", F.concat(F.lit("Straße-"), F.col("task_id").cast("string")))
+    tasks = P.select_tasks(named, _PICKED).drop("pick")
+    rows = X.fetch_annotations(X.Snapshot(tasks, t.frames, t.deleted_frames, t.shapes, t.labels))
+    return rows.select("image_name", "instance_shape", "instance_label", "task_id", "frame_id")
+
+
+@query("""SELECT task_id, task_name FROM a_tasks WHERE project_id = 2""")
+def find_project(t: Tables) -> DataFrame:
+    """The tasks of a project that is found by its name."""
+    projects = t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    found = P.find_project(projects, " CUſTOMER#000000002 ")
+    return t.tasks.where(F.col("project_id") == found).select("task_id", "task_name")
+
+
+@query("""SELECT q.task_id, q.frame_id, concat('{"', coalesce(p.name, CAST(q.l_partkey AS VARCHAR)), '": "', q.l_returnflag, '"}') AS attributes
+  FROM (SELECT s.* FROM a_shapes s JOIN a_frames f ON f.task_id = s.task_id AND f.frame_id = s.frame_id
+    JOIN a_tasks t ON t.task_id = s.task_id WHERE s.shape_type = 'rectangle') q
+  LEFT JOIN (SELECT p_partkey, concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS name FROM part) p ON p.p_partkey = q.l_partkey""")
+def box_attributes_many(t: Tables) -> DataFrame:
+    """Attribute values of as many specs as there are parts."""
+    spec = F.struct(F.col("p_partkey").cast("long").alias("id"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
+    specs = t.raw("part").groupBy(F.col("p_brand").alias("label_name")).agg(F.array_sort(F.collect_list(spec)).alias("attributes"))
+    value = F.array(F.struct(F.col("l_partkey").cast("long").alias("spec_id"), F.col("l_returnflag").alias("value")))
+    shapes = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") - 1).cast("int").alias("frame_id"),
+        F.when(F.col("l_tax") > 0.01, "rectangle").otherwise("polygon").alias("type"),
+        (F.col("l_suppkey") % 30).alias("label_id"), F.array(*[F.lit(float(i)) for i in range(4)]).alias("points"), value.alias("attributes"),
+    )
+    snapshot = X.Snapshot(t.tasks, t.frames, t.deleted_frames, shapes, t.labels.join(specs, "label_name"))
+    return X.box_rows(snapshot).select("task_id", "frame_id", attributes_json("attributes").alias("attributes"))
+
+
 @query("""SELECT instance_shape, count(*) AS n_rows FROM (
   SELECT 'box' AS instance_shape FROM a_boxes UNION ALL SELECT 'none' FROM a_none
   UNION ALL SELECT 'deleted' FROM a_deleted) u GROUP BY 1""")

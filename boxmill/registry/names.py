@@ -108,3 +108,10 @@ def broken_rules(t: Tables) -> DataFrame:
         *[F.lit(1.0).alias(c) for c in ("bbox_x_tl", "bbox_y_tl", "bbox_x_br", "bbox_y_br")],
     )
     return rule_counts(rows)
+
+
+@query("""SELECT p_partkey, concat(replace(lower(p_name), 'll', 'ss'), '/', lower(p_type)) AS key FROM part""")
+def folded_names(t: Tables) -> DataFrame:
+    """Names written with sharp and long s, folded."""
+    name = F.translate(F.replace(F.lower("p_name"), F.lit("ll"), F.lit("ß")), "s", "ſ")
+    return t.raw("part").select("p_partkey", B.folded(F.concat(name, F.lit("/"), F.upper("p_type"))).alias("key"))

@@ -22,19 +22,19 @@ def partition_counts(t: Tables) -> DataFrame:
     return P.partition_counts(P.partition_annotations(t.history, t.deletions))
 
 
-_GONE = """SELECT image_name, task_id, frame_id, task_status, task_updated_date FROM (
+GONE = """SELECT image_name, task_id, frame_id, task_status, task_updated_date FROM (
   SELECT d.image_name, d.task_id, d.frame_id, d.task_status, d.task_updated_date, row_number() OVER (
     PARTITION BY d.image_name ORDER BY try_cast(d.task_updated_date AS TIMESTAMP) DESC NULLS LAST, d.task_id, d.frame_id) AS rn
   FROM a_deleted d JOIN a_state s ON s.image_name = d.image_name WHERE s.is_gone = 1) q WHERE rn = 1"""
 
 
-@query(_GONE)
+@query(GONE)
 def partition_deleted(t: Tables) -> DataFrame:
     return P.deleted_images(t.history, t.deletions)
 
 
 @query(f"""SELECT part, count(*) AS n_rows FROM a_part GROUP BY part
-  UNION ALL SELECT 'deleted', count(*) FROM ({_GONE}) g""")
+  UNION ALL SELECT 'deleted', count(*) FROM ({GONE}) g""")
 def partition_summary(t: Tables) -> DataFrame:
     parts = P.partition_annotations(t.history, t.deletions)
     return P.partition_summary(parts, P.deleted_images(t.history, t.deletions))

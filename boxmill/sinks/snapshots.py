@@ -42,20 +42,8 @@ def snapshot_documents(
         ).alias("deleted_frames")
     )
     shapes = snapshot.shapes.withColumn("chunk", chunk.cast("long"))
-    if cut:
-        counts = shapes.groupBy("task_id", "chunk").agg(F.count("*").alias("_n"))
-        slices = counts.select(
-            "task_id", "chunk", "_n", F.ceil(F.col("_n") / F.lit(shapes_per_document)).alias("_slices")
-        )
-        plain = [c for c in snapshot.shapes.columns if c not in ("task_id",)]
-        shapes = lookup_join(shapes, slices, ["task_id", "chunk"], "inner", weight="_n").withColumn(
-            "slice", F.pmod(F.xxhash64(*plain), F.col("_slices")).cast("int")
-        )
-        # without this the grouping below would keep the join's distribution, that is
-        # all slices of a chunk in one task
-        shapes = shapes.repartition(*key)
-    else:
-        shapes = shapes.withColumn("slice", F.lit(0))
+    by = [c for c in snapshot.shapes.columns if c not in ("task_id",)]
+    shapes = _sliced(shapes, by, shapes_per_document if cut else None)
     have = set(snapshot.shapes.columns)
     kinds = S.DOCUMENT["annotations"].dataType["shapes"].dataType.elementType
 
@@ -81,7 +69,7 @@ def snapshot_documents(
         track = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.elementType.fields])
         at = F.col("ord") if "ord" in snapshot.tracks.columns else F.col("id")
         tracks = (
-            snapshot.tracks.withColumn("chunk", chunk.cast("long")).withColumn("slice", F.lit(0))
+            _sliced(snapshot.tracks.withColumn("chunk", chunk.cast("long")), ["id", "frame", at], shapes_per_document if cut else None)
             .groupBy(*key)
             .agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), track.alias("t")))).alias("_all"))
             .select(*key, F.transform("_all", lambda e: e["t"]).alias("tracks"))
@@ -108,6 +96,20 @@ def snapshot_documents(
     )
 
 
+def _sliced(rows: DataFrame, by: list, size: int | None) -> DataFrame:
+    """``rows`` with a ``slice``: those of a chunk are dealt to as many as it takes to hold ``size`` rows in each."""
+    if size is None:
+        return rows.withColumn("slice", F.lit(0))
+    counts = rows.groupBy("task_id", "chunk").agg(F.count("*").alias("_n"))
+    slices = counts.select("task_id", "chunk", "_n", F.ceil(F.col("_n") / F.lit(size)).alias("_slices"))
+    dealt = lookup_join(rows, slices, ["task_id", "chunk"], "inner", weight="_n").withColumn(
+        "slice", F.pmod(F.xxhash64(*by), F.col("_slices")).cast("int")
+    )
+    # without this a grouping by slice would keep the join's distribution, that is
+    # all slices of a chunk in one task
+    return dealt.repartition("task_id", "chunk", "slice")
+
+
 def write_documents(documents: DataFrame, folder: str) -> None:
     """JSON, one directory ``document=<id>_<name slug>`` per task."""
     name = F.concat(F.col("task.id").cast("string"), F.lit("_"), slug("task.name"))

@@ -20,6 +20,7 @@ from boxmill.plans.extract import (
     fetch_project,
     fetch_summary,
 )
+from boxmill.plans.scale import scale_project
 from boxmill.sinks.snapshots import project_document, snapshot_documents, write_documents
 from boxmill.sources import documents as D
 from boxmill.sources.ignore_list import ignore_list
@@ -271,3 +272,18 @@ def test_tracks_survive_an_export(spark, tmp_path):
     second = Snapshot.of_documents(D.read_documents(spark, str(tmp_path / "out")), X.labels(spark))
     fields = ["id", "frame", "label_id", "source", F.to_json(F.struct("attributes", "shapes")), "created_by"]
     assert rows(second.tracks, *fields) == rows(first.tracks, *fields) and second.tracks.count() == 7
+
+
+def test_tracks_of_one_frame_are_dealt_to_documents(spark, tmp_path):
+    made = X.normal(1)
+    made["annotations"]["tracks"] = [
+        {"id": k, "frame": 0, "label_id": 1, "source": "manual", "attributes": [], "shapes": [X.shape(1, k)], "created_by": "me"} for k in range(60)]
+    first = Snapshot.of_documents(D.read_documents(spark, X.write(tmp_path / "in", made)), X.labels(spark))
+    cut = snapshot_documents(first, frames_per_document=3, shapes_per_document=10)
+    sizes = [r[0] for r in cut.select(F.size("annotations.tracks")).collect()]
+    assert sum(sizes) == 60 and max(sizes) < 30 and sum(n > 0 for n in sizes) >= 3
+    write_documents(cut, str(tmp_path / "out"))
+    second = Snapshot.of_documents(D.read_documents(spark, str(tmp_path / "out")), X.labels(spark))
+    assert rows(second.tracks, "id") == rows(first.tracks, "id") and rows(second.shapes, "frame_id", "type") == rows(first.shapes, "frame_id", "type")
+    # a scaled project has the tracks of its base task in every copy
+    assert scale_project(first, 3).tracks.count() == 180

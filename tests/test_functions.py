@@ -169,3 +169,11 @@ def test_short_points_fail(spark):
 def test_clone_key(spark):
     assert one(spark, B.clone_key("pre/fix", "sub", "t"), t="sub/a.jpg") == "pre/fix/sub/sub/a.jpg"
     assert one(spark, B.clone_key("", "sub", "t"), t="a.jpg") == "sub/a.jpg"
+
+
+def test_folding_of_every_letter(spark):
+    letters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and (chr(c).casefold() != chr(c) or c % 997 == 0)]
+    table = spark.createDataFrame([(c, f"a{c}B{c}") for c in letters] + [("", ""), (None, None)], "c string, name string")
+    for r in table.select("c", "name", B.folded("name").alias("key")).collect():
+        assert r.key == (r.name.casefold() if r.name is not None else None), r.c
+    assert one(spark, B.same_name("a", "b"), a="Straße ΣΑΣ", b="STRASSE σας") is True
