@@ -27,8 +27,13 @@ def name_index(
     own = F.array(F.struct(F.col(name).alias("lookup"), F.lit(True).alias("full")))
     answers = F.when(base == F.col(name), own).otherwise(both)
     flat = entries.select(*keys, F.col(value).alias("_value"), position, F.inline(answers))
-    last_full = F.max_by("_value", F.when(F.col("full"), F.col("at")))
-    first_base = F.min_by("_value", F.when(~F.col("full"), F.col("at")))
+    if order == [value]:
+        # the value is its own place: buffers of fixed width for numbers
+        last_full = F.max(F.when(F.col("full"), F.col("_value")))
+        first_base = F.min(F.when(~F.col("full"), F.col("_value")))
+    else:
+        last_full = F.max_by("_value", F.when(F.col("full"), F.col("at")))
+        first_base = F.min_by("_value", F.when(~F.col("full"), F.col("at")))
     return flat.groupBy(*keys, "lookup").agg(F.coalesce(last_full, first_base).alias(value))
 
 

@@ -13,10 +13,10 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boxmill import schema as S
 from boxmill.functions import parse_time
-from boxmill.operators.pick import first_per_key
 from boxmill.operators.skew import lookup_join
 
 _NO_DATE = -(10**17) * 9  # microseconds; before every date
@@ -56,6 +56,7 @@ def _counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     return state.select(
         "image_name",
         ((F.col("deletion") == 1) & later).alias("is_gone"),
+        "gone_at",
         (F.pmod("done", F.lit(2 * _TASK_SHIFT)) - F.lit(_TASK_SHIFT)).cast("long").alias("current_task"),
         "n_rows",
     )
@@ -68,7 +69,7 @@ def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     dates come before all others.  ``current_task`` is the latest completed task
     (highest id among equal dates).
     """
-    return _counted_state(annotations, deleted).drop("n_rows")
+    return _counted_state(annotations, deleted).drop("n_rows", "gone_at")
 
 
 def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFra
     Both the decision and the rows read ``annotations``; ``settle`` them first when
     they come out of costly joins.
     """
-    state = _counted_state(annotations, deleted)
+    state = _counted_state(annotations, deleted).drop("gone_at")
     part = (
         F.when(F.coalesce("is_gone", F.lit(False)), OBSOLETE)
         .when(F.coalesce(F.col("task_status") != S.COMPLETED, F.lit(True)), IN_PROGRESS)
@@ -98,14 +99,20 @@ def deleted_images(
     It is the record of the latest deleting task; the first listed one (by
     ``order``) among equals.
     """
-    gone = image_state(annotations, deleted).where("is_gone").select("image_name")
-    order = order or ["task_id", "frame_id"]
-    at = parse_time("task_updated_date")
-    # newest first, unreadable dates last
-    recency = F.coalesce(-F.unix_micros(at), F.lit(2**63 - 1))
-    return first_per_key(deleted, ["image_name"], [recency, *order]).join(
-        gone, "image_name", "left_semi"
+    gone = _counted_state(annotations, deleted).where("is_gone").select(
+        F.col("image_name").alias("_image"), F.col("gone_at").alias("_gone")
+    )
+    # NULL stands for images without a readable date
+    newest = deleted.join(
+        gone,
+        (F.col("image_name") == F.col("_image"))
+        & parse_time("task_updated_date").eqNullSafe(F.col("_gone")),
+        "left_semi",
     )
+    order = order or ["task_id", "frame_id"]
+    first = Window.partitionBy("image_name").orderBy(*[F.col(c) for c in order], F.xxhash64(*deleted.columns))
+    # a limit per window: each task passes on one row per image
+    return newest.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def partition_counts(parts: DataFrame) -> DataFrame:

@@ -33,7 +33,8 @@ def match_shapes(annotations: DataFrame, frames: DataFrame, labels: DataFrame) -
     )
     rows = complete_boxes(annotations).drop("frame_id", "label_id")
     placed = lookup_join(rows, index, ["task_id", "image_name"])
-    found = lookup_join(placed, by_name, ["instance_label"])
+    # a short list of definitions: Spark broadcasts it where it is small, and splits hot labels otherwise
+    found = placed.join(by_name, "instance_label", "left")
     status = (
         F.when(F.col("frame_id").isNull(), NO_FRAME)
         .when(F.col("label_id").isNull(), NO_LABEL)

@@ -9,7 +9,7 @@ from boxmill import schema as S
 from boxmill.functions import month_name, object_key
 from boxmill.operators.lookup import attach_by_name, first_found, name_index, newest_object
 from boxmill.operators.ordered import number_rows
-from boxmill.operators.pick import first_per_key
+from boxmill.operators.pick import order_key
 from boxmill.operators.skew import lookup_join
 from boxmill.operators.selection import split_deleted, with_labels, without_images
 
@@ -19,11 +19,13 @@ CACHED, DOWNLOAD, UPLOAD, EXISTING, FAILED, MISSING = (
 
 
 def image_tasks(annotations: DataFrame, order: list[str]) -> DataFrame:
-    """``image_name, task_id``: the task of the first row of every image."""
-    return first_per_key(
-        annotations.select("image_name", "task_id", *[c for c in order if c != "task_id"]),
-        ["image_name"], order,
-    ).select("image_name", "task_id")
+    """``image_name, task_id``: the task of the first row of every image (NULLs come first)."""
+    if order[0] == "task_id":
+        none = F.count_if(F.col("task_id").isNull()) > 0
+        first = F.when(none, F.lit(None)).otherwise(F.min("task_id"))
+    else:
+        first = F.min_by("task_id", order_key(annotations, order))
+    return annotations.groupBy("image_name").agg(first.alias("task_id"))
 
 
 def _present(names: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
