@@ -2,7 +2,8 @@
 
 A page is cut into text blocks.  A linear classifier over structure, names, links and words says for each
 block how much it costs to call it content or boilerplate: the capacities of its edges from the source and to
-the sink.  Blocks next to each other and blocks of one parent are joined by edges that are the stronger the
+the sink.  It is fitted to a sample of the pages themselves: where a page marks its article, the blocks tell
+which they are, and the classifier learns to tell them with the mark taken away.  Blocks next to each other and blocks of one parent are joined by edges that are the stronger the
 nearer they are in the document tree.  The minimum cut is the labelling of least total cost, found by
 maximum flow; blocks on the source side are the text.
 """
@@ -14,6 +15,7 @@ import math
 import re
 from collections import Counter, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +50,11 @@ SIDE_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article content post entry story main body text maincontent articlebody".split())
 
-# weights of the classifier; positive is content
-BIAS, IN_ARTICLE, ASIDE, LINKS, LENGTH, STOP = -2.4, 4.0, -9.0, -4.0, 0.7, 0.5
+# what the classifier takes for granted before it has seen a page; positive is content
 TAGS = {"p": 1.2, "h1": 1.5, "h2": 0.8, "h3": 0.6, "blockquote": 1.0, "pre": 1.0, "li": -0.3, "td": -0.3}
-NAMED_MAIN = 2.0
+PRIOR = {"bias": -2.4, "length": 0.7, "links": -4.0, "stop": 0.5, **TAGS, "named": 2.0, "article": 1.5, "beside": -9.0}
+# the sample the classifier is fitted to, and how many of its blocks outweigh the prior
+SAMPLE_PAGES, BLOCKS_A_PAGE, EVIDENCE = 400, 200, 400.0
 # strength of the edges
 NEXT, SIBLING = 2.4, 1.2
 
@@ -277,21 +280,100 @@ def _beside(own: _Element, words: int, core: int) -> bool:
     return small(own.aside) or not leads and small(own.beyond)
 
 
-def _leaning(block: _Block, words: int, core: int) -> float:
-    """What the classifier says of one block; positive is content."""
+def _measures(block: _Block, words: int, core: int) -> list[tuple[str, float]]:
+    """What the classifier sees of one block, without what is zero."""
     text, own = block.text, block.parent
-    n = text.count(" ") + 1
-    value = BIAS + LENGTH * math.log(n + 1) + LINKS * block.links / len(text) + TAGS.get(own.tag, 0.0)
+    found = [("bias", 1.0), ("length", math.log(text.count(" ") + 2))]
+    if block.links:
+        found.append(("links", block.links / len(text)))
+    if own.tag in TAGS:
+        found.append((own.tag, 1.0))
     if text[-1] in ".!?…:;\"”»":
-        value += STOP
+        found.append(("stop", 1.0))
     if own.main:
-        value += IN_ARTICLE
+        found.append(("article", 1.0))
     elif own.named:
-        value += NAMED_MAIN
+        found.append(("named", 1.0))
     # a form around most of the page is a frame; a smaller one is a form
     if own.side or own.form is not None and 2 * own.form.words < words or _beside(own, words, core):
-        value += ASIDE
-    return value
+        found.append(("beside", 1.0))
+    return found
+
+
+def _totals(found: list[_Block]) -> tuple[int, int]:
+    """Words of the whole page, and those of its core."""
+    top = found[0].parent if found else None
+    while top is not None and top.parent is not None:
+        top = top.parent
+    return (top.words, top.core) if top is not None else (0, 0)
+
+
+_MARK = re.compile(r"(</?)(?:article|main)(?=[\s/>])|(\srole\s*=\s*[\"']?)(?:article|main)\b", re.I)
+
+
+def unmarked(page: str) -> str:
+    """The page with its articles called plain divisions."""
+    return _MARK.sub(lambda m: m[1] + "div" if m[1] else m[2] + "none", page)
+
+
+def lessons(page: str) -> list[tuple[list[tuple[str, float]], bool]]:
+    """Blocks of a page that marks its article: their measures without the mark, and whether they are in it.
+
+    Empty for a page that marks none, or that falls into other blocks without the mark.  A page of very many
+    blocks gives every k-th of them.
+    """
+    told, found = blocks(page), blocks(unmarked(page))
+    if [b.text for b in told] != [b.text for b in found]:
+        return []
+    totals = _totals(told)
+    seen = [dict(_measures(b, *totals)) for b in told]
+    inside = [
+        "article" in m and "beside" not in m and not (b.parent.article is not None and b.parent.article.apart)
+        for m, b in zip(seen, told)
+    ]
+    if not any(inside):
+        return []
+    totals = _totals(found)
+    step = -(-len(found) // BLOCKS_A_PAGE)
+    return [(_measures(b, *totals), inside[k]) for k, b in enumerate(found) if k % step == 0]
+
+
+def fitted(taught: list[tuple[list[tuple[str, float]], bool]]) -> dict[str, float]:
+    """Weights of least logistic loss near the prior, by Newton steps.
+
+    The mean loss counts as ``EVIDENCE`` blocks, so the sample's size does not change how far the weights may
+    go.  A measure that no block has keeps its prior, all do without blocks.
+    """
+    names = list(PRIOR)
+    prior = np.array([PRIOR[n] for n in names])
+    if not taught:
+        return dict(PRIOR)
+    place = {n: k for k, n in enumerate(names)}
+    x = np.zeros((len(taught), len(names)))
+    for row, (measures, _) in enumerate(taught):
+        for name, value in measures:
+            x[row, place[name]] = value
+    y = np.array([inside for _, inside in taught], float)
+    share = EVIDENCE / len(taught)
+
+    def loss(w):
+        z = x @ w
+        return share * (np.logaddexp(0.0, z) - y * z).sum() + ((w - prior) ** 2).sum() / 2
+
+    w, before = prior, loss(prior)
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = share * (x.T @ (p - y)) + w - prior
+        bend = share * (x.T * (p * (1 - p))) @ x + np.eye(len(names))
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while size > 1e-6 and loss(w - size * step) > before:
+            size /= 2
+        w = w - size * step if size > 1e-6 else w
+        after = loss(w)
+        if before - after < 1e-9:
+            break
+        before = after
+    return {n: float(v) for n, v in zip(names, w)}
 
 
 def _distance(a: _Element, b: _Element) -> int:
@@ -391,15 +473,12 @@ def min_cut(leaning: list[float], edges: list[tuple[int, int, float]]) -> list[b
     return [bool(s) for s in side]
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: dict[str, float] = PRIOR) -> str:
     """The content blocks of a page, one a line; empty for a NULL or empty page."""
     if not page:
         return ""
     found = blocks(page)
-    top = found[0].parent if found else None
-    while top is not None and top.parent is not None:
-        top = top.parent
-    words, core = (top.words, top.core) if top is not None else (0, 0)
+    words, core = _totals(found)
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for k, block in enumerate(found):
@@ -409,33 +488,68 @@ def main_text(page: str | None) -> str:
         if last.get(up, k - 1) != k - 1:
             edges.append((last[up], k, SIBLING))
         last[up] = k
-    side = min_cut([_leaning(b, words, core) for b in found], edges)
+    leaning = [sum(weights[name] * value for name, value in _measures(b, words, core)) for b in found]
+    side = min_cut(leaning, edges)
     return "\n".join(b.text for b, content in zip(found, side) if content)
 
 
-def _extract(batches, page: str, out: str):
+def _taught(batches):
+    names = list(PRIOR)
+    for batch in batches:
+        for piece in slices(batch, "page"):
+            for page in piece.column(0).to_pylist():
+                rows = [(dict(measures), inside) for measures, inside in lessons(page)]
+                values = [[m.get(n, 0.0) for n in names] for m, _ in rows]
+                columns = [pa.array(values, pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["measures", "inside"])
+
+
+def learn(pages: DataFrame, page: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
+    """Weights fitted to the ``sample`` unlike pages whose hashes are least, at most ``BLOCKS_A_PAGE`` blocks each.
+
+    Pages without a marked article teach nothing; with none at all, or an empty table, the prior stays.
+    """
+    ship()
+    told = pages.select(pages[page].cast("string").alias("page")).where("page != ''")
+    told = told.select("page", F.xxhash64("page").alias("key"))
+    last = told.select("key").distinct().orderBy("key").limit(sample).agg(F.max("key")).first()[0]
+    if last is None:
+        return dict(PRIOR)
+    # copies of a page are one page
+    drawn = told.where(F.col("key") <= last).groupBy("key").agg(F.any_value("page").alias("page"))
+    rows = drawn.select("page").mapInArrow(_taught, "measures array<double>, inside boolean").collect()
+    # in an order of their own, so that sums do not hang on that of the tasks
+    rows = sorted((tuple(r.measures), r.inside) for r in rows)
+    return fitted([(list(zip(PRIOR, values)), inside) for values, inside in rows])
+
+
+def _extract(batches, page: str, out: str, weights: dict[str, float]):
     for batch in batches:
         for piece in slices(batch, page):
             at = piece.schema.get_field_index(page)
-            texts = [main_text(x) for x in piece.column(at).to_pylist()]
+            texts = [main_text(x, weights) for x in piece.column(at).to_pylist()]
             rest = [(n, piece.column(k)) for k, n in enumerate(piece.schema.names) if k != at]
             columns = [*[c for _, c in rest], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*[n for n, _ in rest], out, "n_chars"])
 
 
-def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
+def extract(
+    pages: DataFrame, page: str = "html", text: str = "text", weights: dict[str, float] | None = None
+) -> DataFrame:
     """``pages`` with its main text in ``text`` and its length in code points in ``n_chars``, without ``page``.
 
     Pages are independent; a NULL, empty or text-free page has the empty text.  White space inside a block is
     one space, ``<br>`` included; blocks come in page order.  Broken markup is read as far as it goes: an
-    element without an end ends with the one around it.  Columns already called ``text`` or n_chars are
+    element without an end ends with the one around it.  Without ``weights`` they are learnt from the pages
+    first (``learn``), which reads the pages twice more.  Columns already called ``text`` or n_chars are
     replaced.
     """
     ship()
+    weights = learn(pages, page) if weights is None else weights
     kept = [c for c in pages.columns if c not in (page, text, "n_chars")]
     name = "_page"
     while name in pages.columns:
         name += "_"
     bare = pages.select(*[pages[c] for c in kept], pages[page].cast("string").alias(name))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bare.schema if f.name != name)
-    return bare.mapInArrow(lambda b: _extract(b, name, text), schema + f"`{text}` string, n_chars long")
+    return bare.mapInArrow(lambda b: _extract(b, name, text, weights), schema + f"`{text}` string, n_chars long")
