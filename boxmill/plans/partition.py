@@ -13,6 +13,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 from pyspark.sql.window import Window
 
 from boxmill import schema as S
@@ -110,7 +111,9 @@ def deleted_images(
         "left_semi",
     )
     order = order or ["task_id", "frame_id"]
-    first = Window.partitionBy("image_name").orderBy(*[F.col(c) for c in order], F.xxhash64(*deleted.columns))
+    # columns with a hash of their own settle ties; a map has none
+    plain = [f.name for f in deleted.schema if isinstance(f.dataType, AtomicType)]
+    first = Window.partitionBy("image_name").orderBy(*[F.col(c) for c in order], F.xxhash64(*plain))
     # a limit per window: each task passes on one row per image
     return newest.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 

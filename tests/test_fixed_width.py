@@ -64,7 +64,7 @@ def test_image_tasks(spark, history, order):
 
 def test_deletion_records(spark, history):
     df = _history(spark, history)
-    deleted = df.select("image_name", "task_id", "frame_id", "task_updated_date", F.lit("x").alias("note"))
+    deleted = df.select("image_name", "task_id", "frame_id", "task_updated_date", F.lit("x").alias("note"), F.create_map(F.lit("k"), F.lit(1)).alias("more"))
     got = deleted_images(df.where("image_name < 'i2'"), deleted)
     assert "SortAggregate" not in _plan(got)
     none = {}
