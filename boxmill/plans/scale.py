@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from boxmill.functions import folded
 from boxmill.operators.ordered import number_rows
 from boxmill.plans.extract import Snapshot
+from boxmill.session import settle
 
 # The task states of the annotation server.
 STATUSES = ("backlog", "annotation", "validation", "completed")
 
 
-# copies of the base tasks that are made together
+# copies of one base task that are made together
 COPIES_PER_PART = 10_000
 
 
@@ -116,15 +117,28 @@ def scale_project(snapshot: Snapshot, count: int, **options) -> Snapshot:
     """Whole snapshot of a scaled project: frames, deletions, shapes and tracks follow
     their base task."""
     tasks = scale_tasks(snapshot.tasks, count, **options)
-    # copies of one base task are dealt to parts, so that no task emits all of them
-    parts = max(1, -(-count // COPIES_PER_PART))
-    ids = tasks.select(
-        F.col("base_task_id").alias("_base"), F.col("task_id").alias("_new"), F.pmod("pos", F.lit(parts)).cast("long").alias("_part")
-    )
+    ids = settle(tasks.select(F.col("base_task_id").alias("_base"), F.col("task_id").alias("_new"), "pos"))
+    copied = ids.groupBy("_base").agg(F.count("*").alias("_copies"))
+    many = copied.where(F.col("_copies") > COPIES_PER_PART)
+    # only tasks of very many copies are dealt to parts, so that no task emits all of them
+    dealt = not many.isEmpty()
+    if dealt:
+        # at most copies / COPIES_PER_PART rows
+        parts = many.select(
+            F.col("_base").alias("_many"), F.ceil(F.col("_copies") / F.lit(COPIES_PER_PART)).alias("_parts")
+        )
+        part = F.coalesce(F.pmod(F.xxhash64("pos"), F.col("_parts")), F.lit(0))
+        ids = ids.join(F.broadcast(parts), F.col("_base") == F.col("_many"), "left").select("_base", "_new", part.alias("_part"))
 
     def follow(rows: DataFrame) -> DataFrame:
-        spread = rows.withColumn("_part", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (0, parts - 1)])))
-        joined = spread.join(ids, (F.col("task_id") == F.col("_base")) & (spread["_part"] == ids["_part"]))
+        here = F.col("task_id") == F.col("_base")
+        if dealt:
+            known = rows.join(F.broadcast(parts), F.col("task_id") == F.col("_many"), "left")
+            last = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - F.lit(1).cast("long")
+            rows_of = known.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            joined = rows_of.join(ids, here & (F.col("_at") == F.col("_part")))
+        else:
+            joined = rows.join(ids, here)
         return joined.withColumn("task_id", F.col("_new")).select(*rows.columns)
 
     return Snapshot(
