@@ -98,7 +98,9 @@ def object_listing(t: Tables) -> DataFrame:
     odd = F.length("name") % 4
     form = F.when(odd == 0, "_DSC").when(odd == 1, ".img").when(odd == 2, "_x=").otherwise("img_")
     content = F.when(F.col("name").endswith("7.jpg"), "").otherwise(F.col("name"))
-    objects = t.store.select(
+    # one file is one unit of work: few bytes, but as many tasks as there are cores and some more
+    store = t.store.repartition(4 * t.spark.sparkContext.defaultParallelism, "name")
+    objects = store.select(
         F.concat(F.lit("proj/images/"), F.replace(F.col("name"), F.lit("img_"), form)).alias("name"), content.alias("content")
     )
     folder = f"{scratch_root(t.spark).rstrip('/')}/objects-{uuid.uuid4().hex}"
