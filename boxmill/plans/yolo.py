@@ -17,7 +17,7 @@ from boxmill.functions import (
 )
 from boxmill.operators.lookup import first_found
 from boxmill.operators.ordered import number_rows
-from boxmill.operators.pick import first_per_key
+from boxmill.operators.pick import first_per_key, order_key
 from boxmill.operators.selection import usable_shapes
 from boxmill.operators.skew import lookup_join
 from boxmill.session import settle
@@ -54,9 +54,13 @@ def class_index(rows: DataFrame) -> DataFrame:
 
 def first_sizes(boxes: DataFrame, order: list[str]) -> DataFrame:
     """Size of the first row and number of rows per (split, image)."""
-    first = F.min_by(F.struct("image_width", "image_height"), F.struct(*order)).alias("_first")
-    sizes = boxes.groupBy("split", "image_name").agg(first, F.count("*").alias("n_rows"))
-    return sizes.select("split", "image_name", "_first.*", "n_rows")
+    # both come from the same row; buffers of fixed width, where the order is one of whole numbers
+    place = order_key(boxes, order)
+    return boxes.groupBy("split", "image_name").agg(
+        F.min_by("image_width", place).alias("image_width"),
+        F.min_by("image_height", place).alias("image_height"),
+        F.count("*").alias("n_rows"),
+    )
 
 
 def yolo_lines(

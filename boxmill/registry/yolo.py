@@ -76,7 +76,7 @@ def yolo_roundtrip(t: Tables) -> DataFrame:
     )
     # written once, as the label files would be
     written = label_lines(settle(lines))
-    shape_rank = F.when(F.col("instance_shape") == "box", 0).otherwise(1)
+    shape_rank = F.when(F.col("instance_shape") == "box", 0).otherwise(1).cast("tinyint")
     images = Y.first_sizes(rows.withColumn("rank", shape_rank), ["rank", *_ORDER])
     images = images.drop("n_rows").withColumn("stem", Y.stem("image_name"))
     names = classes.select("class_id", F.col("instance_label").alias("name"))
