@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from boxmill import schema as S
 from boxmill.functions import parse_time
 from boxmill.operators.skew import lookup_join
+from boxmill.session import settle
 
 _NO_DATE = -(10**17) * 9  # microseconds; before every date
 _TASK_SHIFT = Decimal(10) ** 19  # above every task id
@@ -26,6 +27,11 @@ _TASK_SHIFT = Decimal(10) ** 19  # above every task id
 DATASET, OBSOLETE, IN_PROGRESS = "dataset", "obsolete", "in_progress"
 
 
+def counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
+    """What decides per image, written once, for callers that want both the parts and the deleted images."""
+    return settle(_counted_state(annotations, deleted))
+
+
 def _counted_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     done = F.col("task_status") == S.COMPLETED
     seen = annotations.select(
@@ -73,13 +79,16 @@ def image_state(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
     return _counted_state(annotations, deleted).drop("n_rows", "gone_at")
 
 
-def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFrame:
-    """``annotations`` with a ``part`` column.
+def partition_annotations(
+    annotations: DataFrame, deleted: DataFrame, state: DataFrame | None = None
+) -> DataFrame:
+    """``annotations`` with a ``part`` column; ``state`` is their ``counted_state``, if it is there already.
 
     Both the decision and the rows read ``annotations``; ``settle`` them first when
     they come out of costly joins.
     """
-    state = _counted_state(annotations, deleted).drop("gone_at")
+    written = state is not None
+    state = (state if written else _counted_state(annotations, deleted)).drop("gone_at")
     part = (
         F.when(F.coalesce("is_gone", F.lit(False)), OBSOLETE)
         .when(F.coalesce(F.col("task_status") != S.COMPLETED, F.lit(True)), IN_PROGRESS)
@@ -87,20 +96,21 @@ def partition_annotations(annotations: DataFrame, deleted: DataFrame) -> DataFra
         .otherwise(OBSOLETE)
     )
     return (
-        lookup_join(annotations, state, ["image_name"], weight="n_rows")
+        lookup_join(annotations, state, ["image_name"], weight="n_rows", written=written)
         .select(*annotations.columns, part.alias("part"))
     )
 
 
 def deleted_images(
-    annotations: DataFrame, deleted: DataFrame, order: list[str] | None = None
+    annotations: DataFrame, deleted: DataFrame, order: list[str] | None = None, state: DataFrame | None = None
 ) -> DataFrame:
     """One deletion record per image whose latest event is a deletion.
 
     It is the record of the latest deleting task; the first listed one (by
     ``order``) among equals.
     """
-    gone = _counted_state(annotations, deleted).where("is_gone").select(
+    state = _counted_state(annotations, deleted) if state is None else state
+    gone = state.where("is_gone").select(
         F.col("image_name").alias("_image"), F.col("gone_at").alias("_gone")
     )
     # NULL stands for images without a readable date

@@ -40,8 +40,9 @@ def csv_round_trip(t: Tables) -> DataFrame:
 def four_outputs(t: Tables) -> DataFrame:
     """Partition -> four folders of CSV -> rows with the name of their folder."""
     folder = _folder(t, "outputs")
-    parts = P.partition_annotations(t.history, t.deletions)
-    W.write_parts_separately(parts, P.deleted_images(t.history, t.deletions), folder)
+    state = P.counted_state(t.history, t.deletions)
+    parts = P.partition_annotations(t.history, t.deletions, state)
+    W.write_parts_separately(parts, P.deleted_images(t.history, t.deletions, state=state), folder)
     out = None
     for name in (P.DATASET, P.OBSOLETE, P.IN_PROGRESS, "deleted"):
         rows = R.read_dataset_csv(t.spark, f"{folder}/{name}")

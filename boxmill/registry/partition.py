@@ -36,5 +36,6 @@ def partition_deleted(t: Tables) -> DataFrame:
 @query(f"""SELECT part, count(*) AS n_rows FROM a_part GROUP BY part
   UNION ALL SELECT 'deleted', count(*) FROM ({GONE}) g""")
 def partition_summary(t: Tables) -> DataFrame:
-    parts = P.partition_annotations(t.history, t.deletions)
-    return P.partition_summary(parts, P.deleted_images(t.history, t.deletions))
+    state = P.counted_state(t.history, t.deletions)
+    parts = P.partition_annotations(t.history, t.deletions, state)
+    return P.partition_summary(parts, P.deleted_images(t.history, t.deletions, state=state))

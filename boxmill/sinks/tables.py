@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boxmill import schema as S
 from boxmill.functions import attributes_json
 from boxmill.plans.extract import Records
-from boxmill.plans.partition import DATASET, IN_PROGRESS, OBSOLETE, deleted_images, partition_annotations
+from boxmill.plans.partition import DATASET, IN_PROGRESS, OBSOLETE, counted_state, deleted_images, partition_annotations
 from boxmill.session import settle
 
 
@@ -46,14 +46,19 @@ def write_partitioned(records: Records, folder: str, fmt: str = "parquet") -> No
     The extracted rows are read three times here (state per image, rows, deleted
     images), so they are written once first instead of being extracted again.
     """
-    kept = Records(settle(records.annotations), records.deleted)
-    parts = partition_annotations(kept.annotations, kept.deleted)
+    kept = Records(settle(records.annotations), settle(records.deleted))
+    state = counted_state(kept.annotations, kept.deleted)
+    parts = partition_annotations(kept.annotations, kept.deleted, state)
     write_table(parts, f"{folder}/parts", fmt, partition_by=["part"])
-    write_table(deleted_images(kept.annotations, kept.deleted), f"{folder}/deleted", fmt)
+    write_table(deleted_images(kept.annotations, kept.deleted, state=state), f"{folder}/deleted", fmt)
 
 
 def write_parts_separately(parts: DataFrame, gone: DataFrame, folder: str, fmt: str = "csv") -> None:
-    """Four outputs: ``dataset``, ``obsolete``, ``in_progress`` and ``deleted``."""
+    """Four outputs: ``dataset``, ``obsolete``, ``in_progress`` and ``deleted``.
+
+    The parts are written once first, instead of being decided again for each output.
+    """
+    parts = settle(parts)
     for part in (DATASET, OBSOLETE, IN_PROGRESS):
         write_table(parts.where(F.col("part") == part).drop("part"), f"{folder}/{part}", fmt)
     write_table(gone, f"{folder}/deleted", fmt)
