@@ -134,15 +134,16 @@ class Tables:
 
     @cached_property
     def history(self) -> DataFrame:
-        """The annotation columns that partition needs."""
-        return self.dataset.select(
-            "image_name", "task_id", "frame_id", "task_status", "task_updated_date"
-        )
+        """The annotation columns that partition needs, written once as the dataset is."""
+        needed = ["image_name", "task_id", "frame_id", "task_status", "task_updated_date"]
+        if "dataset" in self.__dict__:
+            return self.dataset.select(*needed)
+        return settle(self.records.annotations.select(*needed))
 
     @cached_property
     def deletions(self) -> DataFrame:
-        return self.records.deleted.select(
-            "image_name", "task_id", "frame_id", "task_status", "task_updated_date"
+        return settle(
+            self.records.deleted.select("image_name", "task_id", "frame_id", "task_status", "task_updated_date")
         )
 
     @cached_property

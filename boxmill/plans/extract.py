@@ -38,15 +38,15 @@ class Snapshot:
 
     @staticmethod
     def of_documents(docs: DataFrame, labels: DataFrame) -> "Snapshot":
-        good = D.good_documents(docs)
+        # written once: every table takes its fields from the same parsed documents
+        good = settle(D.good_documents(docs))
         return Snapshot(
             D.tasks_table(good), D.frames_table(good), D.deleted_frames_table(good),
             D.shapes_table(good), labels, D.tracks_table(good),
         )
 
     def written(self) -> "Snapshot":
-        """The tables written once; worth it for documents, which every table would
-        parse again."""
+        """The tables written once."""
         return Snapshot(
             settle(self.tasks), settle(self.frames), settle(self.deleted), settle(self.shapes), self.labels,
             None if self.tracks is None else settle(self.tracks),
@@ -128,7 +128,8 @@ def counted_frames(snapshot: Snapshot) -> DataFrame:
     # task fields join the frames, of which there are fewer than shapes
     tasks = snapshot.tasks.select("task_id", *_TASK)
     boxes = rectangles(snapshot.shapes).groupBy(*_FRAME).agg(F.count("*").alias("n_boxes"))
-    return settle(snapshot.frames.join(tasks, "task_id").join(boxes, _FRAME, "left"))
+    # counts first: tables grouped by frame are dealt for that already
+    return settle(snapshot.frames.join(boxes, _FRAME, "left").join(tasks, "task_id"))
 
 
 def box_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
@@ -157,11 +158,20 @@ def unannotated_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> Dat
     )
 
 
-def deleted_rows(snapshot: Snapshot) -> DataFrame:
-    """One row per deletion record; a frame nobody knows is ``<unknown>``, 0 x 0."""
+def deleted_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
+    """One row per deletion record; a frame nobody knows is ``<unknown>``, 0 x 0.
+
+    ``frames`` are the counted ones, where they were made already.
+    """
     tasks = snapshot.tasks.select("task_id", *_TASK)
-    frames = snapshot.frames.select("task_id", "frame_id", "name", "width", "height")
-    known = snapshot.deleted.join(frames, ["task_id", "frame_id"], "left").join(tasks, "task_id")
+    columns = ["task_id", "frame_id", "name", "width", "height"]
+    if frames is None:
+        known = snapshot.deleted.join(snapshot.frames.select(*columns), _FRAME, "left").join(tasks, "task_id")
+    else:
+        # counted frames hold the fields of their task; only records of other frames look for it
+        gone = snapshot.deleted.select(*_FRAME)
+        strange = gone.join(frames.select(*_FRAME), _FRAME, "left_anti").join(tasks, "task_id")
+        known = gone.join(frames.select(*columns, *_TASK), _FRAME).unionByName(strange, allowMissingColumns=True)
     named = known.select(
         "task_id", "frame_id", *_TASK,
         F.when(F.col("width").isNull() & F.col("name").isNull(), F.lit(S.UNKNOWN))
@@ -177,7 +187,7 @@ def deleted_rows(snapshot: Snapshot) -> DataFrame:
 def extract_records(snapshot: Snapshot) -> Records:
     frames = counted_frames(snapshot)
     annotations = box_rows(snapshot, frames).unionByName(unannotated_rows(snapshot, frames))
-    return Records(annotations, deleted_rows(snapshot))
+    return Records(annotations, deleted_rows(snapshot, frames))
 
 
 def extract_documents(docs: DataFrame, labels: DataFrame) -> Records:

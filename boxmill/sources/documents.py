@@ -234,8 +234,8 @@ def tasks_table(documents: DataFrame) -> DataFrame:
     # a task whose snapshot is spread over several documents, or exported twice, appears once: the latest
     tasks = documents.select(*task_columns())
     rest = [c for c in tasks.columns if c != "task_id"]
-    latest = F.max_by(F.struct(*rest), F.struct(parse_time("task_updated_date"), F.struct(*rest)))
-    return tasks.groupBy("task_id").agg(latest.alias("t")).select("task_id", "t.*")
+    latest = F.max(F.struct(parse_time("task_updated_date").alias("at"), F.struct(*rest).alias("t")))
+    return tasks.groupBy("task_id").agg(latest.alias("_last")).select("task_id", "_last.t.*")
 
 
 def frames_table(documents: DataFrame) -> DataFrame:
