@@ -51,31 +51,27 @@ class Tables:
         ).distinct()
 
     @cached_property
-    def flagged_frames(self) -> DataFrame:
-        gone = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+    def frames(self) -> DataFrame:
         return (
             self.raw("lineitem")
             .groupBy(
                 F.col("l_orderkey").alias("task_id"),
                 (F.col("l_linenumber") - 1).cast("int").alias("frame_id"),
             )
-            .agg(F.min("l_partkey").alias("part"), F.max(F.when(gone, 1).otherwise(0)).alias("is_deleted"))
+            .agg(F.min("l_partkey").alias("part"))
             .select(
                 "task_id", "frame_id",
                 F.concat(F.lit("img_"), F.col("part").cast("string"), F.lit(".jpg")).alias("name"),
-                F.lit(640).alias("width"), F.lit(480).alias("height"), "is_deleted",
+                F.lit(640).alias("width"), F.lit(480).alias("height"),
             )
         )
 
-    @cached_property
-    def frames(self) -> DataFrame:
-        return self.flagged_frames.drop("is_deleted")
-
     @cached_property
     def deleted_frames(self) -> DataFrame:
-        return self.flagged_frames.where("is_deleted = 1").select(
-            "task_id", "frame_id", F.col("frame_id").cast("long").alias("ord")
-        )
+        gone = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")
+        frame = (F.col("l_linenumber") - 1).cast("int")
+        found = self.raw("lineitem").where(gone).select(F.col("l_orderkey").alias("task_id"), frame.alias("frame_id")).distinct()
+        return found.select("task_id", "frame_id", F.col("frame_id").cast("long").alias("ord"))
 
     @cached_property
     def shapes(self) -> DataFrame:

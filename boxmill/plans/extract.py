@@ -8,7 +8,7 @@ documents, one row per task, are handled inside the row without any shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ class Snapshot:
     shapes: DataFrame
     labels: DataFrame
     tracks: DataFrame | None = None
+    # the tables but the tasks are unnested from documents that are written already
+    unnested: bool = False
 
     @staticmethod
     def of_documents(docs: DataFrame, labels: DataFrame) -> "Snapshot":
@@ -42,11 +44,13 @@ class Snapshot:
         good = settle(D.good_documents(docs))
         return Snapshot(
             D.tasks_table(good), D.frames_table(good), D.deleted_frames_table(good),
-            D.shapes_table(good), labels, D.tracks_table(good),
+            D.shapes_table(good), labels, D.tracks_table(good), unnested=True,
         )
 
     def written(self) -> "Snapshot":
-        """The tables written once."""
+        """The tables written once; those that are read from written documents anyway are not written again."""
+        if self.unnested:
+            return replace(self, tasks=settle(self.tasks))
         return Snapshot(
             settle(self.tasks), settle(self.frames), settle(self.deleted), settle(self.shapes), self.labels,
             None if self.tracks is None else settle(self.tracks),
@@ -54,7 +58,7 @@ class Snapshot:
 
     def of_tasks(self, tasks: DataFrame) -> "Snapshot":
         """The same snapshot reduced to the given tasks."""
-        return Snapshot(tasks, self.frames, self.deleted, self.shapes, self.labels, self.tracks)
+        return replace(self, tasks=tasks)
 
 
 @dataclass(frozen=True)
@@ -120,21 +124,27 @@ def _image_columns() -> list[Column]:
     ]
 
 
-def counted_frames(snapshot: Snapshot) -> DataFrame:
-    """Frames of the tasks with task fields and ``n_boxes`` (NULL without boxes).
+def counted_frames(snapshot: Snapshot, deletions: bool = True) -> DataFrame:
+    """Frames of the tasks with task fields, ``n_boxes`` and ``n_deleted`` (NULL without boxes, without deletions).
 
-    Written once: both kinds of annotation rows are made from it.
+    Deletion records of frames nobody knows are rows of their own, without a frame's fields.  Without ``deletions``
+    there is no ``n_deleted`` and there are no such rows.  Written once: all rows of a snapshot are made from it, and
+    each kind takes its frames without looking at the others.
     """
     # task fields join the frames, of which there are fewer than shapes
     tasks = snapshot.tasks.select("task_id", *_TASK)
     boxes = rectangles(snapshot.shapes).groupBy(*_FRAME).agg(F.count("*").alias("n_boxes"))
     # counts first: tables grouped by frame are dealt for that already
-    return settle(snapshot.frames.join(boxes, _FRAME, "left").join(tasks, "task_id"))
+    frames = snapshot.frames.join(boxes, _FRAME, "left")
+    if deletions:
+        gone = snapshot.deleted.groupBy(*_FRAME).agg(F.count("*").alias("n_deleted"))
+        frames = frames.join(gone, _FRAME, "full")
+    return settle(frames.join(tasks, "task_id"))
 
 
 def box_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
     """One row per rectangle on a known frame, deleted frames included."""
-    frames = counted_frames(snapshot) if frames is None else frames
+    frames = counted_frames(snapshot, deletions=False) if frames is None else frames
     shapes = _named_attributes(rectangles(snapshot.shapes), snapshot.labels)
     boxed = frames.where(F.col("n_boxes").isNotNull())
     joined = lookup_join(shapes, boxed, _FRAME, "inner", weight="n_boxes", written=True).join(
@@ -151,8 +161,7 @@ def box_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
 def unannotated_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFrame:
     """One row per frame that is neither deleted nor holds a rectangle."""
     frames = counted_frames(snapshot) if frames is None else frames
-    gone = snapshot.deleted.select(*_FRAME).distinct()
-    free = frames.where(F.col("n_boxes").isNull()).join(gone, _FRAME, "left_anti")
+    free = frames.where(F.col("n_boxes").isNull() & F.col("n_deleted").isNull())
     return S.conform(
         free.select(*_image_columns(), F.lit(S.NONE).alias("instance_shape"), "task_id", *_TASK, "frame_id")
     )
@@ -168,10 +177,10 @@ def deleted_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFra
     if frames is None:
         known = snapshot.deleted.join(snapshot.frames.select(*columns), _FRAME, "left").join(tasks, "task_id")
     else:
-        # counted frames hold the fields of their task; only records of other frames look for it
-        gone = snapshot.deleted.select(*_FRAME)
-        strange = gone.join(frames.select(*_FRAME), _FRAME, "left_anti").join(tasks, "task_id")
-        known = gone.join(frames.select(*columns, *_TASK), _FRAME).unionByName(strange, allowMissingColumns=True)
+        # counted frames hold the fields of their task, also where a record has no frame; records may lack a frame id
+        gone = snapshot.deleted.select(F.col("task_id").alias("_task"), F.col("frame_id").alias("_frame"))
+        same = (F.col("_task") == F.col("task_id")) & F.col("_frame").eqNullSafe(F.col("frame_id"))
+        known = gone.join(frames.where(F.col("n_deleted").isNotNull()).select(*columns, *_TASK), same)
     named = known.select(
         "task_id", "frame_id", *_TASK,
         F.when(F.col("width").isNull() & F.col("name").isNull(), F.lit(S.UNKNOWN))

@@ -1,0 +1,119 @@
+"""Export and extraction leave little on disk: rows are dealt once, shuffles go with their write, files are packed."""
+
+import time
+
+import pytest
+import samples as X
+from conftest import rows
+from pyspark.sql import functions as F
+
+from boxmill import session
+from boxmill import schema as S
+from boxmill.plans import extract
+from boxmill.plans.extract import Snapshot, extract_records
+from boxmill.sinks import snapshots
+from boxmill.sources import documents as D
+
+
+def _executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before, kept = _shuffle_files(spark), spark.conf.get(session._CLEANUP, None)
+    table = session.settle(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before and table.count() == 100
+    assert spark.conf.get(session._CLEANUP, None) == kept
+    assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+    with pytest.raises(Exception, match="no such luck"):
+        session.settle(spark.range(1).select(F.raise_error(F.lit("no such luck"))))
+    assert spark.conf.get(session._CLEANUP, None) == kept
+
+
+def _flat(spark, n_tasks=3, n_frames=7, n_shapes=40):
+    """Frames of several tasks with shapes and deletions, some of them twice or of unknown frames and tasks."""
+    tasks = spark.createDataFrame([(i, f"t{i}", "completed", "s", "2024-01-01") for i in range(n_tasks)], S.TASKS)
+    frames = spark.createDataFrame([(i, f, f"i{i}_{f}.jpg", 10, 20) for i in range(n_tasks + 1) for f in range(n_frames)], S.FRAMES)
+    gone = [(0, 2, 0), (0, 2, 1), (1, 3, 0), (1, 99, 1), (1, 99, 2), (77, 0, 0), (2, n_frames - 1, 0)]
+    shapes = [(i, k, k % n_frames if k % 5 else 0, "polygon" if k % 7 == 0 else "rectangle", k % 3, [1.0 * k, 2.0, 3.0, 4.0])
+              for i in range(n_tasks + 1) for k in range(n_shapes if i else 10 * n_shapes) if k % n_frames != 5]
+    shapes += shapes[:3] + [(1, 0, 500, "rectangle", 1, [0.0] * 4), (None, 0, 0, "rectangle", 1, [0.0] * 4)]
+    return Snapshot(
+        tasks, frames, spark.createDataFrame(gone, S.DELETED_FRAMES),
+        spark.createDataFrame(shapes, "task_id long, ord long, frame_id int, type string, label_id long, points array<double>"),
+        X.labels(spark),
+    )
+
+
+_ORDER = [c for c in S.COLUMNS if c not in ("attributes", "annotation_id")]
+
+
+def test_rows_are_dealt_once(spark):
+    """The parts of a document were shuffled for each join, and then all together once more for the task's fields."""
+    flat = _flat(spark).written()
+    plan = _executed(snapshots.snapshot_documents(flat, frames_per_document=4, shapes_per_document=3))
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
+@pytest.mark.parametrize("together", [100_000, 60, 5])
+def test_documents_of_large_tasks_and_chunks(spark, monkeypatch, together):
+    monkeypatch.setattr(snapshots, "TOGETHER", together)
+    flat = _flat(spark)
+    out = session.settle(snapshots.snapshot_documents(flat, frames_per_document=4, shapes_per_document=3))
+    sizes = [r[0] for r in out.select(F.size("annotations.shapes")).collect()]
+    wanted = flat.shapes.join(flat.tasks.select("task_id"), "task_id")
+    assert max(sizes) <= 3 and sum(sizes) == wanted.count()
+    assert out.select(F.explode("data_meta.frames")).count() == 21
+    # frames of a document are of one chunk, and every chunk's frames are in one document
+    chunks = out.where(F.size("data_meta.frames") > 0).select("task.id", F.array_distinct(F.transform("data_meta.frames.id", lambda i: F.floor(i / 4))))
+    assert sorted(map(tuple, chunks.collect())) == [(t, [c]) for t in range(3) for c in range(2)]
+    again = extract_records(Snapshot.of_documents(out, flat.labels))
+    first = extract_records(flat)
+    assert counts(first) == counts(again) and rows(first.raw(), *_ORDER[:14]) == rows(again.raw(), *_ORDER[:14])
+
+
+def counts(records):
+    return {r[0]: r[1] for r in extract.fetch_summary(records).collect()}
+
+
+def test_documents_of_a_large_task_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "TOGETHER", 50)
+    plan = _executed(snapshots.snapshot_documents(_flat(spark), frames_per_document=1, shapes_per_document=10))
+    assert "hashpartitioning(task_id" in plan and "_part#" in plan and "_copies" in plan
+    monkeypatch.setattr(snapshots, "TOGETHER", 50_000)
+    plan = _executed(snapshots.snapshot_documents(_flat(spark), frames_per_document=1, shapes_per_document=10))
+    assert "hashpartitioning(task_id" in plan and "_part#" not in plan and "_copies" not in plan
+
+
+def test_each_kind_takes_its_frames_alone(spark):
+    """Every counted frame was shuffled for the unannotated and for the deleted rows."""
+    flat = _flat(spark)
+    counted = extract.counted_frames(flat)
+    assert "Exchange" not in _executed(extract.unannotated_rows(flat, counted))
+    gone = extract.deleted_rows(flat, counted)
+    assert "n_deleted" in _executed(gone) and _executed(gone).count("Exchange") <= 2
+    assert rows(gone, "image_name", "task_id", "task_name", "frame_id", "image_width") == rows(
+        extract.deleted_rows(flat), "image_name", "task_id", "task_name", "frame_id", "image_width")
+    assert rows(gone, "task_id", "frame_id") == [(0, 2), (0, 2), (1, 3), (1, 99), (1, 99), (2, 6)]
+    # 5 has no shapes, on the other frames are rectangles; 2_6 is deleted, with its boxes
+    assert rows(extract.unannotated_rows(flat, counted), "task_id", "frame_id") == [(0, 5), (1, 5), (2, 5)]
+
+
+def test_tables_of_written_documents_are_not_written_again(spark, monkeypatch, tmp_path):
+    flat = Snapshot.of_documents(D.read_documents(spark, X.write(tmp_path, X.normal(1), X.last_removed(2))), X.labels(spark))
+    calls = []
+    monkeypatch.setattr(extract, "settle", lambda df: calls.append(df) or session.settle(df))
+    once = flat.written()
+    assert len(calls) == 1 and calls[0] is flat.tasks
+    assert rows(once.shapes, "task_id", "id") == rows(flat.shapes, "task_id", "id") and rows(once.tasks) == rows(flat.tasks)
+    # other tables may be costly to make, and are written
+    assert len([t for t in vars(_flat(spark).written()).values() if t is not None]) and len(calls) == 5
