@@ -10,7 +10,7 @@ from boxmill.functions import attributes_json
 from boxmill.operators import selection as P
 from boxmill.plans import extract as X
 from boxmill.registry import query
-from boxmill.session import scratch_root
+from boxmill.session import scratch_root, shuffles_dropped
 from boxmill.sinks.snapshots import snapshot_documents
 from boxmill.sinks.tables import as_text_table
 from boxmill.sources.documents import read_documents
@@ -179,8 +179,9 @@ def snapshot_round_trip(t: Tables) -> DataFrame:
   SELECT image_name, image_width, image_height, 'deleted', NULL, NULL, NULL, NULL, NULL,
   task_id, task_name, task_status, task_updated_date, frame_id FROM a_deleted""")
 def document_files(t: Tables) -> DataFrame:
-    """Flat tables -> document files in parts of four frames -> read with defaults -> rows."""
+    """Flat tables -> packed document files in parts of four frames -> read with defaults -> rows."""
     folder = f"{scratch_root(t.spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
-    snapshot_documents(t.snapshot, frames_per_document=4).write.json(folder)
+    with shuffles_dropped(t.spark):
+        snapshot_documents(t.snapshot, frames_per_document=4).write.json(folder, compression="gzip")
     records = X.extract_records(X.Snapshot.of_documents(read_documents(t.spark, folder), t.labels).written())
     return records.raw().select(*BOX_COLUMNS)
