@@ -14,6 +14,7 @@ from boxmill.session import settle
 # A task with more rows than this is dealt to several parts, and so are the shapes of a chunk with more.  At most
 # total_rows / TOGETHER of either can be, which bounds the broadcast lists of them.
 TOGETHER = 100_000
+_HASHES = 1 << 16
 
 
 def snapshot_documents(
@@ -71,7 +72,7 @@ def snapshot_documents(
         sides.append((tracks, "tracks", F.struct(at.alias("at"), track.alias("t")), ["id", "frame", at]))
         frame.append(F.when(F.col("tracks").isNotNull(), F.coalesce("tracks.t.frame", F.lit(0))))
 
-    hot = _hot(S.widen(*[rows.select("task_id") for rows, *_ in sides]), ["task_id"], TOGETHER) if cut else None
+    hot = _hot_tasks(S.widen(*[rows.select("task_id") for rows, *_ in sides])) if cut else None
     rows = S.widen(*[
         _sliced(rows, by, shapes_per_document, hot).select("task_id", "chunk", "slice", one.alias(column))
         for rows, column, one, by in sides
@@ -123,6 +124,15 @@ def snapshot_documents(
     )
 
 
+def _hot_tasks(rows: DataFrame) -> DataFrame | None:
+    """The tasks with more rows than ``TOGETHER``, with ``_n``; counted one by one only where all of a hash have more."""
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64("task_id"), F.lit(_HASHES)))
+    full = _hot(hashed, ["_hash"], TOGETHER)
+    if full is None:
+        return None
+    return _hot(hashed.join(F.broadcast(full.select("_hash")), "_hash", "left_semi"), ["task_id"], TOGETHER)
+
+
 def _hot(rows: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """The keys that more rows than ``limit`` have, with ``_n``; none if there are none."""
     found = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit))
