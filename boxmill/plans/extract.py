@@ -23,6 +23,7 @@ from boxmill.sources import documents as D
 
 _TASK = ("task_name", "task_status", "task_updated_date", "subset")
 _FRAME = ["task_id", "frame_id"]
+_STEP = 1000
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,10 @@ class Snapshot:
     unnested: bool = False
 
     @staticmethod
-    def of_documents(docs: DataFrame, labels: DataFrame) -> "Snapshot":
+    def of_documents(docs: DataFrame | list[DataFrame], labels: DataFrame) -> "Snapshot":
+        """Tables of documents, or of portions of them (``sinks.snapshots.in_portions``)."""
         # written once: every table takes its fields from the same parsed documents
-        good = settle(D.good_documents(docs))
+        good = settle(*map(D.good_documents, docs if isinstance(docs, list) else [docs]))
         return Snapshot(
             D.tasks_table(good), D.frames_table(good), D.deleted_frames_table(good),
             D.shapes_table(good), labels, D.tracks_table(good), unnested=True,
@@ -177,10 +179,13 @@ def deleted_rows(snapshot: Snapshot, frames: DataFrame | None = None) -> DataFra
     if frames is None:
         known = snapshot.deleted.join(snapshot.frames.select(*columns), _FRAME, "left").join(tasks, "task_id")
     else:
-        # counted frames hold the fields of their task, also where a record has no frame; records may lack a frame id
-        gone = snapshot.deleted.select(F.col("task_id").alias("_task"), F.col("frame_id").alias("_frame"))
-        same = (F.col("_task") == F.col("task_id")) & F.col("_frame").eqNullSafe(F.col("frame_id"))
-        known = gone.join(frames.where(F.col("n_deleted").isNotNull()).select(*columns, *_TASK), same)
+        # counted frames hold the fields of their task, also where a record has no frame; a frame comes as often as it
+        # is recorded, in two steps so that no row holds a long list
+        upto = lambda n: F.sequence(F.lit(1), n.cast("int"))
+        gone = frames.where(F.col("n_deleted").isNotNull()).select(*columns, *_TASK, "n_deleted")
+        rest = F.col("n_deleted") - (F.col("_step") - 1) * F.lit(_STEP)
+        steps = gone.withColumn("_step", F.explode(upto(F.ceil(F.col("n_deleted") / F.lit(_STEP)))))
+        known = steps.withColumn("_record", F.explode(upto(F.least(rest, F.lit(_STEP)))))
     named = known.select(
         "task_id", "frame_id", *_TASK,
         F.when(F.col("width").isNull() & F.col("name").isNull(), F.lit(S.UNKNOWN))

@@ -11,7 +11,7 @@ from boxmill.operators import selection as P
 from boxmill.plans import extract as X
 from boxmill.registry import query
 from boxmill.session import scratch_root, shuffles_dropped
-from boxmill.sinks.snapshots import snapshot_documents
+from boxmill.sinks.snapshots import in_portions, snapshot_documents
 from boxmill.sinks.tables import as_text_table
 from boxmill.sources.documents import read_documents
 
@@ -169,7 +169,7 @@ def skipped_shapes(t: Tables) -> DataFrame:
 def snapshot_round_trip(t: Tables) -> DataFrame:
     """Flat tables -> documents in bounded parts -> flat tables -> rows."""
     documents = snapshot_documents(t.snapshot, frames_per_document=4, shapes_per_document=3)
-    records = X.extract_records(X.Snapshot.of_documents(documents, t.labels))
+    records = X.extract_records(X.Snapshot.of_documents(in_portions(documents, t.snapshot), t.labels))
     return records.raw().select(*BOX_COLUMNS)
 
 
@@ -181,7 +181,8 @@ def snapshot_round_trip(t: Tables) -> DataFrame:
 def document_files(t: Tables) -> DataFrame:
     """Flat tables -> packed document files in parts of four frames -> read with defaults -> rows."""
     folder = f"{scratch_root(t.spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
-    with shuffles_dropped(t.spark):
-        snapshot_documents(t.snapshot, frames_per_document=4).write.json(folder, compression="gzip")
+    for portion in in_portions(snapshot_documents(t.snapshot, frames_per_document=4), t.snapshot):
+        with shuffles_dropped(t.spark):
+            portion.write.mode("append").json(folder, compression="gzip")
     records = X.extract_records(X.Snapshot.of_documents(read_documents(t.spark, folder), t.labels).written())
     return records.raw().select(*BOX_COLUMNS)

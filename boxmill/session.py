@@ -79,14 +79,16 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, *more: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Used where a value of the physical plan (slice number, position) must be
     read by two branches: both then see the same rows, also after lost executors.
+    ``more`` are further parts of the same table, written one after another.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/boxmill-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    for part in (df, *more):
+        with shuffles_dropped(spark):
+            part.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

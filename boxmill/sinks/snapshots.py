@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from boxmill.session import settle
 # total_rows / TOGETHER of either can be, which bounds the broadcast lists of them.
 TOGETHER = 100_000
 _HASHES = 1 << 16
+PORTION_SHAPES = 100_000_000
 
 
 def snapshot_documents(
@@ -124,6 +127,18 @@ def snapshot_documents(
     )
 
 
+def in_portions(documents: DataFrame, snapshot: Snapshot) -> list[DataFrame]:
+    """The ``documents`` of a large ``snapshot``, some tasks at a time.
+
+    Written one after another they are all documents, and the shuffles of one portion only lie on disk together.
+    """
+    count = math.ceil(snapshot.shapes.count() / PORTION_SHAPES)
+    if count < 2:
+        return [documents]
+    portion = F.pmod(F.xxhash64("task.id"), F.lit(count))
+    return [documents.where(portion == i) for i in range(count)]
+
+
 def _hot_tasks(rows: DataFrame) -> DataFrame | None:
     """The tasks with more rows than ``TOGETHER``, with ``_n``; counted one by one only where all of a hash have more."""
     hashed = rows.withColumn("_hash", F.pmod(F.xxhash64("task_id"), F.lit(_HASHES)))
